@@ -101,3 +101,99 @@ def similarity(left: str, right: str, out: str, keys=("subject_id",), on=None, n
     return f"""
 {out} AS (SELECT {k}, {corr_expr('a.r', 'b.r')} AS {name} FROM {left} a JOIN {right} b
   ON {_on('a', 'b', [*on, 'i', 'j'])} GROUP BY ALL)"""
+
+
+SHORT = "\nSHORT AS (SELECT * FROM S WHERE t < 16)"
+SUFFIX = "\nREST AS (SELECT * FROM S WHERE t >= 16)"
+
+
+def block_length(src: str, out: str, keys=("subject_id",)) -> str:
+    k = ", ".join(keys)
+    return f"""
+{out}_l AS (SELECT *, lag(value) OVER (PARTITION BY {k}, channel ORDER BY t) AS prev FROM {src}),
+{out}_r AS (SELECT {k}, channel, count(*) AS n_rows,
+  CASE WHEN stddev_pop(prev) > 1e-5 AND stddev_pop(CASE WHEN prev IS NOT NULL THEN value END) > 1e-5
+  THEN covar_pop(prev, value) / (stddev_pop(prev) * stddev_pop(CASE WHEN prev IS NOT NULL THEN value END)) END AS r
+  FROM {out}_l GROUP BY {k}, channel),
+{out} AS (SELECT {k}, CAST(n_rows AS INTEGER) AS n_rows, ar1, CAST(CASE WHEN n_rows < 5 THEN n_rows ELSE
+    greatest(5, least(2 * ceil(-2 / ln(least(0.99, greatest(0.01, ar1)))), greatest(5, floor(n_rows / 4)))) END AS INTEGER) AS block_len
+  FROM (SELECT {k}, max(n_rows) AS n_rows, coalesce(avg(r), 0) AS ar1 FROM {out}_r GROUP BY {k}))"""
+
+
+def resample(lengths: str, out: str, n_boot: int, seeds=(0,), keys=("subject_id",)) -> str:
+    k = ", ".join(keys)
+    text = " || '|' || ".join([*[f"CAST({c} AS VARCHAR)" for c in keys], "CAST(seed AS VARCHAR)", "CAST(b AS VARCHAR)", "CAST(block AS VARCHAR)"])
+    seed_list = ", ".join(str(s) for s in seeds)
+    return f"""
+{out}_g AS (SELECT l.*, s.seed, b.b, CAST(greatest(1, floor(n_rows / block_len)) AS INTEGER) AS n_blocks
+  FROM {lengths} l CROSS JOIN (SELECT unnest([{seed_list}]) AS seed) s CROSS JOIN range({n_boot}) b(b)),
+{out}_s AS (SELECT *, CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % (n_rows - block_len + 1) AS start
+  FROM (SELECT {out}_g.*, k.k AS block FROM {out}_g JOIN range(1000) k(k) ON k.k < n_blocks)),
+{out} AS (SELECT {k}, seed, CAST(b AS INTEGER) AS b, CAST(block * block_len + o.o AS INTEGER) AS pos,
+  CAST(start + o.o AS INTEGER) AS src_t, floor(n_blocks * block_len / 2) AS half_at
+  FROM {out}_s JOIN range(1000) o(o) ON o.o < block_len)"""
+
+
+def replicates(short: str, ref: str, out: str, n_boot: int, seeds=(0,), keys=("subject_id",), kind="ledoit_wolf", fisher=False, ref_keys=None) -> str:
+    """``out``(keys, seed, b, r_obs, r_split), all from rows of the resampled recording."""
+    k = ", ".join(keys)
+    rep = [*keys, "seed", "b"]
+    rk = ", ".join(rep)
+    fc = ledoit_wolf if kind == "ledoit_wolf" else pearson
+    z = z_space if fisher else (lambda a, b, c: f"\n{b} AS (SELECT * FROM {a})")
+    return ",".join([
+        block_length(short, f"{out}_len", keys),
+        resample(f"{out}_len", f"{out}_ix", n_boot, seeds, keys),
+        f"""
+{out}_rows AS (SELECT {', '.join('x.' + c for c in keys)}, seed, b, pos, half_at, channel, value
+  FROM {out}_ix x JOIN {short} s ON {_on('x', 's', keys)} AND s.t = x.src_t),
+{out}_seg AS (SELECT {rk}, pos, channel, value, 'whole' AS seg FROM {out}_rows
+  UNION ALL SELECT {rk}, pos, channel, value, CASE WHEN pos < half_at THEN 'first' ELSE 'second' END FROM {out}_rows)""",
+        fc(f"{out}_seg", f"{out}_e", (*rep, "seg"), "pos"),
+        f"""
+{out}_wh AS (SELECT {rk}, i, j, r FROM {out}_e WHERE seg = 'whole')""",
+        z(f"{out}_wh", f"{out}_wz", rep),
+        similarity(f"{out}_wz", ref, f"{out}_o", rep, ref_keys or keys, "r_obs"),
+        f"""
+{out}_h AS (SELECT {', '.join('a.' + c for c in rep)}, {corr_expr('a.r', 'b.r')} AS h
+  FROM {out}_e a JOIN {out}_e b ON {_on('a', 'b', [*rep, 'i', 'j'])} AND a.seg = 'first' AND b.seg = 'second' GROUP BY ALL),
+{out} AS (SELECT o.*, CASE WHEN h IS NOT NULL THEN least(0.999, greatest(0.001, h)) END AS r_split
+  FROM {out}_o o JOIN {out}_h h ON {_on('o', 'h', rep)})""",
+    ])
+
+
+def clip_sql(x: str, lo, hi) -> str:
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN least({hi}, greatest({lo}, ({x}))) END)"
+
+
+def sb_sql(r: str, k: str) -> str:
+    c = f"least(0.999, greatest(0.001, {r}))"
+    return f"(({k}) * {c} / (1 + (({k}) - 1) * {c}))"
+
+
+def correction_sql(method: str, r_obs: str, r_split: str, k: str, prior=(0.25, 0.05), r_hat: str = "0.98", obs: str = "0.15") -> str:
+    """Textbook form: disattenuate by the short reliabilities, re-attenuate by the lengthened ones."""
+    if prior is not None:
+        w = f"({prior[1]} / ({prior[1]} + {obs}))"
+        r_split = f"({w} * {r_split} + (1 - {w}) * {prior[0]})"
+    a, b = f"greatest({r_hat}, 0.05)", f"greatest({r_split}, 0.05)"
+    now, later = f"({a} * {b})", f"({sb_sql(a, k)} * {sb_sql(b, k)})"
+    if method == "fisher_z":
+        return f"tanh(atanh({clip_sql(r_obs, -0.9999, 0.9999)}) - 0.5 * ln({now}) + 0.5 * ln({later}))"
+    if method == "partial":
+        return clip_sql(f"{r_obs} / pow({now}, 0.25) * pow({later}, 0.25)", -1, 1)
+    raw = f"({r_obs} / sqrt({now}) * sqrt({later}))"
+    return f"tanh({raw})" if method == "soft_clamp" else clip_sql(raw, -1, 1)
+
+
+def zclip(x: str) -> str:
+    return f"atanh({clip_sql(x, -0.9999, 0.9999)})"
+
+
+def interval_sql(src: str, out: str, z: str, keys) -> str:
+    k = ", ".join(keys)
+    return f"""
+{out} AS (SELECT {k}, tanh(quantile_cont(z, 0.5)) AS rho_hat_t,
+  CASE WHEN count(*) = count(z) THEN tanh(quantile_cont(z, 0.025)) END AS ci_lower,
+  CASE WHEN count(*) = count(z) THEN tanh(quantile_cont(z, 0.975)) END AS ci_upper
+  FROM (SELECT *, CAST({z} AS DOUBLE) AS z FROM {src}) GROUP BY {k})"""

@@ -51,82 +51,92 @@ def _var(s: str, ss: str) -> Column:
     return F.when(v <= F.lit(CONSTANT_TOL) * F.col(ss) / F.col("n"), 0.0).otherwise(v)
 
 
+def _pearson() -> Column:
+    return clip(F.try_divide(_cov(), F.sqrt(_var("si", "sii") * _var("sj", "sjj"))), -1, 1)
+
+
 def pearson_from_moments(moments: DataFrame, keys: Sequence[str] = KEYS, constant: float | None = None) -> DataFrame:
     """Pearson edges. Pairs with a constant channel get ``constant`` (NULL by default); fewer than
     three rows give 0."""
-    r = clip(F.try_divide(_cov(), F.sqrt(_var("si", "sii") * _var("sj", "sjj"))), -1, 1)
-    if constant is not None:
-        r = F.coalesce(r, F.lit(float(constant)))
+    r = _pearson() if constant is None else F.coalesce(_pearson(), F.lit(float(constant)))
     value = F.when(F.col("n") < 3, 0.0).otherwise(r)
     return moments.filter((F.col("i") < F.col("j")) & (F.col("j") < NORM_CHANNEL)).select(
         *keys, "i", "j", value.alias("r")
     )
 
 
-def _covariances(moments: DataFrame) -> DataFrame:
-    return moments.withColumn("c", _cov()).withColumn("diag", F.col("i") == F.col("j"))
+def _pair_terms() -> dict[str, Column]:
+    """Per-pair terms whose sums over a key give its shrinkage intensity."""
+    real, diag = F.col("j") < NORM_CHANNEL, F.col("i") == F.col("j")
+    c, n = _cov(), F.col("n")
+    mi, mj = F.col("si") / n, F.col("sj") / n
+    pair = F.when(diag, 1.0).otherwise(2.0)
+    zero = F.lit(0.0)
+    return {
+        "p": F.when(real & diag, F.lit(1.0)).otherwise(zero),
+        "tr": F.when(real & diag, c).otherwise(zero),
+        "d2": F.when(real, pair * c * c).otherwise(zero),
+        "uu": F.when(~real & diag, c * n).otherwise(zero),
+        "mu_u": F.when(~real & ~diag, mi * c * n).otherwise(zero),
+        "mcm": F.when(real, pair * mi * mj * c * n).otherwise(zero),
+    }
 
 
-def ledoit_wolf_intensity(moments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Shrinkage weight ``s`` and target ``mu`` per key from the moments alone (one aggregation).
+def ledoit_wolf_weight(n, p, tr, d2, uu, mu_u, mcm) -> Column:
+    """Shrinkage weight from sums over one key's moments.
 
     The fourth-order term sum_t |x_t - m|^4 is recovered from the virtual norm channel u = |x|^2:
     C_uu - 4 m'C_u + 4 m'C m + tr(C)^2/n, with C the centred sums of products.
     """
-    real = F.col("j") < NORM_CHANNEL
-    c, n = F.col("c"), F.col("n")
-    mi, mj = F.col("si") / n, F.col("sj") / n
-    pair = F.when(F.col("diag"), 1.0).otherwise(2.0)
-    sums = _covariances(moments).groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        F.sum(F.when(real & F.col("diag"), 1.0).otherwise(0.0)).alias("p"),
-        F.sum(F.when(real & F.col("diag"), c).otherwise(0.0)).alias("tr"),
-        F.sum(F.when(real, pair * c * c).otherwise(0.0)).alias("d2"),
-        F.sum(F.when(~real & F.col("diag"), c * n).otherwise(0.0)).alias("uu"),
-        F.sum(F.when(~real & ~F.col("diag"), mi * c * n).otherwise(0.0)).alias("mu_u"),
-        F.sum(F.when(real, pair * mi * mj * c * n).otherwise(0.0)).alias("mcm"),
-    )
-    p, n = F.col("p"), F.col("n")
-    fourth = F.col("uu") - 4 * F.col("mu_u") + 4 * F.col("mcm") + F.col("tr") * F.col("tr") * n
-    beta = (fourth / n - F.col("d2")) / (p * n)
-    delta = F.col("d2") / p - F.pow(F.col("tr") / p, F.lit(2))
-    return sums.select(
-        *keys,
-        F.when((beta <= 0) | (delta <= 0), 0.0).otherwise(F.least(beta, delta) / F.greatest(delta, F.lit(1e-300))).alias("s"),
-        (F.col("tr") / p).alias("mu"),
-    )
+    fourth = uu - 4 * mu_u + 4 * mcm + tr * tr * n
+    beta = (fourth / n - d2) / (p * n)
+    delta = d2 / p - (tr / p) * (tr / p)
+    return F.when((beta <= 0) | (delta <= 0), 0.0).otherwise(F.coalesce(F.try_divide(F.least(beta, delta), delta), F.lit(0.0)))
 
 
-def oas_intensity(moments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Oracle-approximating shrinkage weight on the sample (n - 1) covariance."""
-    real = F.col("j") < NORM_CHANNEL
-    c = F.col("c") * F.col("n") / (F.col("n") - 1)
-    pair = F.when(F.col("diag"), 1.0).otherwise(2.0)
-    sums = _covariances(moments).groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        F.sum(F.when(real & F.col("diag"), 1.0).otherwise(0.0)).alias("p"),
-        F.sum(F.when(real & F.col("diag"), c).otherwise(0.0)).alias("tr"),
-        F.sum(F.when(real, pair * c * c).otherwise(0.0)).alias("tr2"),
-    )
-    p, n, tr, tr2 = F.col("p"), F.col("n"), F.col("tr"), F.col("tr2")
-    num = (1 - 2 / p) * tr2 + tr * tr
-    den = (n + 1 - 2 / p) * (tr2 - tr * tr / p)
-    alpha = F.when(den <= 0, 1.0).otherwise(clip(F.try_divide(num, den), 0, 1))
-    # The weights are scale free, so the target is expressed for the (n) covariance used below.
-    return sums.select(*keys, alpha.alias("s"), (tr / p * (n - 1) / n).alias("mu"))
+def oas_weight(n, p, tr, d2) -> Column:
+    """Oracle-approximating weight, stated on the sample (n - 1) covariance."""
+    unbiased = n / (n - 1)
+    tr_u, d2_u = tr * unbiased, d2 * unbiased * unbiased
+    num = (1 - 2 / p) * d2_u + tr_u * tr_u
+    den = (n + 1 - 2 / p) * (d2_u - tr_u * tr_u / p)
+    return F.when(den <= 0, 1.0).otherwise(clip(F.try_divide(num, den), 0, 1))
 
 
-def shrink_edges(moments: DataFrame, intensity: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Shrunk correlation of every edge: off-diagonals scaled by (1 - s), variances pulled to mu."""
-    keys = list(keys)
-    s, mu = F.col("s"), F.col("mu")
-    vi = (1 - s) * _var("si", "sii") + s * mu
-    vj = (1 - s) * _var("sj", "sjj") + s * mu
-    r = F.coalesce(F.try_divide((1 - s) * _cov(), F.sqrt(vi * vj)), F.lit(0.0))
+def shrunk_pairs(moments: DataFrame, keys: Sequence[str] = KEYS, kind: str = "ledoit_wolf") -> DataFrame:
+    """Every real channel pair i <= j with its shrunk covariance ``c``, variances ``vi``, ``vj`` and
+    the plain correlation ``raw``.
+
+    The per-key sums are window sums, so the moments (and the scan below them) are computed once;
+    a window partition is one key's pairs, bounded by the number of channel pairs.
+    """
+    w = Window.partitionBy(*keys)
+    terms = _pair_terms()
+    if kind == "oas":
+        terms = {k: terms[k] for k in ("p", "tr", "d2")}
+    sums = {k: F.sum(v).over(w) for k, v in terms.items()}
+    wide = moments.withColumns({f"_{k}": v for k, v in sums.items()})
+    args = [F.col(f"_{k}") for k in terms]
+    weight = oas_weight(F.col("n"), *args) if kind == "oas" else ledoit_wolf_weight(F.col("n"), *args)
+    s, mu = F.col("s"), F.col("_tr") / F.col("_p")
     return (
-        moments.filter((F.col("i") < F.col("j")) & (F.col("j") < NORM_CHANNEL))
-        .join(intensity, keys)
-        .select(*keys, "i", "j", F.when(F.col("n") < 3, 0.0).otherwise(clip(r, -1, 1)).alias("r"))
+        wide.filter(F.col("j") < NORM_CHANNEL)
+        .withColumn("s", weight)
+        .select(
+            *keys, "i", "j", "n", "s",
+            ((1 - s) * _cov() + F.when(F.col("i") == F.col("j"), s * mu).otherwise(0.0)).alias("c"),
+            ((1 - s) * _var("si", "sii") + s * mu).alias("vi"),
+            ((1 - s) * _var("sj", "sjj") + s * mu).alias("vj"),
+            F.when(F.col("n") < 3, 0.0).otherwise(_pearson()).alias("raw"),
+        )
+    )
+
+
+def shrunk_edges(moments: DataFrame, keys: Sequence[str] = KEYS, kind: str = "ledoit_wolf") -> DataFrame:
+    """Shrunk correlations of the pairs i < j; zero-variance pairs give 0, as do fewer than 3 rows."""
+    r = F.coalesce(F.try_divide(F.col("c"), F.sqrt(F.col("vi") * F.col("vj"))), F.lit(0.0))
+    return shrunk_pairs(moments, keys, kind).filter("i < j").select(
+        *keys, "i", "j", F.when(F.col("n") < 3, 0.0).otherwise(clip(r, -1, 1)).alias("r")
     )
 
 
@@ -142,11 +152,9 @@ def fc_edges(
     if kind == "pearson":
         edges = pearson_from_moments(pair_moments(frames, keys, False, weight), keys, constant)
     elif kind == "ledoit_wolf":
-        moments = pair_moments(frames, keys, True, weight)
-        edges = shrink_edges(moments, ledoit_wolf_intensity(moments, keys), keys)
+        edges = shrunk_edges(pair_moments(frames, keys, True, weight), keys)
     elif kind == "oas":
-        moments = pair_moments(frames, keys, False, weight)
-        edges = shrink_edges(moments, oas_intensity(moments, keys), keys)
+        edges = shrunk_edges(pair_moments(frames, keys, False, weight), keys, "oas")
     else:
         raise ValueError(f"unknown connectivity kind {kind!r}")
     return edges.withColumn("r", fisher_z("r")) if fisher else edges
@@ -185,6 +193,12 @@ def pack_edges(edges: DataFrame, keys: Sequence[str] = KEYS, name: str = "ref")
     return edges.groupBy(*keys).agg(F.transform(packed, lambda e: e["r"]).alias(name))
 
 
+def side_by_side(edges: DataFrame, keys: Sequence[str], label: str, values: Sequence[str]) -> DataFrame:
+    """(keys, label, i, j, r) -> (keys, i, j, one column per label value); one aggregation, no self-join."""
+    picks = [F.max(F.when(F.col(label) == v, F.col("r"))).alias(v) for v in values]
+    return edges.groupBy(*keys, "i", "j").agg(*picks)
+
+
 def edge_similarity(
     left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, name: str = "r_fc", extra: Sequence[str] = ()
 ) -> DataFrame:

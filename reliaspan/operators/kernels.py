@@ -74,15 +74,15 @@ def gram_kernel(keys: list[str], norm: bool, weighted: bool):
     return run
 
 
-def shrunk_corr(x: np.ndarray, shrink: bool = True, fisher: bool = False) -> np.ndarray:
-    """Upper-triangle correlations of one bounded segment, optionally Ledoit-Wolf shrunk."""
+def segment_fc(x: np.ndarray, kind: str = "ledoit_wolf", fisher: bool = False) -> np.ndarray:
+    """Upper-triangle connectivity of one bounded segment (pearson, ledoit_wolf or partial)."""
     n, p = x.shape
     iu = np.triu_indices(p, 1)
     if n < 3:
         return np.zeros(len(iu[0]))
     x = x - x.mean(axis=0)
     cov = x.T @ x / n
-    if shrink:
+    if kind != "pearson":
         mu = np.trace(cov) / p
         total = float((cov * cov).sum())
         fourth = float((((x * x).sum(axis=1)) ** 2).sum())
@@ -91,24 +91,36 @@ def shrunk_corr(x: np.ndarray, shrink: bool = True, fisher: bool = False) -> np.
         s = 0.0 if beta <= 0 or delta <= 0 else min(beta, delta) / delta
         cov = (1 - s) * cov
         cov[np.diag_indices(p)] += s * mu
-    d = np.sqrt(np.diag(cov))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = (cov / np.outer(d, d))[iu]
-    if shrink:
+    r = partial_corr(cov)[iu] if kind == "partial" else _scale(cov)[iu]
+    if kind == "ledoit_wolf":
         r = np.nan_to_num(r, nan=0.0)
-    r = np.clip(r, -1, 1)
     return np.arctanh(np.clip(r, -0.9999, 0.9999)) if fisher else r
 
 
+def _scale(m: np.ndarray) -> np.ndarray:
+    d = np.sqrt(np.diag(m))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.clip(m / np.outer(d, d), -1, 1)
+
+
+def partial_corr(cov: np.ndarray, pseudo: bool = False) -> np.ndarray:
+    """Negated, scaled inverse of a covariance (or correlation) matrix."""
+    theta = np.linalg.pinv(cov) if pseudo else np.linalg.inv(cov)
+    d = np.sqrt(np.abs(np.diag(theta)))
+    d[d == 0] = 1e-10
+    return -theta / np.outer(d, d)
+
+
 def _corr(a: np.ndarray, b: np.ndarray) -> float:
     a, b = a - a.mean(), b - b.mean()
     den = np.sqrt((a @ a) * (b @ b))
     return float(a @ b / den) if den > 0 else float("nan")
 
 
-def replicate_kernel(keys: list[str], shrink: bool, fisher: bool):
+def replicate_kernel(keys: list[str], kind: str, fisher: bool):
     """Per bootstrap replicate of one bounded short recording: similarity to the reference vector
     and similarity between its two halves. Everything downstream is column arithmetic in Spark."""
+    half_kind = "pearson" if kind == "pearson" else "ledoit_wolf"
 
     def run(batches):
         for batch in batches:
@@ -124,9 +136,9 @@ def replicate_kernel(keys: list[str], shrink: bool, fisher: bool):
                 half = index.shape[1] // 2
                 for b, idx in enumerate(index):
                     xb = x[idx]
-                    whole = shrunk_corr(xb, shrink, fisher)
-                    first = shrunk_corr(xb[:half], shrink)
-                    second = shrunk_corr(xb[half:], shrink)
+                    whole = segment_fc(xb, kind, fisher)
+                    first = segment_fc(xb[:half], half_kind)
+                    second = segment_fc(xb[half:], half_kind)
                     src.append(row)
                     rep.append(b)
                     r_obs.append(_corr(whole, ref))
@@ -140,3 +152,71 @@ def replicate_kernel(keys: list[str], shrink: bool, fisher: bool):
                 )
 
     return run
+
+
+def unpack_symmetric(packed: np.ndarray, p: int) -> np.ndarray:
+    m = np.zeros((p, p))
+    a, b = np.triu_indices(p)
+    m[a, b] = packed
+    m[b, a] = packed
+    return m
+
+
+def matrix_kernel(keys: list[str], fn, diagonal: bool):
+    """Apply ``fn`` to the small symmetric matrix packed in each row and return its upper triangle."""
+
+    def run(batches):
+        for batch in batches:
+            rows, ii, jj, rr = [], [], [], []
+            for row in range(batch.num_rows):
+                ids = batch.column("channels")[row].values.to_numpy(zero_copy_only=False)
+                packed = batch.column("packed")[row].values.to_numpy(zero_copy_only=False)
+                out = fn(unpack_symmetric(packed, len(ids)))
+                a, b = np.triu_indices(len(ids), 0 if diagonal else 1)
+                rows.append(np.full(len(a), row))
+                ii.append(ids[a])
+                jj.append(ids[b])
+                rr.append(out[a, b])
+            if rows:
+                taken = pa.array(np.concatenate(rows))
+                cols = [batch.column(k).take(taken) for k in keys]
+                data = [
+                    pa.array(np.concatenate(ii).astype(np.int32)),
+                    pa.array(np.concatenate(jj).astype(np.int32)),
+                    pa.array(np.concatenate(rr), pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols + data, names=keys + ["i", "j", "r"])
+
+    return run
+
+
+def scalar_kernel(keys: list[str], fn, name: str):
+    """Apply ``fn`` (matrix -> number) to the small symmetric matrix packed in each row."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in range(batch.num_rows):
+                p = len(batch.column("channels")[row])
+                packed = batch.column("packed")[row].values.to_numpy(zero_copy_only=False)
+                out.append(float(fn(unpack_symmetric(packed, p))))
+            cols = [batch.column(k) for k in keys] + [pa.array(out, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=keys + [name])
+
+    return run
+
+
+def solve_kernel(keys: list[str]):
+    """Solve the small packed normal equations of each row (minimum-norm when rank deficient)."""
+
+    def run(batches):
+        for batch in batches:
+            betas = []
+            for row in range(batch.num_rows):
+                xty = batch.column("xty")[row].values.to_numpy(zero_copy_only=False)
+                xtx = batch.column("xtx")[row].values.to_numpy(zero_copy_only=False)
+                betas.append(np.linalg.pinv(unpack_symmetric(xtx, len(xty)), hermitian=True) @ xty)
+            cols = [batch.column(k) for k in keys] + [pa.array([b.tolist() for b in betas], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=keys + ["beta"])
+
+    return run
