@@ -37,4 +37,7 @@ def with_attributes(df):
 
 
 def short_frames(spark, sf_dir):
-    return lineitem_frames(spark, sf_dir).filter(F.col("t") < SHORT_ROWS)
+    """The short window, labelled rather than filtered below the panel aggregation, so that a query
+    that also needs the rest of the recording reuses the panel's shuffle instead of a second scan."""
+    marked = label_segments(lineitem_frames(spark, sf_dir), segment_conditions(("short", "rest")))
+    return marked.filter(F.col("seg") == "short").drop("seg")

@@ -197,3 +197,16 @@ def interval_sql(src: str, out: str, z: str, keys) -> str:
   CASE WHEN count(*) = count(z) THEN tanh(quantile_cont(z, 0.025)) END AS ci_lower,
   CASE WHEN count(*) = count(z) THEN tanh(quantile_cont(z, 0.975)) END AS ci_upper
   FROM (SELECT *, CAST({z} AS DOUBLE) AS z FROM {src}) GROUP BY {k})"""
+
+
+def hash_sql(*parts: str) -> str:
+    """Seeded hash of SQL expressions, as the Spark side computes it."""
+    text = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+
+
+EVENT_COHORT = """
+COHORT AS (SELECT user_id AS subject_id, CAST(count(*) AS INTEGER) AS n_rows, CAST(user_id % 5 AS INTEGER) AS site,
+  2.0 + 0.5 * ((user_id % 5) % 2) AS tr, CASE WHEN user_id % 7 = 0 THEN 'Unknown' WHEN user_id % 2 = 0 THEN 'Control' ELSE 'ADHD' END AS "group"
+  FROM events GROUP BY user_id),
+DUR AS (SELECT *, n_rows * tr AS total_s, 24 * tr AS short_s, (n_rows - 24) * tr AS ref_s, n_rows / CAST(24 AS DOUBLE) AS k FROM COHORT)"""
