@@ -164,7 +164,7 @@ def attenuation_methods(spark, sf_dir):
     )
 
 
-def _replicate_edges_sql(kind, fixed_len=None):
+def replicate_edges_sql(kind, fixed_len=None):
     lens = (
         f"\nRL AS (SELECT DISTINCT subject_id, 16 AS n_rows, {fixed_len} AS block_len FROM subj)"
         if fixed_len else block_length("SHORT", "RL")
@@ -189,7 +189,7 @@ def _replicate_edges(spark, sf_dir, kind, fixed_len=None):
 
 @query(
     "bootstrap_mean_fc",
-    with_panel(*_replicate_edges_sql("ledoit_wolf")) + f"SELECT subject_id, i, j, {q6('avg(r)', 'r')} FROM RE GROUP BY 1, 2, 3",
+    with_panel(*replicate_edges_sql("ledoit_wolf")) + f"SELECT subject_id, i, j, {q6('avg(r)', 'r')} FROM RE GROUP BY 1, 2, 3",
 )
 def bootstrap_mean_fc(spark, sf_dir):
     return average_edges(_replicate_edges(spark, sf_dir, "ledoit_wolf")).select("subject_id", "i", "j", r6("r"))
@@ -197,7 +197,7 @@ def bootstrap_mean_fc(spark, sf_dir):
 
 @query(
     "bootstrap_median_fc",
-    with_panel(*_replicate_edges_sql("ledoit_wolf"))
+    with_panel(*replicate_edges_sql("ledoit_wolf"))
     + f"SELECT subject_id, i, j, {q6('quantile_cont(CAST(r AS DOUBLE), 0.5)', 'r')} FROM RE GROUP BY 1, 2, 3",
 )
 def bootstrap_median_fc(spark, sf_dir):
@@ -205,7 +205,7 @@ def bootstrap_median_fc(spark, sf_dir):
 
 
 RELIABILITY = with_panel(
-    *_replicate_edges_sql("pearson", 10),
+    *replicate_edges_sql("pearson", 10),
     """
 SD AS (SELECT subject_id, i, j, stddev_pop(r) AS sd FROM RE GROUP BY 1, 2, 3),
 REL AS (SELECT subject_id, i, j, 1 - sd / max(sd) OVER (PARTITION BY subject_id) AS reliability FROM SD)""",

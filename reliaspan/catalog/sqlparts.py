@@ -167,7 +167,7 @@ def clip_sql(x: str, lo, hi) -> str:
 
 
 def sb_sql(r: str, k: str) -> str:
-    c = f"least(0.999, greatest(0.001, {r}))"
+    c = f"(CASE WHEN ({r}) IS NOT NULL THEN least(0.999, greatest(0.001, {r})) END)"
     return f"(({k}) * {c} / (1 + (({k}) - 1) * {c}))"
 
 
@@ -176,7 +176,7 @@ def correction_sql(method: str, r_obs: str, r_split: str, k: str, prior=(0.25, 0
     if prior is not None:
         w = f"({prior[1]} / ({prior[1]} + {obs}))"
         r_split = f"({w} * {r_split} + (1 - {w}) * {prior[0]})"
-    a, b = f"greatest({r_hat}, 0.05)", f"greatest({r_split}, 0.05)"
+    a, b = f"greatest({r_hat}, 0.05)", f"(CASE WHEN ({r_split}) IS NOT NULL THEN greatest({r_split}, 0.05) END)"
     now, later = f"({a} * {b})", f"({sb_sql(a, k)} * {sb_sql(b, k)})"
     if method == "fisher_z":
         return f"tanh(atanh({clip_sql(r_obs, -0.9999, 0.9999)}) - 0.5 * ln({now}) + 0.5 * ln({later}))"

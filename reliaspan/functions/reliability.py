@@ -52,10 +52,8 @@ def bayes_shrink(r, prior_mean=None, prior_var=None, observation_var=OBSERVATION
 
 def _reliabilities(r_hat, r_real, k, prior, observation_var):
     mean, var = prior if prior is not None else (None, None)
-    now = (
-        F.greatest(as_col(r_hat), F.lit(MIN_RELIABILITY)),
-        F.greatest(bayes_shrink(r_real, mean, var, observation_var), F.lit(MIN_RELIABILITY)),
-    )
+    floor = lambda r: F.when(r.isNotNull(), F.greatest(r, F.lit(MIN_RELIABILITY)))
+    now = (floor(as_col(r_hat)), floor(bayes_shrink(r_real, mean, var, observation_var)))
     later = tuple(spearman_brown(r, k) for r in now)
     return now[0] * now[1], later[0] * later[1]
 

@@ -94,13 +94,13 @@ def bootstrap_indices(
     )
 
 
-def pack_recordings(frames: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def pack_recordings(frames: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = ()) -> DataFrame:
     """One row per key holding a bounded recording row-major. Callers slice to a fixed length first."""
     rows = F.array_sort(F.collect_list(F.struct("t", "x")))
     return (
         frames.groupBy(*keys)
-        .agg(rows.alias("rows"), F.max(F.size("x")).alias("p"))
-        .select(*keys, F.flatten(F.transform("rows", lambda e: e["x"])).alias("rec"), "p")
+        .agg(rows.alias("rows"), F.max(F.size("x")).alias("p"), *[F.first(c).alias(c) for c in carry])
+        .select(*keys, *carry, F.flatten(F.transform("rows", lambda e: e["x"])).alias("rec"), "p")
     )
 
 
@@ -112,19 +112,22 @@ def replicate_scores(
     keys: Sequence[str] = KEYS,
     kind: str = "ledoit_wolf",
     fisher: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, n_rows, seed, b, r_obs, r_split) for every bootstrap replicate.
+    """(keys, carry, n_rows, seed, b, r_obs, r_split) for every bootstrap replicate.
 
     ``short_frames`` must already be cut to the short window; ``reference`` is an edge table in
-    the space chosen by ``kind``/``fisher``, keyed by ``keys`` or a subset of them.
+    the space chosen by ``kind``/``fisher`` (or an already packed ``ref`` column), keyed by ``keys``
+    or a subset of them. ``carry`` names columns of ``short_frames`` that are constant per key.
     The three sides are one row per key; only bounded arrays meet, and replicates never shuffle.
     """
     keys = list(keys)
     ref_keys = [k for k in keys if k in reference.columns]
+    packed = reference if "ref" in reference.columns else pack_edges(reference, ref_keys)
     sides = (
-        pack_recordings(short_frames, keys)
+        pack_recordings(short_frames, keys, carry)
         .join(block_lengths(short_frames, keys), keys)
-        .join(pack_edges(reference, ref_keys), ref_keys)
+        .join(packed.select(*ref_keys, "ref"), ref_keys)
     )
     starts = F.flatten(
         F.transform(
@@ -138,9 +141,9 @@ def replicate_scores(
     jobs = (
         sides.withColumn("n_blocks", block_count())
         .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-        .select(*keys, "n_rows", "seed", "rec", "p", "ref", "block_len", "n_blocks", starts.alias("starts"))
+        .select(*keys, *carry, "n_rows", "seed", "rec", "p", "ref", "block_len", "n_blocks", starts.alias("starts"))
     )
-    carried = [*keys, "n_rows", "seed"]
+    carried = [*keys, *carry, "n_rows", "seed"]
     fields = [jobs.schema[k] for k in carried] + [T.StructField("b", T.IntegerType())]
     fields += [T.StructField(c, T.DoubleType()) for c in ("r_obs", "r_split")]
     scores = jobs.mapInArrow(replicate_kernel(carried, kind, fisher), T.StructType(fields))

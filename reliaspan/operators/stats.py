@@ -239,9 +239,9 @@ def kernel_density(rows: DataFrame, value: str, grid: Sequence[float], by: Seque
     return joined.filter(F.col(value).isNotNull()).withColumn("x", F.explode(points)).groupBy(*by, "x").agg(F.avg(k).alias("density"))
 
 
-def quartile_summary(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def quartile_summary(rows: DataFrame, value: str, by: Sequence[str], materialise: bool = True) -> DataFrame:
     """Exact quartiles and IQR of groups of any size."""
-    q = exact_quantiles(rows, value, [0.25, 0.5, 0.75], by)
+    q = exact_quantiles(rows, value, [0.25, 0.5, 0.75], by, materialise)
     return q.select(*by, F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), (F.col("q2") - F.col("q0")).alias("iqr"))
 
 
