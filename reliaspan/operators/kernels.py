@@ -220,3 +220,44 @@ def solve_kernel(keys: list[str]):
             yield pa.RecordBatch.from_arrays(cols, names=keys + ["beta"])
 
     return run
+
+
+def labels_kernel(keys: list[str], fn):
+    """Apply ``fn`` (matrix -> integer labels) to the small symmetric matrix packed in each row."""
+
+    def run(batches):
+        for batch in batches:
+            rows, nodes, labels = [], [], []
+            for row in range(batch.num_rows):
+                ids = batch.column("channels")[row].values.to_numpy(zero_copy_only=False)
+                packed = batch.column("packed")[row].values.to_numpy(zero_copy_only=False)
+                rows.append(np.full(len(ids), row))
+                nodes.append(ids)
+                labels.append(fn(unpack_symmetric(packed, len(ids))))
+            if rows:
+                taken = pa.array(np.concatenate(rows))
+                cols = [batch.column(k).take(taken) for k in keys]
+                data = [pa.array(np.concatenate(v).astype(np.int32)) for v in (nodes, labels)]
+                yield pa.RecordBatch.from_arrays(cols + data, names=keys + ["node", "community"])
+
+    return run
+
+
+def spectral_labels(corr: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+    """Normalised-Laplacian embedding of the (r + 1)/2 affinity and a deterministic k-means on it."""
+    a = np.clip((corr + 1) / 2, 0, 1)
+    np.fill_diagonal(a, 0)
+    d = np.sqrt(np.maximum(a.sum(axis=1), 1e-12))
+    _, vecs = np.linalg.eigh(np.eye(len(a)) - a / np.outer(d, d))
+    x = vecs[:, :k] / d[:, None]
+    centres = [x[0]]  # farthest-point start
+    while len(centres) < k:
+        centres.append(x[np.argmax(np.min([((x - c) ** 2).sum(1) for c in centres], axis=0))])
+    centres = np.array(centres)
+    for _ in range(rounds):
+        labels = np.argmin(((x[:, None] - centres[None]) ** 2).sum(-1), axis=1)
+        new = np.array([x[labels == c].mean(0) if np.any(labels == c) else centres[c] for c in range(k)])
+        if np.allclose(new, centres):
+            break
+        centres = new
+    return labels

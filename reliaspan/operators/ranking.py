@@ -49,6 +49,22 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, bucket: Column, n
     )
 
 
+def cumulate(df: DataFrame, by: Sequence[str], order: str, bucket: Column, sums: dict[str, str]) -> DataFrame:
+    """Running totals along ``order`` within ``by``, current row included: {output: input column}.
+
+    ``order`` must be unique within ``by`` (aggregate equal values first).
+    """
+    by = list(by)
+    marked = df.withColumn("_bkt", bucket)
+    per = marked.groupBy(*by, "_bkt").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select(*by, "_bkt", *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_b_{o}") for o in sums])
+    inside = Window.partitionBy(*by, "_bkt").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = marked.withColumns({f"_l_{o}": F.sum(c).over(inside) for o, c in sums.items()}).join(before, [*by, "_bkt"])
+    out = out.withColumns({o: F.col(f"_l_{o}") + F.col(f"_b_{o}") for o in sums})
+    return out.drop("_bkt", *[f"_l_{o}" for o in sums], *[f"_b_{o}" for o in sums])
+
+
 def _offsets(marked: DataFrame, by: list[str]) -> DataFrame:
     counts = marked.groupBy(*by, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
