@@ -125,15 +125,13 @@ def largest_component_paths(spark, sf_dir):
 
 @query("small_world")
 def small_world(spark, sf_dir):
-    m, _, _ = _network(spark, sf_dir)
-    out = small_worldness(m)
+    out = small_worldness(marked(spark, sf_dir))
     return out.select("subject_id", "n_nodes", r6("clustering"), r6("path_length"), r6("sigma"))
 
 
 @query("communities")
 def communities_query(spark, sf_dir):
-    _, kept, nodes = _network(spark, sf_dir)
-    return communities(kept, nodes)
+    return communities(marked(spark, sf_dir))
 
 
 BLOCKS_SQL = f"""
@@ -189,7 +187,7 @@ def _labelled_models(spark, sf_dir):
     edges = wide.select("subject_id", "i", "j", sides.alias("e")).select("subject_id", "i", "j", "e.*")
     m = mark_density(edges, 0.25, ["subject_id", "model"]).checkpoint()
     keys = ["subject_id", "model"]
-    return m, communities(m.filter("kept").select(*keys, "i", "j"), edge_nodes(m, keys), keys), keys
+    return m, communities(m, keys), keys
 
 
 @query("community_evaluation")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from reliaspan.functions.hashing import HASH_RANGE, seeded_hash
 from reliaspan.functions.reliability import as_col
 from reliaspan.operators.connectivity import KEYS
-from reliaspan.operators.kernels import scalar_kernel
+from reliaspan.operators.kernels import labels_kernel, louvain_labels, scalar_kernel, small_world_kernel
 from reliaspan.session import ensure_checkpoint_dir
 
 
@@ -167,52 +167,22 @@ def mean_clustering(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = KE
     )
 
 
-def random_edges(nodes: DataFrame, density: DataFrame, seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One Erdos-Renyi draw per subject over its (bounded) nodes: a pair exists when its seeded hash
-    falls below the density."""
-    keys = list(keys)
-    ids = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list("node")).alias("ids"))
-    pairs = ids.withColumn("i", F.explode("ids")).withColumn("j", F.explode(F.filter("ids", lambda v: v > F.col("i"))))
-    h = seeded_hash(*[F.col(k) for k in keys], seed, F.col("i"), F.col("j"))
-    return pairs.join(density, keys).filter(h < F.col("density") * HASH_RANGE).select(*keys, "i", "j")
-
-
 def small_worldness(marked: DataFrame, seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:
-    """sigma = (C/C_rand)/(L/L_rand) on the largest component; NULL below three nodes."""
-    keys = list(keys)
-    kept = _cut(marked.filter("kept").select(*keys, "i", "j"))
-    nodes = _cut(edge_nodes(marked, keys))
-    big = _largest(kept, nodes, keys).filter("size >= 3")
-    big = _cut(big)
-    inside = _inside(kept, big, keys)
-    c = mean_clustering(inside, big, keys)
-    length = mean_path_length(to_adjacency(inside, keys), big, keys)
-    n = F.col("n_nodes")
-    density = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).join(c, keys).select(
-        *keys, (2 * F.col("m") / (n * (n - 1))).alias("density")
-    )
-    rand = _cut(random_edges(big, density, seed, keys))
-    rbig = _cut(_largest(rand, big.select(*keys, "node"), keys))
-    rinside = _inside(rand, rbig, keys)
-    rc = mean_clustering(rinside, rbig, keys).select(*keys, F.col("clustering").alias("c_rand"))
-    rl = mean_path_length(to_adjacency(rinside, keys), rbig, keys).select(*keys, F.col("path_length").alias("l_rand"))
-    gamma = F.when(F.col("c_rand") > 0, F.col("clustering") / F.col("c_rand")).otherwise(1.0)
-    lam = F.when(F.col("l_rand") > 0, F.col("path_length") / F.col("l_rand")).otherwise(1.0)
-    out = c.join(length, keys).join(rc, keys, "left").join(rl, keys, "left").select(
-        *keys, "n_nodes", "clustering", "path_length", F.when(lam > 0, gamma / lam).alias("sigma")
-    )
-    return nodes.select(*keys).distinct().join(out, keys, "left")
+    """sigma = (C/C_rand)/(L/L_rand) on the largest component; NULL below three nodes.
 
-
-def _largest(kept, nodes, keys):
-    return largest_component(connected_components(to_adjacency(kept, keys), nodes, keys), keys)
-
-
-def _inside(kept, nodes, keys):
-    ids = nodes.select(*keys, "node")
-    return kept.join(ids.withColumnRenamed("node", "i"), [*keys, "i"], "left_semi").join(
-        ids.withColumnRenamed("node", "j"), [*keys, "j"], "left_semi"
+    Each subject's network is one small packed matrix. A second packed matrix holds a seeded uniform
+    number per pair; pairs below the component's density form the one random reference graph.
+    """
+    keys = list(keys)
+    u = seeded_hash(*[F.col(k) for k in keys], seed, F.col("i"), F.col("j")) / HASH_RANGE
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", F.col("kept").cast("double").alias("a"), u.alias("u"))))
+    packed = marked.groupBy(*keys).agg(cells.alias("e")).select(
+        *keys, F.transform("e", lambda c: c["a"]).alias("edges"), F.transform("e", lambda c: c["u"]).alias("draws")
     )
+    out = ("n_nodes", "clustering", "path_length", "sigma")
+    schema = T.StructType([packed.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in out])
+    real = [F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in out[1:]]
+    return packed.mapInArrow(small_world_kernel(keys), schema).select(*keys, F.col("n_nodes").cast("int").alias("n_nodes"), *real)
 
 
 def modularity(kept: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -230,72 +200,23 @@ def modularity(kept: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS) -
     )
 
 
-def communities(kept: DataFrame, nodes: DataFrame, keys: Sequence[str] = KEYS, max_levels: int = 10, max_rounds: int = 20) -> DataFrame:
-    """(keys, node, community) by Louvain: local moves, then merging, until modularity stops rising.
+def communities(marked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, node, community) by Louvain on each subject's network, given with a ``kept`` flag.
 
-    A round moves only nodes whose hash parity matches the round, towards the neighbour community of
-    best gain (smallest id wins a tie), and a level keeps its result only where the subject's
-    modularity rose. Every round is joins and aggregations over all subjects at once.
+    A network has as many nodes as the recording has channels, so each is one small packed matrix;
+    Spark spreads the subjects. Nodes are visited in id order and the smallest community id wins a
+    tie, so the result is reproducible.
     """
+    from reliaspan.operators.edges import pack_symmetric
+
     keys = list(keys)
-    node_labels = _cut(nodes.select(*keys, "node", F.col("node").alias("community")))
-    edges = _cut(to_adjacency(kept, keys).withColumn("w", F.lit(1.0)))
-    best_q = None
-    for _ in range(max_levels):
-        moved = _local_moves(edges, keys, max_rounds)
-        mapped = node_labels.join(
-            moved.select(*keys, F.col("node").alias("community"), F.col("community").alias("to")), [*keys, "community"], "left"
-        ).select(*keys, "node", F.coalesce("to", "community").alias("community"))
-        mapped = _cut(mapped)
-        changed = mapped.join(node_labels.withColumnRenamed("community", "old"), [*keys, "node"]).filter("old <> community")
-        node_labels = mapped
-        if changed.isEmpty():
-            break
-        a = moved.select(*keys, F.col("node").alias("src"), F.col("community").alias("cs"))
-        b = moved.select(*keys, F.col("node").alias("dst"), F.col("community").alias("cd"))
-        edges = _cut(
-            edges.join(a, [*keys, "src"]).join(b, [*keys, "dst"])
-            .groupBy(*keys, F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w"))
-        )
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("community")) - 1
-    return node_labels.withColumn("community", rank.cast("int"))
-
-
-def _local_moves(edges: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
-    """One Louvain level on a weighted graph (self loops carry internal weight)."""
-    strength = edges.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-    m2 = strength.groupBy(*keys).agg(F.sum("k").alias("m2"))
-    base = _cut(strength.join(m2, keys).withColumn("parity", seeded_hash(*[F.col(k) for k in keys], F.col("node")) % 2))
-    labels = _cut(base.select(*keys, "node", F.col("node").alias("community")))
-    still = 0
-    for turn in range(max_rounds):
-        sized = base.join(labels, [*keys, "node"])
-        tot = sized.groupBy(*keys, "community").agg(F.sum("k").alias("tot"))
-        towards = (
-            edges.filter("src <> dst").withColumnRenamed("src", "node")
-            .join(labels.select(*keys, F.col("node").alias("dst"), F.col("community").alias("to")), [*keys, "dst"])
-            .groupBy(*keys, "node", "to").agg(F.sum("w").alias("w_to"))
-        )
-        # Staying is always an option, so the own community enters with its own link weight.
-        options = towards.unionByName(labels.select(*keys, "node", F.col("community").alias("to"), F.lit(0.0).alias("w_to")))
-        options = options.groupBy(*keys, "node", "to").agg(F.sum("w_to").alias("w_to"))
-        scored = (
-            options.join(sized, [*keys, "node"]).join(tot.withColumnRenamed("community", "to"), [*keys, "to"])
-            .withColumn("rest", F.col("tot") - F.when(F.col("to") == F.col("community"), F.col("k")).otherwise(0.0))
-            .withColumn("gain", F.round(F.col("w_to") - F.col("k") * F.col("rest") / F.col("m2"), 9))
-        )
-        pick = scored.groupBy(*keys, "node").agg(
-            F.max_by("to", F.struct("gain", -F.col("to"))).alias("to"), F.max("gain").alias("gain"),
-            F.max(F.when(F.col("to") == F.col("community"), F.col("gain"))).alias("stay"),
-            F.first("community").alias("community"), F.first("parity").alias("parity"),
-        )
-        go = (F.col("parity") == turn % 2) & (F.col("gain") > F.col("stay"))
-        new = _cut(pick.select(*keys, "node", F.when(go, F.col("to")).otherwise(F.col("community")).alias("community"), go.alias("go")))
-        labels = new.drop("go")
-        still = still + 1 if new.filter("go").isEmpty() else 0
-        if still == 2:
-            break
-    return labels
+    nodes = edge_nodes(marked, keys)
+    cells = marked.select(*keys, "i", "j", F.col("kept").cast("double").alias("v")).unionByName(
+        nodes.select(*keys, F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("v"))
+    )
+    packed = pack_symmetric(cells, keys, "v")
+    fields = [packed.schema[k] for k in keys] + [T.StructField("node", T.IntegerType()), T.StructField("community", T.IntegerType())]
+    return packed.mapInArrow(labels_kernel(keys, louvain_labels), T.StructType(fields))
 
 
 def best_jaccard(reference: DataFrame, predicted: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
