@@ -16,6 +16,7 @@ from reliaspan.functions.hashing import HASH_RANGE, seeded_hash
 from reliaspan.functions.reliability import as_col
 from reliaspan.operators.connectivity import KEYS
 from reliaspan.operators.kernels import labels_kernel, louvain_labels, scalar_kernel, small_world_kernel
+from reliaspan.operators.ranking import number_rows
 from reliaspan.session import ensure_checkpoint_dir
 
 
@@ -251,12 +252,13 @@ def parse_networks(labels: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def network_order(labelled: DataFrame) -> DataFrame:
-    """Display position of every channel, sorted by network, with a flag at network boundaries.
-
-    One row per channel, so the single window holds at most the channel count.
-    """
-    w = Window.orderBy("network", "channel")
-    prev = F.lag("network").over(w)
-    return labelled.withColumn("position", (F.row_number().over(w) - 1).cast("int")).withColumn(
-        "boundary", F.coalesce(prev != F.col("network"), F.lit(False))
-    )
+    """Display position of every channel, sorted by (network, channel), with a flag at network
+    boundaries. Ranked in blocks of channel ids, so a big network is not sorted in one task."""
+    bucket = F.col("network").cast("bigint") * (1 << 32) + F.floor(F.col("channel") / 4096)
+    ranked = number_rows(labelled.filter("network IS NOT NULL"), [], ["network", "channel"], bucket).withColumn(
+        "position", (F.col("rn") - 1).cast("int")
+    ).drop("rn")
+    firsts = ranked.groupBy("network").agg(F.min("position").alias("_first"))
+    return ranked.join(firsts, "network").withColumn(
+        "boundary", (F.col("position") == F.col("_first")) & (F.col("position") > 0)
+    ).drop("_first")
