@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from reliaspan.functions.reliability import as_col, clip, fisher_z
 from reliaspan.operators.connectivity import KEYS, moment_corr, pair_moments, pearson_from_moments, shrunk_pairs
 from reliaspan.operators.kernels import matrix_kernel, partial_corr
+from reliaspan.session import spread
 
 
 def pack_symmetric(pairs: DataFrame, keys: Sequence[str] = KEYS, value: str = "c") -> DataFrame:
@@ -28,7 +29,7 @@ def map_matrices(packed: DataFrame, fn, keys: Sequence[str] = KEYS, diagonal: bo
     """Apply a p x p -> p x p function to every key's matrix; one small matrix per call."""
     fields = [packed.schema[k] for k in keys]
     fields += [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("r", T.DoubleType())]
-    return packed.select(*keys, "channels", "packed").mapInArrow(matrix_kernel(list(keys), fn, diagonal), T.StructType(fields))
+    return spread(packed.select(*keys, "channels", "packed"), *keys).mapInArrow(matrix_kernel(list(keys), fn, diagonal), T.StructType(fields))
 
 
 def partial_edges(frames: DataFrame, keys: Sequence[str] = KEYS, shrink: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ from reliaspan.functions.reliability import as_col
 from reliaspan.operators.connectivity import KEYS
 from reliaspan.operators.kernels import labels_kernel, louvain_labels, scalar_kernel, small_world_kernel
 from reliaspan.operators.ranking import number_rows
-from reliaspan.session import ensure_checkpoint_dir
+from reliaspan.session import ensure_checkpoint_dir, spread
 
 
 def density_threshold(edges: DataFrame, density: float = 0.15, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -97,7 +97,7 @@ def algebraic_connectivity(marked: DataFrame, keys: Sequence[str] = KEYS) -> Dat
     packed = pack_symmetric(cells, keys, "v")
     schema = T.StructType([packed.schema[k] for k in keys] + [T.StructField("fiedler", T.DoubleType())])
     second = lambda m: np.linalg.eigvalsh(m)[1] if len(m) > 1 else 0.0
-    return packed.mapInArrow(scalar_kernel(keys, second, "fiedler"), schema)
+    return spread(packed, *keys).mapInArrow(scalar_kernel(keys, second, "fiedler"), schema)
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def small_worldness(marked: DataFrame, seed: int = 42, keys: Sequence[str] = KEY
     out = ("n_nodes", "clustering", "path_length", "sigma")
     schema = T.StructType([packed.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in out])
     real = [F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in out[1:]]
-    return packed.mapInArrow(small_world_kernel(keys), schema).select(*keys, F.col("n_nodes").cast("int").alias("n_nodes"), *real)
+    return spread(packed, *keys).mapInArrow(small_world_kernel(keys), schema).select(*keys, F.col("n_nodes").cast("int").alias("n_nodes"), *real)
 
 
 def modularity(kept: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -217,7 +217,7 @@ def communities(marked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
     packed = pack_symmetric(cells, keys, "v")
     fields = [packed.schema[k] for k in keys] + [T.StructField("node", T.IntegerType()), T.StructField("community", T.IntegerType())]
-    return packed.mapInArrow(labels_kernel(keys, louvain_labels), T.StructType(fields))
+    return spread(packed, *keys).mapInArrow(labels_kernel(keys, louvain_labels), T.StructType(fields))
 
 
 def best_jaccard(reference: DataFrame, predicted: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -75,46 +75,59 @@ def gram_kernel(keys: list[str], norm: bool, weighted: bool):
 
 
 def segment_fc(x: np.ndarray, kind: str = "ledoit_wolf", fisher: bool = False) -> np.ndarray:
-    """Upper-triangle connectivity of one bounded segment (pearson, ledoit_wolf or partial)."""
-    n, p = x.shape
-    iu = np.triu_indices(p, 1)
+    """Upper-triangle connectivity of bounded segments (pearson, ledoit_wolf or partial).
+
+    ``x`` is (..., rows, channels); leading axes are independent segments handled in one sweep.
+    """
+    n, p = x.shape[-2:]
+    a, b = np.triu_indices(p, 1)
     if n < 3:
-        return np.zeros(len(iu[0]))
-    x = x - x.mean(axis=0)
-    cov = x.T @ x / n
+        return np.zeros((*x.shape[:-2], len(a)))
+    size = (x * x).mean(axis=-2, keepdims=True)
+    x = x - x.mean(axis=-2, keepdims=True)
+    # The rounding residue of a constant channel is not variation.
+    x = np.where((x * x).mean(axis=-2, keepdims=True) <= 1e-12 * size, 0.0, x)
+    cov = np.swapaxes(x, -1, -2) @ x / n
     if kind != "pearson":
-        mu = np.trace(cov) / p
-        total = float((cov * cov).sum())
-        fourth = float((((x * x).sum(axis=1)) ** 2).sum())
+        d = np.arange(p)
+        mu = cov[..., d, d].mean(axis=-1)
+        total = (cov * cov).sum(axis=(-1, -2))
+        fourth = ((x * x).sum(axis=-1) ** 2).sum(axis=-1)
         beta = (fourth / n - total) / (p * n)
         delta = total / p - mu * mu
-        s = 0.0 if beta <= 0 or delta <= 0 else min(beta, delta) / delta
-        cov = (1 - s) * cov
-        cov[np.diag_indices(p)] += s * mu
-    r = partial_corr(cov)[iu] if kind == "partial" else _scale(cov)[iu]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = np.where((beta <= 0) | (delta <= 0), 0.0, np.minimum(beta, delta) / delta)
+        cov = (1 - s)[..., None, None] * cov
+        cov[..., d, d] += (s * mu)[..., None]
+    r = (partial_corr(cov) if kind == "partial" else _scale(cov))[..., a, b]
     if kind == "ledoit_wolf":
         r = np.nan_to_num(r, nan=0.0)
     return np.arctanh(np.clip(r, -0.9999, 0.9999)) if fisher else r
 
 
 def _scale(m: np.ndarray) -> np.ndarray:
-    d = np.sqrt(np.diag(m))
+    d = np.sqrt(np.diagonal(m, axis1=-2, axis2=-1))
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.clip(m / np.outer(d, d), -1, 1)
+        return np.clip(m / (d[..., :, None] * d[..., None, :]), -1, 1)
 
 
 def partial_corr(cov: np.ndarray, pseudo: bool = False) -> np.ndarray:
     """Negated, scaled inverse of a covariance (or correlation) matrix."""
     theta = np.linalg.pinv(cov) if pseudo else np.linalg.inv(cov)
-    d = np.sqrt(np.abs(np.diag(theta)))
-    d[d == 0] = 1e-10
-    return -theta / np.outer(d, d)
+    d = np.sqrt(np.abs(np.diagonal(theta, axis1=-2, axis2=-1)))
+    d = np.where(d == 0, 1e-10, d)
+    return -theta / (d[..., :, None] * d[..., None, :])
+
+
+def _corr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation along the last axis; NaN where either side is constant."""
+    a, b = a - a.mean(axis=-1, keepdims=True), b - b.mean(axis=-1, keepdims=True)
+    den = np.sqrt((a * a).sum(axis=-1) * (b * b).sum(axis=-1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(den > 0, (a * b).sum(axis=-1) / den, np.nan)
 
 
-def _corr(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = a - a.mean(), b - b.mean()
-    den = np.sqrt((a @ a) * (b @ b))
-    return float(a @ b / den) if den > 0 else float("nan")
+REPLICATE_CELLS = 1 << 22  # covariance cells held at once, whatever the number of replicates
 
 
 def replicate_kernel(keys: list[str], kind: str, fisher: bool):
@@ -134,22 +147,20 @@ def replicate_kernel(keys: list[str], kind: str, fisher: bool):
                 starts = starts.reshape(-1, batch.column("n_blocks")[row].as_py())
                 index = (starts[:, :, None] + np.arange(length)).reshape(len(starts), -1)
                 half = index.shape[1] // 2
-                for b, idx in enumerate(index):
-                    xb = x[idx]
+                step = max(1, REPLICATE_CELLS // (width * width))
+                for first in range(0, len(index), step):
+                    xb = x[index[first:first + step]]
                     whole = segment_fc(xb, kind, fisher)
-                    first = segment_fc(xb[:half], half_kind)
-                    second = segment_fc(xb[half:], half_kind)
-                    src.append(row)
-                    rep.append(b)
+                    halves = segment_fc(xb[:, :half], half_kind), segment_fc(xb[:, half:], half_kind)
+                    src.append(np.full(len(xb), row))
+                    rep.append(np.arange(first, first + len(xb), dtype=np.int32))
                     r_obs.append(_corr(whole, ref))
-                    r_split.append(_corr(first, second))
+                    r_split.append(_corr(*halves))
             if src:
-                taken = pa.array(src)
+                taken = pa.array(np.concatenate(src))
                 cols = [batch.column(k).take(taken) for k in keys]
-                yield pa.RecordBatch.from_arrays(
-                    cols + [pa.array(rep, pa.int32()), pa.array(r_obs, pa.float64()), pa.array(r_split, pa.float64())],
-                    names=keys + ["b", "r_obs", "r_split"],
-                )
+                data = [pa.array(np.concatenate(v)) for v in (rep, r_obs, r_split)]
+                yield pa.RecordBatch.from_arrays(cols + data, names=keys + ["b", "r_obs", "r_split"])
 
     return run
 

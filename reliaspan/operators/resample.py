@@ -33,6 +33,7 @@ from reliaspan.operators.connectivity import (
 )
 from reliaspan.operators.kernels import replicate_kernel
 from reliaspan.operators.slices import label_segments
+from reliaspan.session import spread
 from reliaspan.sources.panels import frames_to_samples
 
 
@@ -138,9 +139,9 @@ def replicate_scores(
             ),
         )
     )
+    seeded = sides.withColumn("n_blocks", block_count()).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     jobs = (
-        sides.withColumn("n_blocks", block_count())
-        .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+        spread(seeded, *keys, "seed")
         .select(*keys, *carry, "n_rows", "seed", "rec", "p", "ref", "block_len", "n_blocks", starts.alias("starts"))
     )
     carried = [*keys, *carry, "n_rows", "seed"]

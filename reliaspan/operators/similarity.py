@@ -16,6 +16,7 @@ from reliaspan.operators.connectivity import KEYS, moment_corr, pack_edges
 from reliaspan.operators.edges import pack_symmetric
 from reliaspan.operators.kernels import scalar_kernel
 from reliaspan.operators.ranking import exact_quantiles
+from reliaspan.session import spread
 
 
 def average_rank_within(value: str, keys: Sequence[str]) -> Column:
@@ -46,7 +47,7 @@ def condition_numbers(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     cells = edges.select(*keys, "i", "j", "r").unionByName(ends.select(*keys, "i", F.col("i").alias("j"), F.lit(1.0).alias("r")))
     packed = pack_symmetric(cells, keys, "r")
     schema = T.StructType([packed.schema[k] for k in keys] + [T.StructField("condition_number", T.DoubleType())])
-    return packed.mapInArrow(scalar_kernel(keys, np.linalg.cond, "condition_number"), schema)
+    return spread(packed, *keys).mapInArrow(scalar_kernel(keys, np.linalg.cond, "condition_number"), schema)
 
 
 def edge_agreement(wide: DataFrame, a: str, b: str, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -35,3 +35,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
+def spread(df, *keys):
+    """Hash the rows over every core before a compute-heavy kernel.
+
+    Packed rows are few and small, so size-based coalescing would leave them in one task; an
+    explicit partition count keeps the session's parallelism.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
