@@ -85,40 +85,32 @@ def with_value_bucket(df: DataFrame, value: str, buckets: int = BUCKETS, name: s
     return out.withColumn(name, F.col(name).cast("int"))
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), materialise: bool = True
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, q0, q1, ...): exact, linearly interpolated quantiles of groups of any size.
 
-    Counts per value bucket locate the bucket that holds each needed order statistic; only those
-    buckets are then ranked, so no group is gathered whole. The narrow (group, value) input is read
-    several times: it is checkpointed unless ``materialise`` is off (for a plain table column).
+    Rows shrink to counts per distinct value first (combined on the map side, so heavy ties cost
+    nothing); bucketed running totals then say which value holds each needed position. The counts are
+    checkpointed because the cut points and the totals both read them.
     """
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))  # a struct matches NULL groups too
-    narrow = df.filter(F.col(value).isNotNull()).select(key.alias("_by"), F.col(value).cast("double").alias("_v"))
-    if materialise:
-        ensure_checkpoint_dir(df.sparkSession)
-        narrow = narrow.checkpoint()
-    work = with_value_bucket(narrow, "_v", name="_bkt")
-    counts = work.groupBy("_by", "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    full = Window.partitionBy("_by")
-    running = full.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = counts.withColumn("_end", F.sum("_n").over(running)).withColumn("_total", F.sum("_n").over(full))
-    wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(probs)])
-    first = F.col("_end") - F.col("_n")
-    targets = (
-        spans.withColumn("w", F.explode(wanted))
-        .withColumn("_pos", (F.col("_total") - 1) * F.col("w.p"))
-        .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-        .withColumn("_idx", F.when(F.col("_side") == 0, F.floor("_pos")).otherwise(F.ceil("_pos")))
-        .filter((F.col("_idx") >= first) & (F.col("_idx") < F.col("_end")))
-        .select("_by", "_bkt", "w.k", "_side", "_pos", (F.col("_idx") - first).alias("_in"))
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(key.alias("_by"), F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .checkpoint()
     )
-    needed = work.join(targets.select("_by", "_bkt").distinct(), ["_by", "_bkt"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("_by", "_bkt").orderBy("_v")) - 1
-    hit = targets.join(needed.withColumn("_in", rank.cast("bigint")), ["_by", "_bkt", "_in"])
-    side = lambda s: F.max(F.when(F.col("_side") == s, F.col("_v")))
-    ends = hit.groupBy("_by", "k").agg(side(0).alias("a"), side(1).alias("b"), F.max("_pos").alias("pos"))
-    lerp = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
-    aggs = [F.max(F.when(F.col("k") == k, lerp)).alias(f"q{k}") for k in range(len(probs))]
-    return ends.groupBy("_by").agg(*aggs).select(*[F.col(f"_by.{c}").alias(c) for c in by], *[f"q{k}" for k in range(len(probs))])
+    ends = cumulate(with_value_bucket(counts, "_v"), ["_by"], "_v", F.col("_vb"), {"_end": "_n"})
+    totals = counts.groupBy("_by").agg(F.sum("_n").alias("_total"))
+    rows = ends.join(totals, "_by")
+    inside = lambda idx: (idx >= F.col("_end") - F.col("_n")) & (idx < F.col("_end"))
+    aggs = []
+    for k, p in enumerate(probs):
+        pos = (F.col("_total") - 1) * F.lit(float(p))
+        aggs += [
+            F.max(F.when(inside(F.floor(pos)), F.col("_v"))).alias(f"_a{k}"), F.max(F.when(inside(F.ceil(pos)), F.col("_v"))).alias(f"_b{k}"),
+            F.max(pos - F.floor(pos)).alias(f"_f{k}"),
+        ]
+    out = rows.groupBy("_by").agg(*aggs)
+    lerp = [(F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * F.col(f"_f{k}")).alias(f"q{k}") for k in range(len(probs))]
+    return out.select(*[F.col(f"_by.{c}").alias(c) for c in by], *lerp)

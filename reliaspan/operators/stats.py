@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from reliaspan.functions.reliability import clip
 from reliaspan.functions.special import t_two_sided
 from reliaspan.operators.connectivity import KEYS, moment_corr
-from reliaspan.operators.ranking import exact_quantiles
+from reliaspan.operators.ranking import exact_quantiles, number_rows, with_value_bucket
+from reliaspan.session import ensure_checkpoint_dir
 
 
 def difference_stationarity(series: DataFrame, keys: Sequence[str] = KEYS, order: str = "window_id", value: str = "r") -> DataFrame:
@@ -122,14 +123,30 @@ def friedman(rows: DataFrame, subject: str, condition: str, value: str) -> DataF
 
 
 def adjust_p(tests: DataFrame, p: str, family: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Adds ``holm`` and ``bh`` within each family of tests (a family is one list of p-values)."""
-    w = Window.partitionBy(*family)
-    by_p = w.orderBy(p, *order)
-    m, rn = F.count(F.lit(1)).over(w), F.row_number().over(by_p)
-    stepped = tests.withColumn("_h", F.least(F.lit(1.0), F.col(p) * (m - rn + 1))).withColumn("_q", F.col(p) * m / rn)
-    holm = F.max("_h").over(by_p.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    bh = F.min("_q").over(by_p.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return stepped.withColumn("holm", holm).withColumn("bh", F.least(bh, F.lit(1.0))).drop("_h", "_q")
+    """Adds ``holm`` and ``bh`` within each family of tests.
+
+    The step-down maximum and step-up minimum run inside buckets of p and are completed by the
+    extremes of the buckets before and after, so a family of any size spreads over tasks.
+    """
+    family = list(family)
+    ensure_checkpoint_dir(tests.sparkSession)
+    base = with_value_bucket(tests.checkpoint(), p, name="_b")
+    ranked = number_rows(base, family, [p, *order], F.col("_b"))
+    size = base.groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))
+    stepped = ranked.join(size, family).withColumns({
+        "_h": F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("rn") + 1)), "_q": F.col(p) * F.col("_m") / F.col("rn"),
+    })
+    edge = stepped.groupBy(*family, "_b").agg(F.max("_h").alias("_hmax"), F.min("_q").alias("_qmin"))
+    along = Window.partitionBy(*family).orderBy("_b")
+    edge = edge.select(
+        *family, "_b", F.max("_hmax").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_hprev"),
+        F.min("_qmin").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_qnext"),
+    )
+    inside = Window.partitionBy(*family, "_b").orderBy("rn")
+    holm = F.max("_h").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bh = F.min("_q").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    done = stepped.withColumn("_h", holm).withColumn("_q", bh).join(edge, [*family, "_b"])
+    return done.select(*tests.columns, F.greatest("_h", "_hprev").alias("holm"), F.least("_q", "_qnext", F.lit(1.0)).alias("bh"))
 
 
 def permutation_p(observed: DataFrame, nulls: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
@@ -203,9 +220,8 @@ def representative_subject(subjects: DataFrame, columns: Sequence[str], key: str
 
 def median_subject(subjects: DataFrame, value: str, key: str = "subject_id") -> DataFrame:
     """The subject at position n // 2 (0-based) of the ascending order, without a global window."""
-    from reliaspan.operators.ranking import number_rows, with_value_bucket
-
-    bucketed = with_value_bucket(subjects.filter(F.col(value).isNotNull()), value)
+    ensure_checkpoint_dir(subjects.sparkSession)
+    bucketed = with_value_bucket(subjects.filter(F.col(value).isNotNull()).checkpoint(), value)
     ranked = number_rows(bucketed, [], [value, key], F.col("_vb")).drop("_vb")
     n = ranked.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     return ranked.filter(F.col("rn") == n // 2 + 1).drop("rn")
@@ -239,9 +255,9 @@ def kernel_density(rows: DataFrame, value: str, grid: Sequence[float], by: Seque
     return joined.filter(F.col(value).isNotNull()).withColumn("x", F.explode(points)).groupBy(*by, "x").agg(F.avg(k).alias("density"))
 
 
-def quartile_summary(rows: DataFrame, value: str, by: Sequence[str], materialise: bool = True) -> DataFrame:
+def quartile_summary(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Exact quartiles and IQR of groups of any size."""
-    q = exact_quantiles(rows, value, [0.25, 0.5, 0.75], by, materialise)
+    q = exact_quantiles(rows, value, [0.25, 0.5, 0.75], by)
     return q.select(*by, F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), (F.col("q2") - F.col("q0")).alias("iqr"))
 
 
