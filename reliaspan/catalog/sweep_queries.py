@@ -31,7 +31,7 @@ from reliaspan.plans.sweeps import (
     add_noise, convergence_curve, convergence_similarity, convergence_summary, duration_pairs, duration_sweep, grid_summary, keep_channels,
     offset_pairs, offset_subjects, offset_summary, parameter_grid_estimates, pass_interval, seed_first_summary, subject_first_summary,
 )
-from reliaspan.sources.panels import N_MONTHS, SHORT_ROWS, frames_to_samples, lineitem_frames, lineitem_samples
+from reliaspan.sources.panels import N_CHANNELS, N_MONTHS, SHORT_ROWS, frames_to_samples, lineitem_frames, lineitem_samples
 
 DURATIONS = (32, 60)
 
@@ -682,3 +682,47 @@ def ensemble_reference_similarity(spark, sf_dir):
     a = edge_similarity(ensemble, teacher)
     b = edge_similarity(combine_edges(ensemble, teacher, 0.5), teacher, name="r_blend")
     return a.join(b, "subject_id").select("subject_id", r6("r_fc"), r6("r_blend"))
+
+
+WINDOW_LENGTHS = (24, 40)
+STRONG = [
+    pearson("S", "FR", constant="0"),
+    f"""
+SW0 AS (SELECT subject_id, CAST(s AS INTEGER) AS seed, CAST(l AS INTEGER) AS length, {hash_sql('subject_id', 's', 'l', "'window'")} % (83 - l + 1) AS st
+  FROM subj CROSS JOIN (SELECT unnest([1, 2]) AS s) CROSS JOIN (SELECT unnest([24, 40]) AS l)),
+SW1 AS (SELECT S.*, seed, length FROM S JOIN SW0 w ON w.subject_id = S.subject_id AND t >= st AND t < st + length)""",
+    pearson("SW1", "FW", ("subject_id", "seed", "length"), constant="0"),
+    f"""
+SR0 AS (SELECT w.subject_id, seed, length, w.r AS a, f.r AS b FROM FW w JOIN FR f ON f.subject_id = w.subject_id AND f.i = w.i AND f.j = w.j WHERE abs(f.r) > 0.05),
+SR1 AS (SELECT *, rank() OVER (PARTITION BY subject_id, seed, length ORDER BY a) + (count(*) OVER (PARTITION BY subject_id, seed, length, a) - 1) / 2.0 AS ra,
+  rank() OVER (PARTITION BY subject_id, seed, length ORDER BY b) + (count(*) OVER (PARTITION BY subject_id, seed, length, b) - 1) / 2.0 AS rb FROM SR0),
+SR AS (SELECT subject_id, seed, length, {corr_expr('ra', 'rb')} AS r_strong FROM SR1 GROUP BY 1, 2, 3 HAVING count(*) >= 10)""",
+]
+
+
+@query(
+    "strong_edge_sweep",
+    with_panel(*STRONG) + f"SELECT length, CAST(count(r_strong) AS BIGINT) AS n, {q6('avg(r_strong)', 'r_strong_mean')}, {q6('stddev_pop(r_strong)', 'r_strong_sd')} FROM SR GROUP BY 1",
+)
+def strong_edge_sweep(spark, sf_dir):
+    from reliaspan.plans.sweeps import strong_edge_similarity
+
+    frames = lineitem_frames(spark, sf_dir).withColumn("n_rows", F.lit(N_MONTHS))
+    r = strong_edge_similarity(frames, WINDOW_LENGTHS, SEEDS, 0.05, 10)
+    return r.groupBy("length").agg(F.count("r_strong").alias("n"), r6(F.avg("r_strong"), "r_strong_mean"), r6(F.stddev_pop("r_strong"), "r_strong_sd"))
+
+
+@query(
+    "scheme_comparison",
+    with_panel(
+        "SCH AS (SELECT *, 'fine' AS scheme FROM S UNION ALL SELECT *, 'coarse' FROM S WHERE channel < 6)", "SCS AS (SELECT * FROM SCH WHERE t < 16)",
+        pearson("SCS", "CA1", ("subject_id", "scheme"), constant="0"), pearson("SCH", "CB1", ("subject_id", "scheme"), constant="0"),
+        similarity("CA1", "CB1", "CR1", ("subject_id", "scheme"), name="r"),
+    )
+    + f"SELECT scheme, CAST(count(r) AS BIGINT) AS n, {q6('avg(r)', 'r_mean')}, {q6('stddev_pop(r)', 'r_sd')} FROM CR1 GROUP BY 1",
+)
+def scheme_comparison_query(spark, sf_dir):
+    from reliaspan.plans.sweeps import scheme_comparison
+
+    out = scheme_comparison(lineitem_frames(spark, sf_dir), {"fine": N_CHANNELS, "coarse": 6}, SHORT_ROWS)
+    return out.select("scheme", "n", r6("r_mean"), r6("r_sd"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reliaspan.operators.connectivity import moment_corr, pair_moments
+from reliaspan.session import spread
 
-GRAM_LIMIT = 8192
+SYSTEM_LIMIT = 8192  # rows of the square system the driver solves
 
 
 def leave_one_out_weights(gram: np.ndarray, alpha: float) -> np.ndarray:
@@ -29,28 +30,37 @@ def leave_one_out_weights(gram: np.ndarray, alpha: float) -> np.ndarray:
     return weights
 
 
-def held_out_ridge(pairs: DataFrame, alpha: float = 1.0, key: str = "subject_id") -> DataFrame:
-    """(key, i, j, predicted, actual) from (key, i, j, short, long).
+def held_out_ridge(pairs: DataFrame, alpha: float = 1.0, key: str = "subject_id", limit: int = SYSTEM_LIMIT) -> DataFrame:
+    """(key, i, j, predicted, actual) from (key, i, j, short, long), read several times (checkpoint it).
 
-    The dual problem only needs the subject-by-subject Gram matrix. Each edge is one row holding its
-    value for every subject, so the Gram is summed over edges by the same partial-product kernel as
-    connectivity, and predictions are computed edge by edge in the tasks. Only the n x n Gram meets
-    on the driver, and its size is checked.
+    Solves the smaller of two equivalent systems: subjects x subjects or edges x edges. Either
+    matrix is summed over the other axis by the partial-product kernel of the connectivity jobs, its
+    size is counted first, and predictions are computed row by row in the tasks.
     """
+    subjects = pairs.select(key).distinct().count()
+    edges = pairs.select("i", "j").distinct().count()
+    if min(subjects, edges) > limit:
+        raise ValueError(f"neither {subjects} subjects nor {edges} edges fit a system of {limit} rows")
+    return _by_subjects(pairs, alpha, key) if subjects <= edges else _by_edges(pairs, alpha, key)
+
+
+def _square(cells, n: int) -> np.ndarray:
+    out = np.zeros((n, n))
+    for c in cells:
+        out[c["i"], c["j"]] = out[c["j"], c["i"]] = c["sij"]
+    return out
+
+
+def _by_subjects(pairs: DataFrame, alpha: float, key: str) -> DataFrame:
+    """Each edge is one row with its value for every (boundedly many) subject."""
     cell = F.array_sort(F.collect_list(F.struct(key, "short", "long")))
     rows = pairs.groupBy("i", "j").agg(cell.alias("e")).select(
         "i", "j", F.transform("e", lambda e: e[key]).alias("ids"), F.transform("e", lambda e: e["short"]).alias("x"),
         F.transform("e", lambda e: e["long"]).alias("y"),
     )
-    ids = rows.select("ids").head()["ids"]
-    n = len(ids)
-    if n > GRAM_LIMIT:
-        raise ValueError(f"{n} subjects exceed the {GRAM_LIMIT} of the dual form; sample the cohort first")
+    n = len(rows.select("ids").head()["ids"])
     frames = rows.select(F.lit(0).alias("one"), "x", F.transform("ids", lambda v, k: k).alias("channels"))
-    cells = pair_moments(frames, ["one"]).select("i", "j", "sij").collect()
-    gram = np.zeros((n, n))
-    for c in cells:
-        gram[c["i"], c["j"]] = gram[c["j"], c["i"]] = c["sij"]
+    gram = _square(pair_moments(frames, ["one"]).select("i", "j", "sij").collect(), n)
     weights = leave_one_out_weights(gram, alpha)
 
     def predict(batches):
@@ -58,21 +68,53 @@ def held_out_ridge(pairs: DataFrame, alpha: float = 1.0, key: str = "subject_id"
             if batch.num_rows == 0:
                 continue
             y = batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            out = y @ weights.T
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("i"), batch.column("j"), batch.column("ids"), batch.column("y"),
-                 pa.array(list(out), pa.list_(pa.float64()))], names=["i", "j", "ids", "y", "p"]
-            )
+            cols = [batch.column(c) for c in ("i", "j", "ids", "y")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(list(y @ weights.T), pa.list_(pa.float64()))], names=["i", "j", "ids", "y", "p"])
 
     src = rows.select("i", "j", "ids", "y")
     schema = T.StructType([*src.schema.fields, T.StructField("p", T.ArrayType(T.DoubleType()))])
-    done = src.mapInArrow(predict, schema)
-    zipped = F.explode(F.arrays_zip("ids", "y", "p"))
-    return done.select("i", "j", zipped.alias("e")).select(
+    done = spread(src, "i", "j").mapInArrow(predict, schema)
+    return done.select("i", "j", F.explode(F.arrays_zip("ids", "y", "p")).alias("e")).select(
         F.col("e.ids").alias(key), "i", "j", F.col("e.p").alias("predicted"), F.col("e.y").alias("actual")
     )
 
 
+def _by_edges(pairs: DataFrame, alpha: float, key: str) -> DataFrame:
+    """Each subject is one row with its (boundedly many) short and long edges side by side."""
+    cell = F.array_sort(F.collect_list(F.struct("i", "j", "short", "long")))
+    rows = pairs.groupBy(key).agg(cell.alias("e"))
+    m = len(rows.select("e").head()["e"])
+    both = F.concat(F.transform("e", lambda e: e["short"]), F.transform("e", lambda e: e["long"]))
+    frames = rows.select(F.lit(0).alias("one"), both.alias("x"), F.sequence(F.lit(0), F.lit(2 * m - 1)).alias("channels"))
+    cells = pair_moments(frames, ["one"]).select("i", "j", "sij", "n", "si", "sj").collect()
+    gram, n, sums = _square(cells, 2 * m), cells[0]["n"], np.zeros(2 * m)
+    for c in cells:
+        sums[c["i"]], sums[c["j"]] = c["si"], c["sj"]
+    mean = sums / n
+    cov = gram - n * np.outer(mean, mean)
+    inverse = np.linalg.inv(cov[:m, :m] + alpha * np.eye(m))
+    beta = inverse @ cov[:m, m:]
+
+    def predict(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            z = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x, y = z[:, :m] - mean[:m], z[:, m:]
+            leverage = (1.0 / n + np.einsum("ij,jk,ik->i", x, inverse, x))[:, None]
+            held_out = (x @ beta + mean[m:] - leverage * y) / (1 - leverage)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("ij"), pa.array(list(held_out), pa.list_(pa.float64())), pa.array(list(y), pa.list_(pa.float64()))], names=[key, "ij", "p", "y"])
+
+    ij = F.transform("e", lambda e: F.struct(e["i"].alias("i"), e["j"].alias("j")))
+    src = rows.select(key, ij.alias("ij"), both.alias("x"))
+    array = T.ArrayType(T.DoubleType())
+    schema = T.StructType([src.schema[key], src.schema["ij"], T.StructField("p", array), T.StructField("y", array)])
+    done = spread(src, key).mapInArrow(predict, schema)
+    return done.select(key, F.explode(F.arrays_zip("ij", "p", "y")).alias("e")).select(
+        key, "e.ij.i", "e.ij.j", F.col("e.p").alias("predicted"), F.col("e.y").alias("actual")
+    )
+
+
 def prediction_r2(predictions: DataFrame, key: str = "subject_id") -> DataFrame:
     """Squared correlation of predicted and actual edges per held-out subject."""
     r = moment_corr("predicted", "actual")

@@ -242,3 +242,40 @@ def offset_summary(subjects: DataFrame) -> DataFrame:
         F.avg("r_raw").alias("r_raw_mean"), F.avg("r_lw").alias("r_lw_mean"), F.avg(d).alias("delta_mean"), F.stddev_pop(d).alias("delta_sd"),
         F.count(F.when(d > 0, 1)).alias("n_improved"), (F.avg(F.when(d > 0, 1.0).when(d.isNotNull(), 0.0)) * 100).alias("pct_improved"),
     )
+
+
+def strong_edge_similarity(frames: DataFrame, lengths: Sequence[int], seeds: Sequence[int], threshold: float, min_edges: int = 50) -> DataFrame:
+    """(subject_id, seed, length, r_strong): rank correlation of randomly placed windows with the whole
+    recording over its strong edges only.
+
+    Each row is tagged with the windows it falls into, plus the whole recording, so one moment pass
+    covers everything; the reference reaches the windows of its own edge (seeds x lengths rows).
+    """
+    from reliaspan.operators.similarity import spearman
+
+    tags = [F.struct(F.lit(-1).alias("seed"), F.lit(-1).alias("length"))]
+    for seed in seeds:
+        for length in lengths:
+            start = seeded_hash(F.col("subject_id"), seed, length, "window") % (F.col("n_rows") - length + 1)
+            inside = (F.col("n_rows") >= length) & (F.col("t") >= start) & (F.col("t") < start + length)
+            tags.append(F.when(inside, F.struct(F.lit(seed).alias("seed"), F.lit(length).alias("length"))))
+    tagged = frames.withColumn("_g", F.explode(F.array_compact(F.array(*tags)))).select("subject_id", "t", "channels", "x", "_g.seed", "_g.length")
+    keys = ["subject_id", "seed", "length"]
+    edges = fc_edges(tagged, keys, constant=0.0)
+    ref = F.max(F.when(F.col("seed") < 0, F.col("r"))).over(Window.partitionBy("subject_id", "i", "j"))
+    strong = edges.withColumn("ref", ref).filter((F.col("seed") >= 0) & (F.abs("ref") > threshold))
+    return spearman(strong, "r", "ref", keys, "r_strong").filter(F.col("n_edges") >= min_edges).select(*keys, "r_strong")
+
+
+def scheme_comparison(frames: DataFrame, schemes: dict[str, int], n_short: int) -> DataFrame:
+    """(scheme, n, r_mean, r_sd): short-versus-full similarity under several channel schemes, each
+    given by its number of leading channels; the scheme is one more key of the same job."""
+    options = F.array(*[F.struct(F.lit(s).alias("scheme"), F.lit(k).alias("k")) for s, k in schemes.items()])
+    rows = frames.withColumn("_s", F.explode(options)).select(
+        "subject_id", "t", F.col("_s.scheme").alias("scheme"), F.slice("channels", 1, F.col("_s.k")).alias("channels"), F.slice("x", 1, F.col("_s.k")).alias("x")
+    )
+    keys = ["subject_id", "scheme"]
+    marked = label_segments(rows, {"short": F.col("t") < n_short, "full": F.lit(True)})
+    wide = side_by_side(fc_edges(marked, [*keys, "seg"], constant=0.0), keys, "seg", ("short", "full"))
+    r = wide.groupBy(*keys).agg(moment_corr("short", "full").alias("r"))
+    return r.groupBy("scheme").agg(F.count("r").alias("n"), F.avg("r").alias("r_mean"), F.stddev_pop("r").alias("r_sd"))

@@ -132,14 +132,15 @@ def test_repeated_halves_are_reliable(frames_of, rng):
     assert 0.5 < r <= 0.999
 
 
-def test_held_out_ridge_matches_refitting(spark, rng):
-    x, y, alpha = rng.normal(size=(7, 6)), rng.normal(size=(7, 6)), 0.7
+@pytest.mark.parametrize("n", [5, 9])  # fewer and more subjects than edges: both systems
+def test_held_out_ridge_matches_refitting(spark, rng, n):
+    x, y, alpha = rng.normal(size=(n, 6)), rng.normal(size=(n, 6)), 0.7
     ij = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    rows = [(s, i, j, float(x[s, e]), float(y[s, e])) for s in range(7) for e, (i, j) in enumerate(ij)]
+    rows = [(s, i, j, float(x[s, e]), float(y[s, e])) for s in range(n) for e, (i, j) in enumerate(ij)]
     pairs = spark.createDataFrame(rows, "subject_id long, i int, j int, short double, long double")
     got = {(r["subject_id"], r["i"], r["j"]): r["predicted"] for r in held_out_ridge(pairs, alpha).collect()}
-    for s in range(7):
-        keep = np.arange(7) != s
+    for s in range(n):
+        keep = np.arange(n) != s
         mx, my = x[keep].mean(0), y[keep].mean(0)
         xc, yc = x[keep] - mx, y[keep] - my
         beta = np.linalg.solve(xc.T @ xc + alpha * np.eye(6), xc.T @ yc)
