@@ -31,6 +31,7 @@ from reliaspan.plans.sweeps import (
     add_noise, convergence_curve, convergence_similarity, convergence_summary, duration_pairs, duration_sweep, grid_summary, keep_channels,
     offset_pairs, offset_subjects, offset_summary, parameter_grid_estimates, pass_interval, seed_first_summary, subject_first_summary,
 )
+from reliaspan.session import materialise
 from reliaspan.sources.panels import N_CHANNELS, N_MONTHS, SHORT_ROWS, frames_to_samples, lineitem_frames, lineitem_samples
 
 DURATIONS = (32, 60)
@@ -384,23 +385,28 @@ def _halved(spark, sf_dir, kinds=("ledoit_wolf", "pearson")):
     return pairs.groupBy("subject_id", "i", "j").agg(*cols)
 
 
-def _packed(wide, value):
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("i", "j", value))), lambda e: e[value])
-    return wide.groupBy("subject_id").agg(packed.alias("ref"))
+def _sides(spark, sf_dir):
+    """One row per subject: packed references, window similarities and half-window reliabilities."""
+    from reliaspan.functions.reliability import clip
 
+    packed = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("i", "j", v))), lambda e: e[v]).alias(f"ref_{v}")
+    r = lambda a, b: moment_corr(a, b, strict=True)
+    return materialise(_halved(spark, sf_dir).groupBy("subject_id").agg(
+        packed("lw_rest"), packed("lw_full"), r("lw_short", "lw_rest").alias("lw_vs_rest"), r("raw_short", "lw_rest").alias("raw_vs_rest"),
+        r("raw_short", "raw_full").alias("raw_vs_full"), r("lw_short", "lw_full").alias("lw_vs_full"),
+        clip(r("raw_first", "raw_second"), 0.001, 0.999).alias("split_raw"), clip(r("lw_first", "lw_second"), 0.001, 0.999).alias("split_lw"),
+    ))
 
-def _necessity(spark, sf_dir):
-    wide = _halved(spark, sf_dir)
-    ref = _packed(wide, "lw_rest")
-    short = short_frames(spark, sf_dir)
-    shrunk = replicate_scores(short, ref, 3, SEEDS)
-    plain = replicate_scores(short, ref, 3, SEEDS, kind="pearson")
-    from reliaspan.functions.reliability import clip
 
-    single = wide.groupBy("subject_id").agg(
-        moment_corr("lw_short", "lw_rest", strict=True).alias("r_obs"), clip(moment_corr("lw_first", "lw_second", strict=True), 0.001, 0.999).alias("r_split")
-    )
-    return with_delta(component_necessity(shrunk, plain, single, K_FULL, SWEEP_CONFIG), "condition", "L_full")
+def _reference(sides, name):
+    return sides.select("subject_id", F.col(name).alias("ref"))
+
+
+def _necessity(spark, sf_dir):
+    sides = _sides(spark, sf_dir)
+    reps = replicate_scores(short_frames(spark, sf_dir), _reference(sides, "ref_lw_rest"), 3, SEEDS, kind=["ledoit_wolf", "pearson"])
+    single = sides.select("subject_id", F.col("lw_vs_rest").alias("r_obs"), F.col("split_lw").alias("r_split"))
+    return with_delta(component_necessity(reps, single, SEEDS, K_FULL, SWEEP_CONFIG), "condition", "L_full")
 
 
 @query("component_necessity", with_panel(*ABL) + f"SELECT subject_id, seed, condition, {q6('rho_hat_t', 'rho_hat_t')}, {q6('delta', 'delta')} FROM CD")
@@ -430,12 +436,10 @@ PROG = [
 
 
 def _levels(spark, sf_dir):
-    wide = _halved(spark, sf_dir)
-    reps = replicate_scores(short_frames(spark, sf_dir), _packed(wide, "lw_rest"), 3, SEEDS)
-    base = wide.groupBy("subject_id").agg(
-        moment_corr("raw_short", "lw_rest", strict=True).alias("r_raw"), moment_corr("lw_short", "lw_rest", strict=True).alias("r_lw")
-    )
-    return progressive_levels(reps, base, K_FULL, SWEEP_CONFIG)
+    sides = _sides(spark, sf_dir)
+    reps = replicate_scores(short_frames(spark, sf_dir), _reference(sides, "ref_lw_rest"), 3, SEEDS)
+    base = sides.select("subject_id", F.col("raw_vs_rest").alias("r_raw"), F.col("lw_vs_rest").alias("r_lw"))
+    return progressive_levels(reps, base, SEEDS, K_FULL, SWEEP_CONFIG)
 
 
 @query("progressive_ablation", with_panel(*PROG) + f"SELECT subject_id, seed, lab AS level, {q6('rho_hat_t', 'rho_hat_t')} FROM LVL")
@@ -500,17 +504,13 @@ SCALED = [
     + f"SELECT subject_id, seed, lab AS level, {q6('rho_hat_t', 'rho_hat_t')}, {q6('abs(rho_hat_t - r_lw)', 'mae')}, CASE WHEN rho_hat_t >= 0.8 THEN 1 ELSE 0 END AS passed FROM SLV JOIN BS USING (subject_id)",
 )
 def scaled_ablation(spark, sf_dir):
-    from reliaspan.functions.reliability import clip
-
-    wide = _halved(spark, sf_dir)
-    reps = replicate_scores(short_frames(spark, sf_dir), _packed(wide, "lw_full"), 3, SEEDS)
-    r = lambda a, b: moment_corr(a, b, strict=True)
-    base = wide.groupBy("subject_id").agg(
-        r("raw_short", "raw_full").alias("r_raw"), clip(r("raw_first", "raw_second"), 0.001, 0.999).alias("split_raw"),
-        r("lw_short", "lw_full").alias("r_lw"), clip(r("lw_first", "lw_second"), 0.001, 0.999).alias("split_lw"),
-        r("lw_short", "lw_full").alias("r_reference"),
+    sides = _sides(spark, sf_dir)
+    reps = replicate_scores(short_frames(spark, sf_dir), _reference(sides, "ref_lw_full"), 3, SEEDS)
+    base = sides.select(
+        "subject_id", F.col("raw_vs_full").alias("r_raw"), "split_raw", F.col("lw_vs_full").alias("r_lw"), "split_lw",
+        F.col("lw_vs_full").alias("r_reference"),
     )
-    out = scaled_levels(reps, base, K_FULL, SWEEP_CONFIG)
+    out = scaled_levels(reps, base, SEEDS, K_FULL, SWEEP_CONFIG)
     return out.select("subject_id", "seed", "level", r6("rho_hat_t"), r6("mae"), "passed")
 
 
@@ -527,7 +527,7 @@ def _per_subject(spark, sf_dir):
     """(subject_id, grp, site, r_fc_raw, rho_mean, rho_std): one scan feeds both sides."""
     wide = side_by_side(segment_edges(spark, sf_dir, "ledoit_wolf", ("short", "rest"), True), ["subject_id"], "seg", ("short", "rest"))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "rest"))), lambda e: e["rest"])
-    sides = wide.groupBy("subject_id").agg(moment_corr("short", "rest", strict=True).alias("r_fc_raw"), packed.alias("ref"))
+    sides = materialise(wide.groupBy("subject_id").agg(moment_corr("short", "rest", strict=True).alias("r_fc_raw"), packed.alias("ref")))
     reps = replicate_scores(short_frames(spark, sf_dir), sides, 5, SEEDS, fisher=True)
     est = seed_summary(summarise(reps, corrected_z(CONFIG, K_FULL, "fisher_z"), ["subject_id", "seed"]))
     return with_attributes(est.join(sides.select("subject_id", "r_fc_raw"), "subject_id"))

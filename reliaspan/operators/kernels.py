@@ -130,10 +130,10 @@ def _corr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 REPLICATE_CELLS = 1 << 22  # covariance cells held at once, whatever the number of replicates
 
 
-def replicate_kernel(keys: list[str], kind: str, fisher: bool):
+def replicate_kernel(keys: list[str], fisher: bool):
     """Per bootstrap replicate of one bounded short recording: similarity to the reference vector
-    and similarity between its two halves. Everything downstream is column arithmetic in Spark."""
-    half_kind = "pearson" if kind == "pearson" else "ledoit_wolf"
+    and similarity between its two halves, in the connectivity kind the row asks for. Everything downstream is
+    column arithmetic in Spark."""
 
     def run(batches):
         for batch in batches:
@@ -142,6 +142,8 @@ def replicate_kernel(keys: list[str], kind: str, fisher: bool):
                 width = batch.column("p")[row].as_py()
                 x = batch.column("rec")[row].values.to_numpy(zero_copy_only=False).reshape(-1, width)
                 ref = batch.column("ref")[row].values.to_numpy(zero_copy_only=False)
+                kind = batch.column("kind")[row].as_py()
+                half_kind = "pearson" if kind == "pearson" else "ledoit_wolf"
                 length = batch.column("block_len")[row].as_py()
                 starts = batch.column("starts")[row].values.to_numpy(zero_copy_only=False)
                 starts = starts.reshape(-1, batch.column("n_blocks")[row].as_py())

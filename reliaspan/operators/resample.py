@@ -111,7 +111,7 @@ def replicate_scores(
     n_bootstraps: int,
     seeds: Sequence[int] = (0,),
     keys: Sequence[str] = KEYS,
-    kind: str = "ledoit_wolf",
+    kind: str | Sequence[str] = "ledoit_wolf",
     fisher: bool = False,
     carry: Sequence[str] = (),
 ) -> DataFrame:
@@ -120,6 +120,7 @@ def replicate_scores(
     ``short_frames`` must already be cut to the short window; ``reference`` is an edge table in
     the space chosen by ``kind``/``fisher`` (or an already packed ``ref`` column), keyed by ``keys``
     or a subset of them. ``carry`` names columns of ``short_frames`` that are constant per key.
+    Several kinds may be given at once; the result then has a ``kind`` column.
     The three sides are one row per key; only bounded arrays meet, and replicates never shuffle.
     """
     keys = list(keys)
@@ -139,15 +140,19 @@ def replicate_scores(
             ),
         )
     )
-    seeded = sides.withColumn("n_blocks", block_count()).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    jobs = (
-        spread(seeded, *keys, "seed")
-        .select(*keys, *carry, "n_rows", "seed", "rec", "p", "ref", "block_len", "n_blocks", starts.alias("starts"))
+    kinds = [kind] if isinstance(kind, str) else list(kind)
+    seeded = (
+        sides.withColumn("n_blocks", block_count())
+        .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+        .withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    )
+    jobs = spread(seeded, *keys, "seed", "kind").select(
+        *keys, *carry, "n_rows", "seed", "kind", "rec", "p", "ref", "block_len", "n_blocks", starts.alias("starts")
     )
-    carried = [*keys, *carry, "n_rows", "seed"]
+    carried = [*keys, *carry, "n_rows", "seed", *([] if isinstance(kind, str) else ["kind"])]
     fields = [jobs.schema[k] for k in carried] + [T.StructField("b", T.IntegerType())]
     fields += [T.StructField(c, T.DoubleType()) for c in ("r_obs", "r_split")]
-    scores = jobs.mapInArrow(replicate_kernel(carried, kind, fisher), T.StructType(fields))
+    scores = jobs.mapInArrow(replicate_kernel(carried, fisher), T.StructType(fields))
     return scores.select(
         *carried, "b",
         F.nanvl("r_obs", F.lit(None).cast("double")).alias("r_obs"),

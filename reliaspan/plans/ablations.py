@@ -31,29 +31,32 @@ def _medians(rows: DataFrame, values: dict[str, Column], keys: Sequence[str], la
     ])).alias("e")).select(*keys, "e.*")
 
 
-def component_necessity(shrunk: DataFrame, plain: DataFrame, single: DataFrame, k, config: EstimatorConfig, method: str = "fisher_z") -> DataFrame:
+def component_necessity(
+    replicates: DataFrame, single: DataFrame, seeds: Sequence[int], k, config: EstimatorConfig, method: str = "fisher_z"
+) -> DataFrame:
     """(subject_id, seed, condition, rho_hat_t) with one component removed at a time.
 
-    ``shrunk`` and ``plain`` are replicate scores with and without shrinkage; ``single`` holds the
-    unresampled (subject_id, r_obs, r_split).
+    ``replicates`` holds scores of both kinds, ledoit_wolf and pearson; ``single`` the unresampled
+    (subject_id, r_obs, r_split). One aggregation serves the five resampled conditions.
     """
     keys, prior = ["subject_id", "seed"], config.empirical_prior
+    shrunk = lambda z: F.when(F.col("kind") == "ledoit_wolf", z)
+    full = fisher_z(_fixed(config, k, prior, method))
     by_rep = _medians(
-        shrunk,
+        replicates,
         {
-            "L_full": fisher_z(_fixed(config, k, prior, method)),
-            "L_no_sb": fisher_z(_fixed(config, 1.0, prior, method)),
-            "L_no_prior": fisher_z(_fixed(config, k, None, method)),
-            "L_no_atten": fisher_z(spearman_brown("r_obs", k)),
+            "L_full": shrunk(full),
+            "L_no_sb": shrunk(fisher_z(_fixed(config, 1.0, prior, method))),
+            "L_no_prior": shrunk(fisher_z(_fixed(config, k, None, method))),
+            "L_no_atten": shrunk(fisher_z(spearman_brown("r_obs", k))),
+            "L_no_lw": F.when(F.col("kind") == "pearson", full),
         },
         keys, "condition", back=True,
     )
-    no_lw = _medians(plain, {"L_no_lw": fisher_z(_fixed(config, k, prior, method))}, keys, "condition", back=True)
-    seeds = shrunk.select(*keys).distinct()
-    no_boot = seeds.join(single, "subject_id").select(
-        *keys, F.lit("L_no_boot").alias("condition"), F.tanh(fisher_z(_fixed(config, k, prior, method))).alias("rho_hat_t")
+    no_boot = single.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).select(
+        *keys, F.lit("L_no_boot").alias("condition"), F.tanh(full).alias("rho_hat_t")
     )
-    return by_rep.unionByName(no_lw).unionByName(no_boot)
+    return by_rep.unionByName(no_boot)
 
 
 def with_delta(rows: DataFrame, label: str, baseline: str, name: str = "delta") -> DataFrame:
@@ -71,25 +74,30 @@ def condition_summary(rows: DataFrame, label: str = "condition", delta: str = "d
     )
 
 
-def progressive_levels(replicates: DataFrame, base: DataFrame, k, config: EstimatorConfig) -> DataFrame:
+def progressive_levels(replicates: DataFrame, base: DataFrame, seeds: Sequence[int], k, config: EstimatorConfig) -> DataFrame:
     """(subject_id, seed, level, rho_hat_t): components added one by one.
 
     ``base`` has (subject_id, r_raw, r_lw): plain and shrunk similarity of the unresampled window.
     """
     keys, prior = ["subject_id", "seed"], config.empirical_prior
-    raw = _medians(
+    resampled = _medians(
         replicates,
-        {"L2": F.col("r_obs"), "L3": _fixed(config, k, None), "L4": _fixed(config, k, prior)},
+        {
+            "L2": F.col("r_obs"), "L3": _fixed(config, k, None), "L4": _fixed(config, k, prior),
+            "L5": fisher_z(_fixed(config, k, prior)),
+        },
         keys, "level", back=False,
     )
-    zed = _medians(replicates, {"L5": fisher_z(_fixed(config, k, prior))}, keys, "level", back=True)
-    first = replicates.select(*keys).distinct().join(base, "subject_id").select(
-        *keys, F.explode(F.array(
-            F.struct(F.lit("L0").alias("level"), F.col("r_raw").alias("rho_hat_t")),
-            F.struct(F.lit("L1").alias("level"), F.col("r_lw").alias("rho_hat_t")),
-        )).alias("e"),
-    ).select(*keys, "e.*")
-    return raw.unionByName(zed).unionByName(first)
+    value = F.when(F.col("level") == "L5", F.tanh("rho_hat_t")).otherwise(F.col("rho_hat_t"))
+    return resampled.withColumn("rho_hat_t", value).unionByName(_per_seed(base, seeds, {"L0": F.col("r_raw"), "L1": F.col("r_lw")}))
+
+
+def _per_seed(base: DataFrame, seeds: Sequence[int], levels: dict[str, Column]) -> DataFrame:
+    """Levels without resampling, repeated for every seed."""
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), c.alias("rho_hat_t")) for n, c in levels.items()]))
+    return base.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).select("subject_id", "seed", rows.alias("e")).select(
+        "subject_id", "seed", "e.*"
+    )
 
 
 def level_summary(rows: DataFrame) -> DataFrame:
@@ -105,7 +113,9 @@ def auto_short_rows(n_rows) -> Column:
     return F.when(n_rows > 200, 48).otherwise(60)
 
 
-def scaled_levels(replicates: DataFrame, base: DataFrame, k, config: EstimatorConfig, passing: float = 0.8) -> DataFrame:
+def scaled_levels(
+    replicates: DataFrame, base: DataFrame, seeds: Sequence[int], k, config: EstimatorConfig, passing: float = 0.8
+) -> DataFrame:
     """The alternative level scheme r * sqrt(SB(split)), with error against the plain similarity.
 
     ``base`` has (subject_id, r_raw, split_raw, r_lw, split_lw, r_reference).
@@ -123,13 +133,9 @@ def scaled_levels(replicates: DataFrame, base: DataFrame, k, config: EstimatorCo
         },
         keys, "level", back=False,
     )
-    first = replicates.select(*keys).distinct().join(base, "subject_id").select(
-        *keys, F.explode(F.array(
-            F.struct(F.lit("L0").alias("level"), clip("r_raw", -1, 1).alias("rho_hat_t")),
-            F.struct(F.lit("L1").alias("level"), scaled("r_raw", "split_raw").alias("rho_hat_t")),
-            F.struct(F.lit("L2").alias("level"), scaled("r_lw", "split_lw").alias("rho_hat_t")),
-        )).alias("e"),
-    ).select(*keys, "e.*")
+    first = _per_seed(base, seeds, {
+        "L0": clip("r_raw", -1, 1), "L1": scaled("r_raw", "split_raw"), "L2": scaled("r_lw", "split_lw"),
+    })
     rows = reps.unionByName(first).join(base.select("subject_id", "r_reference"), "subject_id")
     return rows.select(
         *keys, "level", "rho_hat_t", F.abs(F.col("rho_hat_t") - F.col("r_reference")).alias("mae"),

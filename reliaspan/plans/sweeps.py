@@ -17,6 +17,7 @@ from reliaspan.functions.reliability import fisher_z
 from reliaspan.operators.connectivity import fc_edges, moment_corr, pair_moments, shrunk_edges, side_by_side
 from reliaspan.operators.resample import corrected_z, replicate_scores, summarise
 from reliaspan.operators.slices import label_segments
+from reliaspan.session import materialise
 
 
 def rows_in(seconds) -> Column:
@@ -65,9 +66,9 @@ def duration_sweep(
     """One row per subject, duration and seed: raw similarity, estimate with interval, improvement."""
     keys = ["subject_id", "duration_sec"]
     packed = F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "ref"))), lambda e: e["ref"])
-    sides = duration_pairs(frames, durations, mode, fisher).groupBy(*keys).agg(
+    sides = materialise(duration_pairs(frames, durations, mode, fisher).groupBy(*keys).agg(
         moment_corr("short", "ref", strict=True).alias("r_fc_raw"), packed.alias("ref")
-    )
+    ))
     usable = usable_durations(durations, mode)
     picks = F.array_compact(F.array(*[F.when(ok & (F.col("t") < rows_in(d)), F.lit(d)) for d, ok in usable.items()]))
     short = frames.withColumn("duration_sec", F.explode(picks))

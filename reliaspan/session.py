@@ -46,3 +46,9 @@ def spread(df, *keys):
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
+
+
+def materialise(df):
+    """Reliable checkpoint of a table that several later steps read, so it is computed once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
