@@ -6,25 +6,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reliaspan.catalog.registry import q6, query, r6
-from reliaspan.catalog.sqlparts import EVENT_COHORT, SHORT, hash_sql, with_panel
+from reliaspan.catalog.sqlparts import EVENT_COHORT, hash_sql, with_panel
 from reliaspan.functions.parsing import (
     cohort_from_prefix, file_stem, group_from_dx, group_from_flags, is_healthy, normalise_sex, parse_age, safe_tag, sex_from_code,
     strip_entities, task_label, with_prefix,
 )
 from reliaspan.operators.clean import (
-    channel_spread, close_gaps, densify, drop_censored_rows, drop_constant_channels, length_status, recording_lengths, reject_bad_subjects,
+    densify, drop_censored_rows, drop_constant_channels, length_status, recording_lengths, reject_bad_subjects,
 )
 from reliaspan.operators.cohort import (
-    derive_durations, finite, first_settings, funnel_report, funnel_rules, grid, k_group, lookup_default, lookup_normalised,
-    lookup_strict, missing_keys, passing, positional_join, site_interval,
+    derive_durations, finite, first_settings, funnel_report, funnel_rules, grid, k_group, lookup_default, lookup_normalised, lookup_strict, missing_keys, positional_join, site_interval,
 )
-from reliaspan.operators.ranking import exact_quantiles, number_by_hash
-from reliaspan.functions.hashing import seeded_hash
+from reliaspan.operators.ranking import exact_quantiles
 from reliaspan.operators.sampling import balanced_downsample, proportional_sample, sample_subjects, site_folds, stratified_folds, train_test_split
 from reliaspan.operators.slices import (
     first_channels, half_split, label_segments, offset_complement, offset_window, prefix, random_window, sliding, suffix, tumbling,
 )
-from reliaspan.sources.panels import N_MONTHS, SHORT_ROWS, event_samples, lineitem_samples, read_table
+from reliaspan.sources.panels import N_MONTHS, event_samples, lineitem_samples, read_table
 
 COHORT_SQL = "WITH " + EVENT_COHORT.strip() + "\n"
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")

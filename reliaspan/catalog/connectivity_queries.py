@@ -15,8 +15,7 @@ from reliaspan.operators.connectivity import (
     covariance_to_correlation, fc_edges, full_matrix, moment_corr, pair_moments, shrunk_pairs,
 )
 from reliaspan.operators.edges import (
-    combine_edges, cross_subject_reliability, group_mean_edges, hemisphere_networks, keep_strongest, network_blocks,
-    partial_edges, projections, shrunk_covariances, tangent_edges, threshold_report, value_distribution, centroids,
+    cross_subject_reliability, group_mean_edges, hemisphere_networks, keep_strongest, network_blocks, partial_edges, projections, shrunk_covariances, tangent_edges, threshold_report, value_distribution,
 )
 from reliaspan.operators.graph import block_assignment
 from reliaspan.operators.prep import detrend_zscore

@@ -12,9 +12,7 @@ from reliaspan.operators.cluster import agreement, spectral_channel_labels
 from reliaspan.operators.connectivity import fc_edges, moment_corr
 from reliaspan.operators.edges import pack_symmetric
 from reliaspan.operators.graph import (
-    absolute_threshold, algebraic_connectivity, best_jaccard, block_assignment, communities, connected_components, degree_variance, density_threshold,
-    edge_nodes, graph_metrics, largest_component, mark_density, mean_clustering, mean_path_length, modularity, network_order, parse_networks,
-    small_worldness, to_adjacency,
+    absolute_threshold, algebraic_connectivity, best_jaccard, block_assignment, communities, connected_components, degree_variance, density_threshold, edge_nodes, graph_metrics, largest_component, mark_density, mean_path_length, modularity, network_order, parse_networks, small_worldness, to_adjacency,
 )
 from reliaspan.session import ensure_checkpoint_dir
 from reliaspan.sources.panels import N_CHANNELS, lineitem_frames, read_table

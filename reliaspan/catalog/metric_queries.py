@@ -6,23 +6,22 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reliaspan.catalog.connectivity_queries import TRIPLET, TRIPLET_ROWS, triplet
-from reliaspan.catalog.fixtures import segment_conditions, segment_pairs, with_attributes
+from reliaspan.catalog.fixtures import segment_pairs, with_attributes
 from reliaspan.catalog.registry import q6, query, r6
-from reliaspan.catalog.sqlparts import SHORT, SUFFIX, corr_expr, hash_sql, ledoit_wolf, pearson, with_panel, z_space
+from reliaspan.catalog.sqlparts import SHORT, corr_expr, hash_sql, pearson, with_panel
 from reliaspan.operators.connectivity import fc_edges, moment_corr
-from reliaspan.operators.cohort import grid
 from reliaspan.operators.similarity import (
     adjacent_window_similarity, condition_numbers, edge_agreement, edge_quartiles, error_metrics, fingerprint_ranks, fingerprint_summary,
     pack_vectors, spearman, tertile_correlation, window_correlation, window_icc,
 )
-from reliaspan.operators.slices import label_segments, tumbling
+from reliaspan.operators.slices import tumbling
 from reliaspan.operators.stats import (
     adjust_p, assign_tertiles, bonferroni, cohens_d, crossover, dickey_fuller, difference_stationarity, effect_summary, equivalent_duration, friedman,
     improvement_counts, kernel_density, marginal_gain, median_subject, monotone, paired_t, permutation_p, quartile_summary,
     regression_line, representative_subject, run_summary,
 )
 from reliaspan.operators.sampling import permuted_labels
-from reliaspan.sources.panels import embedding_edges, lineitem_frames, read_table
+from reliaspan.sources.panels import lineitem_frames, read_table
 
 PAIR = [SHORT, pearson("SHORT", "A", constant="0"), pearson("S", "B", constant="0"), """
 P AS (SELECT A.subject_id, A.i, A.j, A.r AS short, B.r AS full_r FROM A JOIN B ON A.subject_id = B.subject_id AND A.i = B.i AND A.j = B.j)"""]

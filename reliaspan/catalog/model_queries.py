@@ -12,7 +12,6 @@ from reliaspan.operators.cluster import (
 from reliaspan.operators.evaluate import class_weights, cross_validate, fold_covariates, gated_coverage, reduce_dimensions, reliability_weight, score_metrics, standardise, to_vectors
 from reliaspan.operators.sampling import stratified_folds
 from reliaspan.operators.stats import cohens_d
-from reliaspan.session import ensure_checkpoint_dir
 from reliaspan.sources.panels import embedding_edges, read_table
 from pyspark.ml.functions import vector_to_array
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from reliaspan.catalog.fixtures import K_FULL, segment_edges, short_frames
 from reliaspan.catalog.registry import q6, query, r6
 from reliaspan.catalog.sqlparts import (
-    SHORT, SUFFIX, block_length, centred, clip_sql, corr_expr, correction_sql, interval_sql, ledoit_wolf, pearson, replicates,
-    resample, with_panel, zclip, z_space,
+    SHORT, SUFFIX, block_length, clip_sql, corr_expr, correction_sql, interval_sql, ledoit_wolf, pearson, replicates, resample, with_panel, zclip, z_space,
 )
 from reliaspan.config import EstimatorConfig
 from reliaspan.functions.reliability import correct_by_name, CORRECTION_METHODS, fisher_z, spearman_brown, bayes_shrink

@@ -10,7 +10,9 @@ from reliaspan.catalog.sqlparts import PANEL, SHORT, ledoit_wolf, pearson, with_
 from reliaspan.operators.prep import (
     align_confounds, detrend_zscore, fit_scaler, label_average, pad_and_mask, regress_confounds, scale_back, scale_to_unit, select_confounds, task_regressors,
 )
-from reliaspan.sources.panels import N_CHANNELS, N_MONTHS, SHORT_ROWS, event_samples, lineitem_frames, lineitem_samples, lineitem_subjects, read_table
+from reliaspan.sources.panels import (
+    N_MONTHS, SHORT_ROWS, event_samples, lineitem_frames, lineitem_samples, lineitem_subjects, read_table,
+)
 from reliaspan.sources.phenotype import aliased_phenotypes, healthy_adults, site_phenotypes, union_indexes
 from reliaspan.sources.recordings import (
     combine_cohorts, concatenate_runs, concatenate_subjects, discover, feature_store, nested_summary, orient, pair_runs, unpack_matrices, with_metadata,

@@ -20,7 +20,6 @@ from reliaspan.operators.resample import (
 from reliaspan.operators.ridge import held_out_ridge, prediction_r2
 from reliaspan.operators.similarity import spearman
 from reliaspan.operators.slices import label_segments, sliding
-from reliaspan.operators.stats import regression_line
 from reliaspan.plans.ablations import (
     component_necessity, condition_summary, level_summary, progressive_levels, scaled_levels, site_table, stratified_levels, with_delta,
 )
@@ -28,8 +27,7 @@ from reliaspan.plans.cohorts import (
     cohort_summary, method_comparison, multi_seed_summary, pass_fail_profile, quality_metrics, subject_characteristics,
 )
 from reliaspan.plans.sweeps import (
-    add_noise, convergence_curve, convergence_similarity, convergence_summary, duration_pairs, duration_sweep, grid_summary, keep_channels,
-    offset_pairs, offset_subjects, offset_summary, parameter_grid_estimates, pass_interval, seed_first_summary, subject_first_summary,
+    add_noise, convergence_curve, convergence_similarity, convergence_summary, duration_sweep, grid_summary, keep_channels, offset_pairs, offset_subjects, offset_summary, parameter_grid_estimates, pass_interval, seed_first_summary, subject_first_summary,
 )
 from reliaspan.session import materialise
 from reliaspan.sources.panels import N_CHANNELS, N_MONTHS, SHORT_ROWS, frames_to_samples, lineitem_frames, lineitem_samples

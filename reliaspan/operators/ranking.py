@@ -36,19 +36,6 @@ def number_by_hash(df: DataFrame, by: Sequence[str], h: Column, tie: Sequence[st
     return number_rows(hashed, by, ["_h", *tie], hash_bucket(F.col("_h"), BUCKETS), name).drop("_h")
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, bucket: Column, name: str = "rank") -> DataFrame:
-    """Ranks with ties averaged; equal values share a bucket, so ties never straddle."""
-    by = list(by)
-    marked = df.withColumn("_bkt", bucket)
-    local = Window.partitionBy(*by, "_bkt").orderBy(value)
-    ties = Window.partitionBy(*by, "_bkt", value)
-    return (
-        marked.withColumn("_r", F.rank().over(local) + (F.count(F.lit(1)).over(ties) - 1) / 2)
-        .join(_offsets(marked, by), [*by, "_bkt"])
-        .withColumn(name, F.col("_r") + F.col("_before")).drop("_bkt", "_r", "_before")
-    )
-
-
 def cumulate(df: DataFrame, by: Sequence[str], order: str, bucket: Column, sums: dict[str, str]) -> DataFrame:
     """Running totals along ``order`` within ``by``, current row included: {output: input column}.
 

@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reliaspan.session import spread
+
 N_CHANNELS = 12
 N_MONTHS = 83
 SHORT_ROWS = 16
+BLOCK_ROWS = 4096  # instants of one subject that stay together
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +25,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lineitem_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly quantity per supplier (subject) and part group (channel), dense, time-major.
 
-    One shuffle: the empty grid rows join the facts by union before the only aggregation, whose
-    per-channel conditional sums combine on the map side.
+    The empty grid rows join the facts by union before the only aggregation, whose per-channel
+    conditional sums combine on the map side. The reduced rows are then clustered by subject and block
+    of time, so the pair kernel folds whole blocks instead of scattered instants.
     """
     li = read_table(spark, sf_dir, "lineitem")
     facts = li.select(
@@ -47,12 +51,13 @@ def lineitem_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         for c in range(N_CHANNELS)
     ]
     wide = facts.unionByName(grid).groupBy("subject_id", "t").agg(*sums)
-    return wide.select(
+    frames = wide.select(
         "subject_id",
         "t",
         F.array(*[F.lit(c) for c in range(N_CHANNELS)]).alias("channels"),
         F.array(*[F.col(f"c{c}") for c in range(N_CHANNELS)]).alias("x"),
     )
+    return spread(frames, "subject_id", F.floor(F.col("t") / BLOCK_ROWS))
 
 
 def lineitem_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +71,7 @@ def frames_to_samples(frames: DataFrame) -> DataFrame:
     ).select(*keys, F.col("e.channels").alias("channel"), F.col("e.x").alias("value"))
 
 
-def samples_to_frames(samples: DataFrame, rows_per_chunk: int = 4096) -> DataFrame:
+def samples_to_frames(samples: DataFrame, rows_per_chunk: int = BLOCK_ROWS) -> DataFrame:
     """Long -> time-major. A row holds one instant, so its arrays are bounded by the channel count.
 
     The shuffle key is (subject, block of time), which keeps a subject's rows together for the
