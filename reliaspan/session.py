@@ -29,11 +29,16 @@ def local_session(cpus: int | str = 8, app: str = "reliaspan") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a fresh one only when none is set."""
+    """Use the shared folder the cluster names; a local session gets a fresh one where none is set.
+
+    On a cluster an unset folder is an error: one that executors do not share would lose data.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not configured and sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
