@@ -72,8 +72,8 @@ def _directions(classes: DataFrame, dims: int) -> np.ndarray:
     return out
 
 
-def _blocks(classes: DataFrame, directions: np.ndarray, eps: float) -> DataFrame:
-    """Rows of BLOCKS: the classes in grid order, up to BLOCK of them each, of one length."""
+def _blocks(classes: DataFrame, directions: np.ndarray, eps: float, most: int) -> DataFrame:
+    """Rows of BLOCKS: the classes in grid order, up to `most` of them each, of one length."""
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(directions)
     fields = ", ".join(f"p{k} double, cell{k} long" for k in range(DIRECTIONS))
@@ -115,7 +115,7 @@ def _blocks(classes: DataFrame, directions: np.ndarray, eps: float) -> DataFrame
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (len(held) == BLOCK or held[0][3] != r[3]):
+                if held and (len(held) == most or held[0][3] != r[3]):
                     yield block()
                 held.append(r)
         if held:
@@ -192,13 +192,14 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
             links = [mask @ np.array(row["copies_b"]), *([] if same else [np.array(row["copies_a"]) @ mask])]
             nodes = a if same else np.concatenate([a, c])
             links = np.concatenate(links)
-            part = _connect(mask | mask.T if same else mask)
-            part = part[: len(a)] if same else part
+            if same:  # each vector as a row and as a column is one node
+                np.fill_diagonal(mask, mask.any(1))
+            part = _connect(mask)[: len(nodes)]
             hit = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(links[hit].astype(np.int64)), pa.array(a[part[hit]])], ["node", "links", "to"])
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
     n_links counts the other rows with cosine >= threshold, component_id is the smallest id reachable
@@ -214,7 +215,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
     dims = classes.agg(F.max(F.size("vector"))).first()[0]
     if not dims:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    blocks = _blocks(classes, _directions(classes, dims), max(eps, 1e-6))
+    blocks = _blocks(classes, _directions(classes, dims), max(eps, 1e-6), block)
     pairs = block_pairs(blocks, eps)
     payload = lambda x: blocks.select(F.col("block").alias(f"block_{x}"), F.col("dims").alias(f"dims_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "copies", "vectors")])
     joined = pairs.join(payload("a"), F.col("left") == F.col("block_a")).join(payload("b"), (F.col("right") == F.col("block_b")) & (F.col("dims_a") == F.col("dims_b")))

@@ -63,17 +63,18 @@ class SuffixAutomaton:
 
 
 def parse_table(automaton: SuffixAutomaton, width: int) -> np.ndarray:
-    """One step of the greedy parse for every state and symbol: 2 * width * next state + phrase ended.
+    """One step of the greedy parse for every state and symbol: 2 * width * next state + phrase begun.
 
-    A symbol that cannot extend the phrase ends it and starts the next one, from the start state.
+    A symbol that cannot extend the phrase begins the next one. The last state is that before the first
+    phrase and after a symbol which the model lacks and which is a phrase of its own.
     """
     n = len(automaton.next)
-    step = np.full((n, width), -1, np.int64)
+    step = np.full((n + 1, width), -1, np.int64)
     for s, edges in enumerate(automaton.next):
         step[s, list(edges)] = list(edges.values())
-    ends = step < 0
-    again = np.where(step[0] < 0, 0, step[0])
-    return (np.where(ends, again, step) * (2 * width) + ends).astype(np.int32).ravel()
+    fresh = np.where(step[0] < 0, n, step[0])
+    begun = step < 0
+    return (np.where(begun, fresh, step) * (2 * width) + begun).astype(np.int32).ravel()
 
 
 @dataclass
@@ -152,17 +153,19 @@ def phrase_counts(models: Models, flat: np.ndarray, lengths: np.ndarray) -> np.n
     order = np.argsort(-size, kind="stable")
     owner, start, size = owner[order], start[order], size[order]
     out = np.zeros((len(lengths), len(models.langs)), np.int64)
-    at = np.zeros((len(models.langs), len(owner)), np.int32)
-    ended = np.ones_like(at)
+    at = np.empty((len(models.langs), len(owner)), np.int32)
+    begun = np.zeros_like(at)
+    for k, tab in enumerate(models.tables):
+        at[k] = len(tab) - models.width
     for step in range(int(size[0]) if len(size) else 0):
         n = int(np.searchsorted(-size, -step, "left"))  # the windows that are longer than step come first
         c = flat[start[:n] + step].astype(np.int32)
         for k, tab in enumerate(models.tables):
             v = tab.take(at[k, :n] + c)
-            ended[k, :n] += v & 1
+            begun[k, :n] += v & 1
             at[k, :n] = v >> 1
     for k in range(len(models.langs)):
-        out[:, k] = np.bincount(owner, ended[k], len(lengths))
+        out[:, k] = np.bincount(owner, begun[k], len(lengths))
     return out
 
 

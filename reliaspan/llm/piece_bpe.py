@@ -66,6 +66,9 @@ class PieceModel:
         self.older: dict[str, str] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, tuple[int, ...]] = {}
+        self.longest_run = max(len(p) for p in self.id if set(p) == {MARK})
+        if self.merge(MARK * self.longest_run * 2) != [MARK * self.longest_run] * 2:
+            raise ValueError("the model's pieces of space marks do not merge from the left")
         #: Whether a line feed joins no other character, so that texts can be cut there too.
         self.breaks = not any("\n" in p for p in self.id if len(p) > 1)
         self.line_end = self._entry("\n", 0)
@@ -172,15 +175,12 @@ class PieceModel:
         return out
 
     def run(self, marks: int) -> tuple[int, ...]:
-        """The ids of a run of space marks: merged from the left as far as there are pieces."""
+        """The ids of a run of space marks: merged from the left, as these pieces have equal scores."""
         known = self.runs.get(marks)
         if known is None:
-            out, rest = [], marks
-            longest = max(n for n in range(1, 64) if all(MARK * m in self.id for m in range(1, n + 1)))
-            while rest:
-                n = min(rest, longest)
-                out.append(self.id[MARK * n])
-                rest -= n
+            # nothing joins the longest run that is a piece, so it repeats
+            whole, rest = divmod(marks, self.longest_run)
+            out = [self.id[MARK * self.longest_run]] * whole + [self.id[p] for p in self.merge(MARK * rest)]
             known = tuple(out)
             if len(self.runs) < 4096:
                 self.runs[marks] = known
