@@ -51,6 +51,6 @@ def sum_matrices(parts: DataFrame, column: str, size: int) -> np.ndarray:
 
     few = parts.select(column, F.pmod(F.monotonically_increasing_id().bitwiseXOR(F.spark_partition_id()), F.lit(groups)).alias("pile")).groupBy("pile").applyInArrow(add, f"{column} binary")
     total = np.zeros(size)
-    for row in few.toLocalIterator():
+    for row in few.collect():
         total += np.frombuffer(row[0])
     return total

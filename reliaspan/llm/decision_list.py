@@ -9,6 +9,7 @@ ordered Spark conditional expression.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -213,8 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marked = hash_share(marked, F.col("doc_id"), sample_rows / max(1, count))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
     known = statistics(texts.join(F.broadcast(marked), "doc_id"))
-    rows = known.select("doc_id", "bad", *[F.col("quality_stats")[s].cast("double").alias(s) for s in STATISTICS], base_failed(F.col("quality_stats")).alias("failed")).filter("not failed")
-    found = sorted((r.asDict() for r in rows.toLocalIterator()), key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32) if isinstance(r["doc_id"], int) else hash(str(r["doc_id"])), r["doc_id"]))
+    # which rows fail the base rules is asked on the driver: a filter here would move below the join, to all documents
+    rows = known.select("doc_id", "bad", *[F.col("quality_stats")[s].cast("double").alias(s) for s in STATISTICS], base_failed(F.col("quality_stats")).alias("failed")).collect()
+    found = sorted((r.asDict() for r in rows if not r["failed"]), key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32) if isinstance(r["doc_id"], int) else zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return learn(found)
 
 

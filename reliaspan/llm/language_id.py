@@ -119,7 +119,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Models
     normalised characters of them.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_TEXT))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     drawn: dict[str, list[str]] = {}
     if counts:
         share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, SAMPLE_ROWS / n) * (1 << 40)))])
