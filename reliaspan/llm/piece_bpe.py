@@ -15,10 +15,12 @@ is in no longer piece is a cut as well.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark import SparkFiles
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words and pairs kept at most by a worker, and the longest word that is kept.
-KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 700_000, 300_000, 64
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 500_000, 200_000, 64
+#: Ids after which a batch of results is handed over.
+BATCH_IDS = 1 << 20
 
 
 class PieceModel:
@@ -339,8 +343,14 @@ def encode(docs: DataFrame, path: str, keep: list[Column], text: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _open(path)
         for b in batches:
-            ids = [m.encode(x.as_py() or "") for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names[:-1], "ids"])
+            start, ends, ids = 0, [0], array("i")
+            for k, x in enumerate(b.column(b.num_columns - 1), 1):
+                ids.extend(m.encode(x.as_py() or ""))
+                ends.append(len(ids))
+                if len(ids) >= BATCH_IDS or k == b.num_rows:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, k - start) for c in b.columns[:-1]), lists], [*b.schema.names[:-1], "ids"])
+                    start, ends, ids = k, [0], array("i")
 
     return rows.mapInArrow(run, f"{schema}, ids array<int>")
 
