@@ -38,7 +38,7 @@ def reject_bad_subjects(samples: DataFrame, max_bad_share: float = 0.1, eps: flo
 def recording_lengths(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, n_rows, n_channels). Store this next to the recordings so later jobs need no scan."""
     return samples.groupBy(*keys).agg(
-        (F.max("t") + 1).cast("int").alias("n_rows"), F.approx_count_distinct("channel").alias("n_channels")
+        (F.max("t") + 1).cast("int").alias("n_rows"), F.count_distinct("channel").alias("n_channels")
     )
 
 

@@ -77,7 +77,7 @@ def parse_matrix(lines: DataFrame, min_rows: int = 10) -> DataFrame:
 def parse_tabbed_series(lines: DataFrame, min_rows: int = 10) -> DataFrame:
     """Tab-separated with one header line; the first two columns are labels; short lines skipped."""
     parts = _subject(lines).filter(F.col("line_no") > 0).withColumn("f", F.split(F.trim("line"), "\t")).filter(F.size("f") >= 3)
-    return _long_enough(_explode(parts.select("subject_id", "line_no", F.slice("f", 3, 1 << 20).alias("parts"))), min_rows, 1)
+    return _long_enough(_explode(parts.select("subject_id", "line_no", F.slice("f", F.lit(3), F.size("f") - 2).alias("parts"))), min_rows, 1)
 
 
 def parse_spaced_series(lines: DataFrame, min_rows: int = 20, min_channels: int = 10) -> DataFrame:
