@@ -101,7 +101,7 @@ def fc_tangent(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     z = detrend_zscore(lineitem_samples(spark, sf_dir), detrend=False)
     cov = shrunk_covariances(samples_to_frames(z)).checkpoint()
-    return _edges(tangent_edges(cov, cov.filter("subject_id % 2 = 0"), max_iter=5))
+    return _edges(tangent_edges(cov, cov.filter("subject_id % 2 = 0")))
 
 
 SIM = with_panel(SHORT, pearson("SHORT", "A"), pearson("S", "B"), similarity("A", "B", "R"))

@@ -50,12 +50,13 @@ def shrunk_covariances(frames: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
 
 
 def tangent_edges(
-    covariances: DataFrame, train: DataFrame, keys: Sequence[str] = KEYS, max_iter: int = 10, tol: float = 1e-7
+    covariances: DataFrame, train: DataFrame, keys: Sequence[str] = KEYS, max_iter: int = 100, tol: float = 1e-7
 ) -> DataFrame:
     """Tangent-space connectivity around the geometric mean of the training covariances.
 
     ``covariances`` is (keys, channels, packed) and read once per iteration, so pass a checkpointed
-    table. Only the p x p mean of the whitened logarithms reaches the driver, never a subject.
+    table. Only the p x p mean of the whitened logarithms reaches the driver, never a subject. Raises
+    RuntimeError where the mean has not settled within ``tol`` after ``max_iter`` rounds.
     """
     fit = covariances.join(train.select(*keys).distinct(), list(keys), "left_semi")
     start = _mean_matrix(map_matrices(fit, lambda m: m, keys, diagonal=True))
@@ -70,6 +71,8 @@ def tangent_edges(
         if norm < tol * len(mean):
             break
         step, previous = (step / 2 if norm > previous else step), norm
+    else:
+        raise RuntimeError(f"the mean has not settled: norm {norm:g} after {max_iter} rounds")
     whiten = _eig_map(mean, lambda v: 1 / np.sqrt(v))
     return map_matrices(covariances, _whitened_log(whiten), keys)
 

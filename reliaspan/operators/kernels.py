@@ -256,7 +256,7 @@ def labels_kernel(keys: list[str], fn):
     return run
 
 
-def spectral_labels(corr: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
+def spectral_labels(corr: np.ndarray, k: int) -> np.ndarray:
     """Normalised-Laplacian embedding of the (r + 1)/2 affinity and a deterministic k-means on it."""
     a = np.clip((corr + 1) / 2, 0, 1)
     np.fill_diagonal(a, 0)
@@ -267,7 +267,7 @@ def spectral_labels(corr: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     while len(centres) < k:
         centres.append(x[np.argmax(np.min([((x - c) ** 2).sum(1) for c in centres], axis=0))])
     centres = np.array(centres)
-    for _ in range(rounds):
+    while True:
         labels = np.argmin(((x[:, None] - centres[None]) ** 2).sum(-1), axis=1)
         new = np.array([x[labels == c].mean(0) if np.any(labels == c) else centres[c] for c in range(k)])
         if np.allclose(new, centres):
@@ -276,12 +276,12 @@ def spectral_labels(corr: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
     return labels
 
 
-def louvain_labels(adj: np.ndarray, levels: int = 20) -> np.ndarray:
+def louvain_labels(adj: np.ndarray) -> np.ndarray:
     """Louvain communities of one small undirected graph, in id order with smallest-id ties."""
     labels = np.arange(len(adj))
     graph = adj.astype(float)
     total = graph.sum()
-    for _ in range(levels if total > 0 else 0):
+    while total > 0:
         strength = graph.sum(axis=1)
         own = np.arange(len(graph))
         moved, improved = True, False

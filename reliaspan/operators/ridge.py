@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reliaspan.operators.connectivity import moment_corr, pair_moments
-from reliaspan.session import spread
+from reliaspan.session import materialise, spread
 
 SYSTEM_LIMIT = 8192  # rows of the square system the driver solves
 
@@ -36,14 +36,29 @@ def held_out_ridge(pairs: DataFrame, alpha: float = 1.0, key: str = "subject_id"
     Solves the smaller of two equivalent systems: subjects x subjects or edges x edges. Either
     matrix is summed over the other axis by the partial-product kernel of the connectivity jobs, its
     size is counted first, and predictions are computed row by row in the tasks.
+
+    A cell is usable if both values are numbers. Only subjects with a usable cell take part, and only
+    edges usable in all of them, as predictor and as target; other edges give no rows, and so does an
+    empty table. A cell may come once only.
     """
+    pairs = materialise(complete_edges(pairs, key))
     subjects = pairs.select(key).distinct().count()
     edges = pairs.select("i", "j").distinct().count()
+    if not edges:
+        return pairs.select(key, "i", "j", F.col("short").alias("predicted"), F.col("long").alias("actual"))
     if min(subjects, edges) > limit:
         raise ValueError(f"neither {subjects} subjects nor {edges} edges fit a system of {limit} rows")
     return _by_subjects(pairs, alpha, key) if subjects <= edges else _by_edges(pairs, alpha, key)
 
 
+def complete_edges(pairs: DataFrame, key: str = "subject_id") -> DataFrame:
+    """The usable cells of the edges that every subject with a usable cell has."""
+    usable = pairs.filter(~F.isnan(F.col("short").cast("double")) & ~F.isnan(F.col("long").cast("double"))).filter("short IS NOT NULL AND long IS NOT NULL")
+    per_edge = usable.groupBy("i", "j").agg(F.count(F.lit(1)).alias("_n"))
+    cohort = usable.select(key).distinct().agg(F.count(F.lit(1)).alias("_n"))
+    return usable.join(per_edge.join(cohort, "_n").select("i", "j"), ["i", "j"], "left_semi")
+
+
 def _square(cells, n: int) -> np.ndarray:
     out = np.zeros((n, n))
     for c in cells:

@@ -65,11 +65,11 @@ def permuted_labels(
 ) -> DataFrame:
     """(perm, key, label): labels re-paired with subjects, freely or inside each site.
 
-    Subject positions by key hash and by a permutation hash are matched, so a permutation is one
-    equi-join on (perm, within, position).
+    Subject positions by key hash, ranked once, and by a permutation hash are matched, so a
+    permutation is one equi-join on (within, position).
     """
     within = list(within)
     rows = subjects.select(key, label, *within).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    at = number_by_hash(rows.drop(label), ["perm", *within], seeded_hash(F.col(key), seed, "anchor"), [key])
+    at = number_by_hash(subjects.select(key, *within), within, seeded_hash(F.col(key), seed, "anchor"), [key])
     to = number_by_hash(rows, ["perm", *within], seeded_hash(F.col(key), seed, F.col("perm"), "perm"), [key])
-    return at.join(to.select("perm", *within, "rn", label), ["perm", *within, "rn"]).select("perm", key, *within, label)
+    return at.join(to.select("perm", *within, "rn", label), [*within, "rn"]).select("perm", key, *within, label)

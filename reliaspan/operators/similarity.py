@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from reliaspan.functions.hashing import seeded_hash
 from reliaspan.functions.reliability import clip
+from reliaspan.operators.cluster import BLOCK_ROWS, block_count
 from reliaspan.operators.connectivity import KEYS, moment_corr, pack_edges
 from reliaspan.operators.edges import pack_symmetric
 from reliaspan.operators.kernels import scalar_kernel
@@ -114,10 +115,7 @@ def adjacent_window_similarity(edges: DataFrame, keys: Sequence[str] = KEYS, win
     return rows.groupBy(*keys, window).agg(moment_corr("r", "_p").alias("r_prev"))
 
 
-FEATURES_PER_BLOCK = 1 << 22
-
-
-def fingerprint_ranks(short: DataFrame, reference: DataFrame, key: str = "subject_id", n_features: int | None = None) -> DataFrame:
+def fingerprint_ranks(short: DataFrame, reference: DataFrame, key: str = "subject_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, rank): 1 + how many subjects' references resemble a subject's short vector more than
     its own reference does. Vectors are (key, vec array<double>).
 
@@ -126,9 +124,7 @@ def fingerprint_ranks(short: DataFrame, reference: DataFrame, key: str = "subjec
     """
     own = short.join(reference.withColumnRenamed("vec", "ref_vec"), key).select(key, "vec", _unit_dot("vec", "ref_vec").alias("self_sim"))
     usable = own.filter(F.col("self_sim").isNotNull())
-    width = n_features or max(1, len((reference.select("vec").head() or [[0]])[0]))
-    rows = max(64, FEATURES_PER_BLOCK // width)
-    blocks = max(1, -(-reference.count() // rows))
+    blocks = block_count(reference, block_rows)
     left = usable.withColumn("a", seeded_hash(F.col(key), "a") % blocks).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = reference.select(
         F.col(key).alias("ref_key"), F.col("vec").alias("ref_vec"), (seeded_hash(F.col(key), "b") % blocks).alias("rb"),

@@ -33,7 +33,7 @@ def first_alias(df: DataFrame, aliases: Sequence[str]) -> Column:
     return F.coalesce(*clean) if clean else F.lit(None).cast("string")
 
 
-def site_phenotypes(rows: DataFrame, order: str | None = None) -> DataFrame:
+def site_phenotypes(rows: DataFrame, order: str) -> DataFrame:
     """Coded site tables -> (sub_id, site, group, dx, age, sex); the last row of an id wins.
 
     ``rows`` needs ScanDir ID, site, DX, Age and Gender; ``order`` ranks repeated ids. Missing codes
@@ -45,10 +45,8 @@ def site_phenotypes(rows: DataFrame, order: str | None = None) -> DataFrame:
         sub.alias("sub_id"), "site", group_from_dx(dx).alias("group"),
         F.when(dx.rlike(r"^\d+$"), dx.try_cast("int")).otherwise(-1).alias("dx"),
         F.coalesce(F.trim(F.col("Age").cast("string")).try_cast("double"), F.lit(-1.0)).alias("age"),
-        sex_from_code("Gender").alias("sex"), *([F.col(order).alias("_o")] if order else []),
+        sex_from_code("Gender").alias("sex"), F.col(order).alias("_o"),
     )
-    if not order:
-        return out.dropDuplicates(["sub_id"])
     last = F.row_number().over(Window.partitionBy("sub_id").orderBy(F.desc("_o")))
     return out.withColumn("_rn", last).filter("_rn = 1").drop("_rn", "_o")
 

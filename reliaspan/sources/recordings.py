@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reliaspan.functions.parsing import strip_entities
 from reliaspan.operators.cohort import derive_durations
+from reliaspan.session import materialise
 
 
 def load_samples(spark: SparkSession, path: str, n_short: int, eps: float = 1e-8) -> DataFrame:
@@ -95,11 +96,12 @@ def combine_cohorts(parts: dict[str, tuple[DataFrame, DataFrame]], position: str
 
 
 def concatenate_subjects(samples: DataFrame, subjects: DataFrame) -> DataFrame:
-    """All subjects' rows as one series, in subject order. ``subjects`` is (subject_id, n_rows); its
-    offsets are bucketed running totals, so the cohort is not sorted in one task."""
-    from reliaspan.operators.ranking import cumulate, with_value_bucket
+    """All subjects' rows as one series, in subject order. ``subjects`` is (subject_id, n_rows), ids of
+    any sortable type; its offsets are running totals over range partitions, written down so that a
+    recomputed partition cannot change them, and the cohort is not sorted in one task."""
+    from reliaspan.operators.ranking import cumulate
 
-    ordered = with_value_bucket(subjects, "subject_id")
+    ordered = materialise(subjects.repartitionByRange("subject_id").withColumn("_vb", F.spark_partition_id()))
     ends = cumulate(ordered, [], "subject_id", F.col("_vb"), {"_end": "n_rows"})
     offsets = ends.select("subject_id", (F.col("_end") - F.col("n_rows")).alias("_off"))
     return samples.join(offsets, "subject_id").select((F.col("t") + F.col("_off")).alias("t"), "channel", "value", "subject_id")

@@ -165,3 +165,24 @@ def test_moments_weights_equal_repetition(spark, frames_of, rng):
     b = pair_moments(frames.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(1)))).filter(F.col("_k") < F.col("w")), ["subject_id"])
     left = {(r["i"], r["j"]): r["sij"] for r in a.collect()}
     assert all(left[(r["i"], r["j"])] == pytest.approx(r["sij"]) for r in b.collect())
+
+
+@pytest.mark.parametrize("n", [4, 9])
+def test_held_out_ridge_leaves_out_incomplete_edges(spark, rng, n):
+    ij = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    rows = [(s, i, j, float(rng.normal()), float(rng.normal())) for s in range(n) for i, j in ij]
+    spoiled = [r for r in rows if r[:3] != (1, 0, 1)]  # one absent, one NULL and one NaN cell; a subject without values
+    spoiled = [(*r[:3], None, r[4]) if r[:3] == (2, 0, 2) else (*r[:4], float("nan")) if r[:3] == (0, 0, 3) else r for r in spoiled]
+    spoiled += [(n, i, j, None, None) for i, j in ij]
+    schema = "subject_id long, i int, j int, short double, long double"
+    whole = [r for r in rows if r[1] > 0]
+    value = lambda got: {(r["subject_id"], r["i"], r["j"]): r["predicted"] for r in got.collect()}
+    assert value(held_out_ridge(spark.createDataFrame(spoiled, schema))) == pytest.approx(value(held_out_ridge(spark.createDataFrame(whole, schema))), abs=1e-9)
+    assert held_out_ridge(spark.createDataFrame(spoiled[:0], schema)).count() == 0
+
+
+def test_tangent_mean_that_has_not_settled_is_an_error(spark, frames_of, rng):
+    cov = shrunk_covariances(frames_of({s: rng.normal(size=(40, 4)) @ rng.normal(size=(4, 4)) for s in range(5)})).checkpoint()
+    with pytest.raises(RuntimeError, match="not settled"):
+        tangent_edges(cov, cov, max_iter=1)
+    assert tangent_edges(cov, cov).count() == 5 * 6

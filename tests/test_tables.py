@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reliaspan.operators.cluster import agreement, nearest_neighbours, silhouette, spectral_neighbour_labels
+from reliaspan.operators.cluster import agreement, block_count, nearest_neighbours, silhouette, spectral_neighbour_labels
 from reliaspan.operators.cohort import balanced_allocation, lookup_strict, positional_join, site_interval
 from reliaspan.operators.evaluate import score_metrics
 from reliaspan.operators.graph import (
@@ -12,7 +12,7 @@ from reliaspan.operators.ranking import exact_quantiles, number_rows, with_value
 from reliaspan.operators.sampling import permuted_labels, stratified_folds
 from reliaspan.operators.similarity import fingerprint_ranks
 from reliaspan.operators.stats import adjust_p
-from reliaspan.sources.recordings import read_manifest, write_manifest, write_missing, write_records
+from reliaspan.sources.recordings import concatenate_subjects, read_manifest, write_manifest, write_missing, write_records
 from reliaspan.sources.text import format_matrix, parse_matrix, read_lines
 
 
@@ -112,7 +112,7 @@ def test_agreement_extremes(spark):
 def test_blocked_distances_match_brute_force(spark, rng, monkeypatch):
     import reliaspan.operators.cluster as cluster
 
-    monkeypatch.setattr(cluster, "BLOCK_VALUES", 64)  # 64 rows a block: several blocks
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 16)
     x = np.vstack([rng.normal(size=(80, 3)), rng.normal(size=(80, 3)) + 9])
     rows = spark.createDataFrame([(k, k // 80, [float(v) for v in x[k]]) for k in range(160)], "subject_id long, cluster int, vec array<double>")
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
@@ -126,6 +126,26 @@ def test_blocked_distances_match_brute_force(spark, rng, monkeypatch):
     assert spectral_neighbour_labels(rows.drop("cluster")).select("cluster").distinct().count() == 2
 
 
+def test_block_count_bounds_rows_and_occupies_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert block_count(spark.range(10)) ** 2 >= cores
+    assert 5000 / block_count(spark.range(5000), 100) <= 100
+
+
+def test_equal_distances_go_to_the_smaller_neighbour(spark):
+    rows = spark.createDataFrame([(k, [float(k % 2), 0.0]) for k in range(40)], "subject_id long, vec array<double>")
+    got = nearest_neighbours(rows, 3).filter("subject_id = 9").orderBy("neighbour").collect()
+    assert [r["neighbour"] for r in got] == [1, 3, 5]
+
+
+def test_subjects_with_text_ids_are_laid_end_to_end(spark):
+    ids = [f"sub-{k:02d}" for k in range(20)]
+    subjects = spark.createDataFrame([(s, 1 + k % 3) for k, s in enumerate(ids)], "subject_id string, n_rows long")
+    samples = spark.createDataFrame([(s, 0, t, float(t)) for k, s in enumerate(ids) for t in range(1 + k % 3)], "subject_id string, channel int, t int, value double")
+    got = concatenate_subjects(samples, subjects).orderBy("t").collect()
+    assert [r["t"] for r in got] == list(range(len(got))) and [r["subject_id"] for r in got] == sorted(r["subject_id"] for r in got)
+
+
 def test_fingerprints_identify_copies(spark, rng):
     x = rng.normal(size=(130, 8))
     mk = lambda m: spark.createDataFrame([(k, [float(v) for v in m[k]]) for k in range(len(m))], "subject_id long, vec array<double>")
