@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words and pairs kept at most by a worker, and the longest word that is kept.
-KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 500_000, 200_000, 64
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 160_000, 100_000, 64
+#: Hash places that tell whether a word came before; a power of two. Words that come once are not kept.
+SEEN_PLACES = 1 << 20
 #: Ids after which a batch of results is handed over.
 BATCH_IDS = 1 << 20
 
@@ -68,6 +70,7 @@ class PieceModel:
         #: The ids of words that decode to themselves, as text: the present generation and the one before.
         self.words: dict[str, str] = {}
         self.older: dict[str, str] = {}
+        self.seen = bytearray(SEEN_PLACES)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, tuple[int, ...]] = {}
         self.longest_run = max(len(p) for p in self.id if set(p) == {MARK})
@@ -219,9 +222,12 @@ class PieceModel:
             if surface != " " * marks + word:
                 return None
         if len(key) <= KEPT_LENGTH:
-            if len(self.words) >= KEPT_WORDS // 2:
-                self.older, self.words = self.words, {}
-            self.words[key] = ids
+            place = hash(key) % SEEN_PLACES
+            if self.seen[place]:
+                if len(self.words) >= KEPT_WORDS // 2:
+                    self.older, self.words, self.seen = self.words, {}, bytearray(SEEN_PLACES)
+                self.words[key] = ids
+            self.seen[place] = 1
         return ids
 
     def _one(self, key: str) -> tuple[str, str]:
