@@ -28,6 +28,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def in_slices(values: pa.Array, one: Callable, kind: pa.DataType, rows: int = 256) -> pa.Array:
+    """one(value) for each value of a batch, with the Python objects of some rows at a time only."""
+    parts = [pa.array([one(x) for x in values.slice(at, rows).to_pylist()], kind) for at in range(0, len(values), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def hash_share(df: DataFrame, by: Column, share: float) -> DataFrame:
     """The rows whose hash falls into the given share of the hash space; the same rows in every run."""
     if share >= 1:

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reliaspan.llm.common import in_slices
 from reliaspan.llm.components import components
 from reliaspan.session import materialise
 
@@ -58,7 +59,7 @@ def fingerprint(text: bytes | None) -> int:
 def fingerprint_column(text: Column) -> Column:
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(x) for x in texts.to_pylist()], pa.int64())
+        return in_slices(texts, fingerprint, pa.int64())
 
     return run(text.cast("binary"))
 
