@@ -376,18 +376,22 @@ def holm_bh(spark, sf_dir):
     tests = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("test"), F.col("l_returnflag").alias("family")).agg(
         (F.avg("l_discount") * 2).alias("p")
     )
-    return adjust_p(tests, "p", ["family"], ["test"]).select("test", "family", r6("holm"), r6("bh"))
+    return adjust_p(tests, "p", ["family"]).select("test", "family", r6("holm"), r6("bh"))
+
+
+#: Permutations of a null distribution.
+PERMUTATIONS = 1000
 
 
 def _perm_sql(within):
     part = "perm" + (", site" if within else "")
     return f"""WITH B AS (SELECT vec_id AS subject_id, CAST(label % 2 AS INTEGER) AS label, CAST(vec_id % 3 AS INTEGER) AS site, embedding[1] + embedding[2] AS score FROM embeddings),
-      R AS (SELECT B.*, CAST(p.p AS INTEGER) AS perm FROM B CROSS JOIN range(1, 21) p(p)),
+      R AS (SELECT B.*, CAST(p.p AS INTEGER) AS perm FROM B CROSS JOIN range(1, {PERMUTATIONS + 1}) p(p)),
       A AS (SELECT perm, subject_id, site, score, row_number() OVER (PARTITION BY {part} ORDER BY {hash_sql('subject_id', '7', "'anchor'")}, subject_id) AS rn FROM R),
       Z AS (SELECT perm, site, label, row_number() OVER (PARTITION BY {part} ORDER BY {hash_sql('subject_id', '7', 'perm', "'perm'")}, subject_id) AS rn FROM R),
       N AS (SELECT A.perm, abs(avg(score) FILTER (WHERE label = 1) - avg(score) FILTER (WHERE label = 0)) AS stat FROM A JOIN Z ON A.perm = Z.perm AND A.rn = Z.rn {'AND A.site = Z.site' if within else ''} GROUP BY 1),
       O AS (SELECT abs(avg(score) FILTER (WHERE label = 1) - avg(score) FILTER (WHERE label = 0)) AS observed FROM B)
-      SELECT {q6('observed', 'observed')}, {q6('(1.0 + (SELECT count(*) FROM N WHERE stat >= observed)) / 21', 'p')} FROM O"""
+      SELECT {q6('observed', 'observed')}, {q6(f'(1.0 + (SELECT count(*) FROM N WHERE stat >= observed)) / {PERMUTATIONS + 1}', 'p')} FROM O"""
 
 
 def _perm(spark, sf_dir, within):
@@ -397,7 +401,7 @@ def _perm(spark, sf_dir, within):
         (F.col("embedding")[0] + F.col("embedding")[1]).alias("score"),
     )
     stat = F.abs(F.avg(F.when(F.col("label") == 1, F.col("score"))) - F.avg(F.when(F.col("label") == 0, F.col("score")))).alias("stat")
-    perms = permuted_labels(rows, 20, 7, within=["site"] if within else [])
+    perms = permuted_labels(rows, PERMUTATIONS, 7, within=["site"] if within else [])
     nulls = perms.join(rows.select("subject_id", "score"), "subject_id").groupBy("perm").agg(stat)
     return permutation_p(rows.agg(stat), nulls, "stat").select(r6("observed"), r6("p"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reliaspan.functions.reliability import clip
 from reliaspan.functions.special import t_two_sided
 from reliaspan.operators.connectivity import KEYS, moment_corr
-from reliaspan.operators.ranking import exact_quantiles, number_rows, with_value_bucket
+from reliaspan.operators.ranking import cumulate, exact_quantiles, number_rows, with_value_bucket
 from reliaspan.session import ensure_checkpoint_dir
 
 
@@ -122,31 +122,34 @@ def friedman(rows: DataFrame, subject: str, condition: str, value: str) -> DataF
     return agg.select("n", "k", chi2.alias("chi2"), (chi2 / (n * (k - 1))).alias("w"))
 
 
-def adjust_p(tests: DataFrame, p: str, family: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def adjust_p(tests: DataFrame, p: str, family: Sequence[str]) -> DataFrame:
     """Adds ``holm`` and ``bh`` within each family of tests.
 
-    The step-down maximum and step-up minimum run inside buckets of p and are completed by the
-    extremes of the buckets before and after, so a family of any size spreads over tasks.
+    Equal p-values get equal results, so everything runs on counts per distinct value: ties, however
+    many, shrink on the map side. The step-down maximum and step-up minimum run inside buckets of p and
+    are completed by the extremes of the buckets before and after, so a family of any size spreads over
+    tasks. A NULL or NaN p is not counted in its family and gets NULLs; NULL is a family like others.
     """
-    family = list(family)
+    key = F.struct(*family) if family else F.struct(F.lit(0).alias("_all"))
     ensure_checkpoint_dir(tests.sparkSession)
-    base = with_value_bucket(tests.checkpoint(), p, name="_b")
-    ranked = number_rows(base, family, [p, *order], F.col("_b"))
-    size = base.groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))
-    stepped = ranked.join(size, family).withColumns({
-        "_h": F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("rn") + 1)), "_q": F.col(p) * F.col("_m") / F.col("rn"),
+    rows = tests.withColumns({"_by": key, "_v": F.col(p).cast("double")}).checkpoint()
+    counts = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_by", "_v").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    values = cumulate(with_value_bucket(counts, "_v", name="_b"), ["_by"], "_v", F.col("_b"), {"_end": "_n"})
+    stepped = values.join(counts.groupBy("_by").agg(F.sum("_n").alias("_m")), "_by").withColumns({
+        "_h": F.least(F.lit(1.0), F.col("_v") * (F.col("_m") - F.col("_end") + F.col("_n"))), "_q": F.col("_v") * F.col("_m") / F.col("_end"),
     })
-    edge = stepped.groupBy(*family, "_b").agg(F.max("_h").alias("_hmax"), F.min("_q").alias("_qmin"))
-    along = Window.partitionBy(*family).orderBy("_b")
+    edge = stepped.groupBy("_by", "_b").agg(F.max("_h").alias("_hmax"), F.min("_q").alias("_qmin"))
+    along = Window.partitionBy("_by").orderBy("_b")
     edge = edge.select(
-        *family, "_b", F.max("_hmax").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_hprev"),
+        "_by", "_b", F.max("_hmax").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_hprev"),
         F.min("_qmin").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_qnext"),
     )
-    inside = Window.partitionBy(*family, "_b").orderBy("rn")
+    inside = Window.partitionBy("_by", "_b").orderBy("_v")
     holm = F.max("_h").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     bh = F.min("_q").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    done = stepped.withColumn("_h", holm).withColumn("_q", bh).join(edge, [*family, "_b"])
-    return done.select(*tests.columns, F.greatest("_h", "_hprev").alias("holm"), F.least("_q", "_qnext", F.lit(1.0)).alias("bh"))
+    done = stepped.withColumn("_h", holm).withColumn("_q", bh).join(edge, ["_by", "_b"])
+    done = done.select("_by", "_v", F.greatest("_h", "_hprev").alias("holm"), F.least("_q", "_qnext", F.lit(1.0)).alias("bh"))
+    return rows.join(done, ["_by", "_v"], "left").select(*tests.columns, "holm", "bh")
 
 
 def permutation_p(observed: DataFrame, nulls: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:

@@ -94,6 +94,23 @@ def test_holm_and_bh(spark):
     assert [rows[k][1] for k in range(4)] == pytest.approx([0.02, 0.04, 0.04, 0.02])
 
 
+def test_adjusted_p_with_ties_and_missing_values(spark, rng):
+    ps = np.where(rng.random(400) < 0.8, 1.0, np.round(rng.random(400) * 0.05, 3))
+    rows = [(k, None if k % 2 else "a", float(p)) for k, p in enumerate(ps)] + [(400, "a", None), (401, "a", float("nan"))]
+    got = {r["t"]: (r["holm"], r["bh"]) for r in adjust_p(spark.createDataFrame(rows, "t int, f string, p double"), "p", ["f"]).collect()}
+    assert len(got) == len(rows) and got[400] == got[401] == (None, None)
+    for part in (0, 1):
+        at = np.arange(part, 400, 2)
+        order = at[np.argsort(ps[at], kind="stable")]
+        m = len(order)
+        holm = np.maximum.accumulate(np.minimum(1, ps[order] * (m - np.arange(m))))
+        bh = np.minimum(1, np.minimum.accumulate((ps[order] * m / np.arange(1, m + 1))[::-1])[::-1])
+        assert [got[int(k)][0] for k in order] == pytest.approx(list(holm))
+        assert [got[int(k)][1] for k in order] == pytest.approx(list(bh))
+    empty = spark.createDataFrame([], "t int, f string, p double")
+    assert adjust_p(empty, "p", []).count() == 0
+
+
 def test_score_metrics_against_pairs(spark, rng):
     y, s = rng.integers(0, 2, 200), np.round(rng.normal(size=200), 1)
     df = spark.createDataFrame([(0, int(a), float(b), int(b > 0)) for a, b in zip(y, s)], "run int, label int, score double, prediction int")
