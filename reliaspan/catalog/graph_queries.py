@@ -183,7 +183,7 @@ def _labelled_models(spark, sf_dir):
     wide = segment_pairs(spark, sf_dir, constant=0.0)
     sides = F.explode(F.array(F.struct(F.lit("short").alias("model"), F.col("short").alias("r")), F.struct(F.lit("full").alias("model"), F.col("full").alias("r"))))
     edges = wide.select("subject_id", "i", "j", sides.alias("e")).select("subject_id", "i", "j", "e.*")
-    m = mark_density(edges, 0.25, ["subject_id", "model"]).checkpoint()
+    m = mark_density(edges, 0.15, ["subject_id", "model"]).checkpoint()
     keys = ["subject_id", "model"]
     return m, communities(m, keys), keys
 

@@ -222,12 +222,22 @@ def representative_subject(subjects: DataFrame, columns: Sequence[str], key: str
 
 
 def median_subject(subjects: DataFrame, value: str, key: str = "subject_id") -> DataFrame:
-    """The subject at position n // 2 (0-based) of the ascending order, without a global window."""
+    """The subject at position n // 2 (0-based) of the ascending order by value, then key; no rows if no value is known.
+
+    Counts per distinct value find the value at that position; only subjects with that value are
+    ordered by key, in ranges of the key, so no tie of any size meets in one window.
+    """
     ensure_checkpoint_dir(subjects.sparkSession)
-    bucketed = with_value_bucket(subjects.filter(F.col(value).isNotNull()).checkpoint(), value)
-    ranked = number_rows(bucketed, [], [value, key], F.col("_vb")).drop("_vb")
-    n = ranked.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return ranked.filter(F.col("rn") == n // 2 + 1).drop("rn")
+    known = subjects.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double")).checkpoint()
+    counts = known.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    n = counts.agg(F.sum("_n")).first()[0]
+    if not n:
+        return known.drop("_v")
+    ends = cumulate(with_value_bucket(counts, "_v", name="_b"), [], "_v", F.col("_b"), {"_end": "_n"})
+    at = ends.filter((F.col("_end") > n // 2) & (F.col("_end") - F.col("_n") <= n // 2)).first()
+    ties = known.filter(F.col("_v") == F.lit(at["_v"])).repartitionByRange(value, key).withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranked = number_rows(ties, [], [value, key], F.col("_range"))
+    return ranked.filter(F.col("rn") == n // 2 - (at["_end"] - at["_n"]) + 1).drop("rn", "_v", "_range")
 
 
 def regression_line(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from reliaspan.functions.parsing import group_from_dx, group_from_flags, is_heal
 # Column names under which each attribute is known, first match first.
 ID_ALIASES = ("ScanDir ID", "Subject", "SUB_ID", "ScanDirID", "SubID")
 SITE_ALIASES = ("Site", "site", "SITE_ID")
-DIAGNOSIS_ALIASES = ("diagnosis", "diag", "group", "Group", "dx", "DX")
+DIAGNOSIS_ALIASES = ("diagnosis", "group", "Group", "dx", "Diagnosis", "condition", "participant_group")
 AGE_ALIASES = ("age", "Age", "AGE")
 SEX_ALIASES = ("gender", "sex", "Gender", "Sex")
 REST_ALIASES = ("rest", "resting", "task-rest")
@@ -33,6 +33,11 @@ def first_alias(df: DataFrame, aliases: Sequence[str]) -> Column:
     return F.coalesce(*clean) if clean else F.lit(None).cast("string")
 
 
+def first_column(df: DataFrame, aliases: Sequence[str]) -> Column:
+    """The values of the first alias column that exists, blank ones as NULL."""
+    return first_alias(df, [a for a in aliases if a in df.columns][:1])
+
+
 def site_phenotypes(rows: DataFrame, order: str) -> DataFrame:
     """Coded site tables -> (sub_id, site, group, dx, age, sex); the last row of an id wins.
 
@@ -66,15 +71,16 @@ def aliased_phenotypes(rows: DataFrame) -> DataFrame:
 def healthy_adults(participants: DataFrame, dataset: str, min_age: float = 18) -> DataFrame:
     """Participants that count as healthy adults with the needed data.
 
-    Without a diagnosis column everyone counts as healthy; an unknown age passes.
+    Of the columns known for an attribute the first present one counts, so a blank diagnosis beside a
+    filled group is no healthy one. Without a diagnosis column everyone counts as healthy; an unknown age passes.
     """
     has_diagnosis = any(a in participants.columns for a in DIAGNOSIS_ALIASES)
-    diagnosis, age = first_alias(participants, DIAGNOSIS_ALIASES), parse_age(first_alias(participants, AGE_ALIASES))
+    diagnosis, age = first_column(participants, DIAGNOSIS_ALIASES), parse_age(first_column(participants, AGE_ALIASES))
     healthy = is_healthy(diagnosis) if has_diagnosis else F.lit(True)
-    available = lambda names: ~F.coalesce(first_alias(participants, names).isin(*UNAVAILABLE), F.lit(False))
+    available = lambda names: ~F.coalesce(first_column(participants, names).isin(*UNAVAILABLE), F.lit(False))
     rows = participants.select(
         F.lit(dataset).alias("dataset_id"), F.trim("participant_id").alias("participant_id"), age.alias("age"),
-        F.coalesce(first_alias(participants, SEX_ALIASES), F.lit("")).alias("gender"), available(REST_ALIASES).alias("has_rest"),
+        F.coalesce(first_column(participants, SEX_ALIASES), F.lit("")).alias("gender"), available(REST_ALIASES).alias("has_rest"),
         available(ANAT_ALIASES).alias("has_t1w"), F.coalesce(diagnosis, F.lit("assumed_hc")).alias("diagnosis"), healthy.alias("_ok"),
     )
     ok = F.col("_ok") & (F.col("age").isNull() | (F.col("age") >= min_age)) & F.col("has_rest") & F.col("has_t1w")

@@ -11,7 +11,8 @@ from reliaspan.operators.graph import (
 from reliaspan.operators.ranking import exact_quantiles, number_rows, with_value_bucket
 from reliaspan.operators.sampling import permuted_labels, stratified_folds
 from reliaspan.operators.similarity import fingerprint_ranks
-from reliaspan.operators.stats import adjust_p
+from reliaspan.operators.stats import adjust_p, median_subject
+from reliaspan.sources.phenotype import healthy_adults
 from reliaspan.sources.recordings import concatenate_subjects, read_manifest, write_manifest, write_missing, write_records
 from reliaspan.sources.text import format_matrix, parse_matrix, read_lines
 
@@ -111,6 +112,20 @@ def test_adjusted_p_with_ties_and_missing_values(spark, rng):
     assert adjust_p(empty, "p", []).count() == 0
 
 
+def test_median_subject_with_ties(spark):
+    rows = [(f"s{k:03d}", 1.0 if k % 5 else float(k % 7) - 3) for k in range(301)]
+    want = sorted(rows, key=lambda r: (r[1], r[0]))[301 // 2]
+    df = spark.createDataFrame([*rows, ("none", None)], "subject_id string, v double").repartition(7)
+    assert [tuple(r) for r in median_subject(df, "v").collect()] == [want]
+    assert median_subject(df.filter("v IS NULL"), "v").count() == 0
+
+
+def test_first_present_diagnosis_column_counts(spark):
+    df = spark.createDataFrame([("a", "", "control"), ("b", "control", "patient"), ("c", "patient", "control")], "participant_id string, diagnosis string, condition string")
+    assert [r["participant_id"] for r in healthy_adults(df, "d").collect()] == ["b"]
+    assert [r["participant_id"] for r in healthy_adults(df.drop("diagnosis"), "d").orderBy("participant_id").collect()] == ["a", "c"]
+
+
 def test_score_metrics_against_pairs(spark, rng):
     y, s = rng.integers(0, 2, 200), np.round(rng.normal(size=200), 1)
     df = spark.createDataFrame([(0, int(a), float(b), int(b > 0)) for a, b in zip(y, s)], "run int, label int, score double, prediction int")
