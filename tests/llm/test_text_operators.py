@@ -187,6 +187,24 @@ def test_formats_are_inferred_and_added(spark, edge_docs):
     assert edge_docs.select(secret_scan.redact(F.col("text"), None).alias("t")).filter("t is null").count() == 1
 
 
+def test_bare_secrets_in_the_sample_do_not_switch_formats_off(spark):
+    rng = random.Random(6)
+    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    few = lambda n: "".join(rng.choice(letters[10:]) for _ in range(n - 1)) + rng.choice(letters[:10])
+    words = ["".join(rng.choice("thenorsaeiuldcm") for _ in range(rng.randrange(6, 20))) for _ in range(3000)]
+    ordinary = [f"{a}{b.title()}" for a, b in zip(words[:150], words[150:300], strict=True)] + [f"{w}.{rng.randrange(999)}" for w in words[300:450]] + [f"2024-01-{d}" for d in range(10, 32)] + [f"mail{d}.example.com" for d in range(10)]
+    prose = lambda: " ".join([*rng.sample(words, 30), *rng.sample(ordinary, 3)])
+    bare = [key(40) for _ in range(100)]
+    docs = [f"{prose()} token={key(rng.randrange(12, 41))} {prose()}" for _ in range(300)] + [f"{prose()} {b} {prose()}" for b in bare] + [prose() for _ in range(100)]
+    formats = secret_scan.learn(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    like = lambda token: [s[2] for s in secret_scan.spans_of(f"x {token} y", formats)[1]] == ["like_assign"]
+    assert sum(map(like, bare)) >= 95
+    assert sum(like(few(24)) for _ in range(100)) >= 90  # a single digit
+    assert sum(like(key(14)) for _ in range(100)) >= 80
+    assert not any(map(like, words)) and sum(map(like, ordinary)) <= len(ordinary) // 50
+
+
 def test_scan_of_given_documents_equals_plain_search(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
