@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reliaspan.session import materialise
+
 #: Normalised characters after which a phrase ends anyway.
 WINDOW = 1024
-#: Labelled rows drawn for a language, the longest text drawn, and the model's length in characters.
+#: Distinct labelled texts drawn for a language, characters of a text that are drawn at most, and the model's length in characters.
 SAMPLE_ROWS, SAMPLE_TEXT, MODEL_CHARS = 400, 20_000, 24_000
 #: Characters parsed side by side.
 CHUNK = 1 << 22
@@ -114,18 +116,29 @@ def _normalise(symbol: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.nda
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Models:
     """Models from labelled rows; rows with a NULL text or language are not used.
 
-    At most about SAMPLE_ROWS rows of a language, chosen by the hash of the text among texts of up to
-    SAMPLE_TEXT characters, come to the driver; equal texts count once. Each model reads MODEL_CHARS
-    normalised characters of them.
+    The first SAMPLE_ROWS distinct texts of a language by their hash come to the driver, of each
+    SAMPLE_TEXT characters from its first letter on. Each model reads MODEL_CHARS normalised characters
+    of them. Every language with a text that is not empty has a model.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_TEXT))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text"))
+    distinct = materialise(rows.groupBy("lang", "h").agg(F.count("*").alias("n")))
+    sizes = distinct.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    counts = {r["lang"]: r["n"] for r in sizes}
     drawn: dict[str, list[str]] = {}
     if counts:
-        share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, SAMPLE_ROWS / n) * (1 << 40)))])
-        picked = rows.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 40)) < share[F.col("lang")])
-        for r in sorted(picked.groupBy("lang", "h").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["lang"], r["h"])):
+        # twice the share that is needed, of which the first ones are taken: no language falls short by chance
+        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, 2 * SAMPLE_ROWS / r["texts"]) * (1 << 40)))])
+        place = F.pmod("h", F.lit(1 << 40))
+        first: dict[str, list[int]] = {}
+        for r in sorted(distinct.filter(place < share[F.col("lang")]).select("lang", "h").collect(), key=lambda r: (r["h"] % (1 << 40), r["h"])):
+            first.setdefault(r["lang"], []).append(r["h"])
+        chosen = labelled.sparkSession.createDataFrame([(k, h) for k, hashes in first.items() for h in hashes[:SAMPLE_ROWS]], "lang string, h long")
+        picked = rows.join(F.broadcast(chosen), ["lang", "h"])
+        piece = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, SAMPLE_TEXT)
+        for r in sorted(picked.groupBy("lang", "h").agg(F.min(piece).alias("text")).collect(), key=lambda r: (r["lang"], r["h"])):
             drawn.setdefault(r["lang"], []).append(r["text"])
+    if counts.keys() != drawn.keys():
+        raise RuntimeError(f"no model for {sorted(counts.keys() - drawn.keys())}")
     symbol = _symbols([t for ts in drawn.values() for t in ts])
     width = int(symbol.max()) + 2  # one more symbol, which no text has, between the model's texts
     langs, tables, bits = [], [], []

@@ -87,6 +87,19 @@ def test_languages_of_held_out_rows_and_edges(spark, edge_docs):
     assert language_id.identify(docs.limit(0), models, [F.col("doc_id")]).count() == 0
 
 
+def test_each_labelled_language_has_a_model(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 5)
+    word = {k: [f"{k}{c}{d}" for c in "aeiou" for d in "lmnr"] for k in ("ba", "ke", "zu", "wo")}
+    copies = [(f"{' '.join(word['ba'])} {i % 3}", "copied") for i in range(600)]  # 3 texts
+    many = [(f"{' '.join(word['ke'])} {'x' * i}", "many") for i in range(40)]
+    long = [("0 " * 30_000 + " ".join(word["zu"] * 1000), "long")] * 2  # letters after 60,000 characters
+    docs = spark.createDataFrame([*copies, *many, *long, (" ".join(word["wo"]), "single"), (None, "none"), ("a", None)], "text string, lang string")
+    models = language_id.train(docs)
+    assert models.langs == ["copied", "many", "long", "single"]
+    rows = language_id.identify(docs.filter("lang is not null and text is not null"), models, [F.col("lang")]).collect()
+    assert len(rows) == 643 and all(r["lang"] == r["lang_pred"] for r in rows)
+
+
 def slow_fingerprint(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in "".join(" " if c in " \t\n\x0b\f\r" else c for c in low).split(" ") if w]
