@@ -68,21 +68,26 @@ def _record(head: dict[str, str], block: bytes) -> bytes:
     return LINE.join(lines) + LINE + LINE + block
 
 
-def _name(page_id: int | None, payload_digest: str, part: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{payload_digest}/{part}')}>"
+def _name(page_id: int | None, payload_digest: str, part: int = 1, copy: int | None = None) -> str:
+    own = f"{page_id}/{payload_digest}/{part}" if copy is None else f"{page_id}/{payload_digest}/{part}/{copy}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, own)}>"
 
 
-def records(page_id: int | None, uri: str | None, payload: bytes, refers_to: int | None) -> Iterator[bytes]:
-    """The WARC records of one page: a response in one or more segments, or a revisit of page `refers_to`."""
+def records(page_id: int | None, uri: str | None, payload: bytes, refers_to: int | None, copy: int | None = None, one: bool = True) -> Iterator[bytes]:
+    """The WARC records of one page: a response in one or more segments, or a revisit of page `refers_to`.
+
+    `copy` tells rows with the same page_id and payload apart. A revisit names the record it refers to
+    only if the page `refers_to` has `one` with that payload.
+    """
     checksum = digest(payload)
-    head = {"WARC-Type": "response", "WARC-Record-ID": _name(page_id, checksum), "WARC-Date": DATE}
+    head = {"WARC-Type": "response", "WARC-Record-ID": _name(page_id, checksum, 1, copy), "WARC-Date": DATE}
     if uri is not None:
         head["WARC-Target-URI"] = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in uri)
     if page_id is not None:
         head["X-Page-ID"] = str(page_id)
     head |= {"WARC-Payload-Digest": f"sha1:{checksum}", "X-Payload-Length": str(len(payload))}
     if refers_to is not None:
-        head |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _name(refers_to, checksum), "X-Refers-To-Page-ID": str(refers_to), "Content-Type": "application/http; msgtype=response"}
+        head |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", **({"WARC-Refers-To": _name(refers_to, checksum)} if one else {}), "X-Refers-To-Page-ID": str(refers_to), "Content-Type": "application/http; msgtype=response"}
         yield _record(head, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -92,7 +97,7 @@ def records(page_id: int | None, uri: str | None, payload: bytes, refers_to: int
     parts = range(0, len(block), SEGMENT)
     for n, at in enumerate(parts, 1):
         own = head | {"Content-Type": "application/http; msgtype=response", "WARC-Segment-Number": "1"} if n == 1 else {
-            "WARC-Type": "continuation", "WARC-Record-ID": _name(page_id, checksum, n), "WARC-Date": DATE, "WARC-Segment-Origin-ID": head["WARC-Record-ID"], "WARC-Segment-Number": str(n)
+            "WARC-Type": "continuation", "WARC-Record-ID": _name(page_id, checksum, n, copy), "WARC-Date": DATE, "WARC-Segment-Origin-ID": head["WARC-Record-ID"], "WARC-Segment-Number": str(n)
         }
         if n == len(parts) and n > 1:
             own["WARC-Segment-Total-Length"] = str(len(block))
@@ -104,16 +109,22 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", uri: str = "url
 
     Text payloads are written in UTF-8, NULL as an empty payload. Equal payloads of at least `least`
     bytes: the row with the smallest id is the response, others revisit it; rows that repeat that id
-    are responses, and rows with a NULL id are, where no row of the payload has an id.
+    are responses, and rows with a NULL id are, where no row of the payload has an id. Rows with the same
+    id and payload have record ids made from their place, which may differ in a rerun.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(uri).cast("string").alias("uri"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     key = F.unhex(F.sha1("payload"))
-    first = rows.filter(F.octet_length("payload") >= least).groupBy(key.alias("key")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("key", "first_id")
-    marked = rows.withColumn("own", key).join(first, F.col("own") == F.col("key"), "left").select("page_id", "uri", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    per = rows.groupBy(key.alias("key"), "page_id").agg(F.count("*").alias("m"), F.max(F.octet_length("payload")).alias("size"))
+    id_of = F.when(F.max("size") >= least, F.min("page_id"))
+    first = per.groupBy("key").agg(id_of.alias("first_id"), F.coalesce(F.min_by("m", "page_id"), F.max("m")).alias("first_m"), F.max("m").alias("most"), F.sum("m").alias("n")).filter("n > 1").drop("n")
+    is_first = F.col("page_id").eqNullSafe(F.col("first_id"))
+    copy = F.when((F.col("most") > 1) & ~(is_first & (F.col("first_m") == 1)), F.monotonically_increasing_id())
+    joined = rows.withColumn("own", key).join(first, F.col("own") == F.col("key"), "left")
+    marked = joined.select("page_id", "uri", "payload", F.when(~is_first, F.col("first_id")).alias("refers_to"), copy.alias("copy"), F.coalesce(F.col("first_m") == 1, F.lit(True)).alias("one"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [r for p, u, x, first_id in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in records(p, u, x, first_id)]
+            out = [r for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in records(*row)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     # the sink writes a string's bytes as they are, and the line end is what WARC puts after a record

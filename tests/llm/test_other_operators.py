@@ -167,6 +167,22 @@ def test_archives_come_back_whole(spark, pages, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_repeated_rows_with_segments_come_back_each(spark, tmp_path):
+    big = ["".join(chr(0x4E00 + (i * k) % 500) for i in range(40_000)) for k in (3, 7, 11)]
+    rows = [(1, "u", big[0]), (1, "u", big[0]), (2, "u", big[0]), (2, "u", big[0]), (None, "u", big[1]), (None, "u", big[1]), (3, "u", big[2]), (4, "u", big[2]), (4, "v", big[2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for least in (0, 1 << 30):
+        folder = tmp_path / f"w{least}"
+        warc.write(pages, str(folder), least=least)
+        got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["refers_to"], r["problem"]) for r in warc.resolve(warc.read(spark, str(folder))).collect()), key=str)
+        to = {2: 1, 4: 3} if not least else {}
+        assert got == sorted(((i, len(t.encode()), warc.digest(t.encode()), to.get(i), None) for i, _, t in rows), key=str)
+        heads = [h for f in folder.glob("part*") for h, _ in warc.parse(warc.inflate(f.read_bytes()))]
+        names = {h["warc-record-id"] for h in heads}
+        assert len(names) == len(heads) and {h["warc-refers-to"] for h in heads if "warc-refers-to" in h} <= names
+        assert sum("warc-refers-to" in h for h in heads) == (0 if least else 2)
+
+
 def test_broken_archives_are_told(spark, tmp_path):
     parts = list(warc.records(1, "u", b"z" * 100_000, None))
     assert len(parts) == 4
