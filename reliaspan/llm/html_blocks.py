@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass classifies each block by its place,
 stop-word density, length and link density as content, boilerplate, short or near-content; the second
-gives the undecided ones the label of their nearest decided neighbours.
+gives the undecided ones the label of their nearest decided neighbours. Inside an article only a block
+that is mostly links is boilerplate, with what lies between two of these and is not long.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,9 @@ BOILERPLATE = frozenset("nav aside footer menu dialog".split())
 CONTENT = frozenset("article main".split())
 CONTAINERS = frozenset("html body div section article main nav aside header footer ul ol dl table tbody thead tr figure form head script style noscript template iframe object svg math canvas select button textarea menu dialog fieldset details a".split())
 BLOCKS = CONTAINERS - {"a"} | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre hr address caption figcaption summary title legend center optgroup option".split())
+#: Elements that no class voids, and blocks that the start of one of the others closes.
+WHOLE = frozenset("html body main article".split())
+ENDED_BY = {n: BLOCKS for n in "p h1 h2 h3 h4 h5 h6".split()} | {"li": frozenset(["li"])} | {n: frozenset(["dt", "dd"]) for n in ("dt", "dd")} | {n: frozenset("td th tr tbody thead".split()) for n in ("td", "th")}
 #: Fixed words of class and id attributes that name page parts other than the article.
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright dialog disqus footer login menu modal "
@@ -35,11 +40,11 @@ STOP = frozenset(
     "der die das und ist ein eine den dem des von zu mit im für auf nicht sich auch als an er sie es werden aus bei wird "
     "el los las del y es una con para su no por lo se al más como pero sus le ha o este sí porque esta entre cuando muy sin sobre".split()
 )
-#: Thresholds of the first pass: characters of a short and a long block, stop-word densities, link density.
-SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.30, 0.32, 0.2
+#: Thresholds of the first pass: characters of a short and a long block, stop-word densities, link density, the same inside an article.
+SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS, LINKS_IN = 70, 200, 0.30, 0.32, 0.2, 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,10 +58,11 @@ class Block:
 
 
 def _part(attributes: str) -> bool:
-    """Whether a class, id or role names a page part that is not the article."""
+    """Whether a class, id or role names a page part that is not the article: a whole one, of such words only."""
     if "=" not in attributes:
         return False
-    return any(w in PARTS for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+    names = (n for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split())
+    return any(words and all(w in PARTS for w in words) for words in (re.findall(r"[a-z]+", n) for n in names))
 
 
 def blocks(page: str) -> list[Block]:
@@ -106,11 +112,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             flush(here)
+            if not closing and stack and name in ENDED_BY.get(stack[-1][0], ()):
+                while stack and name in ENDED_BY.get(stack[-1][0], ()):
+                    stack.pop()
+                here = place()
             heading = not closing and name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if name == "a":
             in_link = not closing
         if closing:
-            if name in CONTAINERS and any(n == name for n, _ in stack):
+            if any(n == name for n, _ in stack):
                 while stack.pop()[0] != name:
                     pass
                 here = place()
@@ -119,12 +129,12 @@ def blocks(page: str) -> list[Block]:
             stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
-        if (name in CONTAINERS or name in BLOCKS and _part(attributes)) and name != "a" and not attributes.endswith("/"):
-            if name in CONTAINERS:
-                inside = here == "in"
-                made = "skip" if name in SKIPPED else "out" if name in BOILERPLATE or name == "header" and not inside or _part(attributes) else "in" if name in CONTENT else ""
-                stack.append((name, made))
-                here = place()
+        if name in BLOCKS and name != "hr" and not attributes.endswith("/"):
+            inside = here == "in"
+            part = name not in WHOLE and _part(attributes)
+            made = "skip" if name in SKIPPED else "out" if name in BOILERPLATE or name == "header" and not inside or part else "in" if name in CONTENT else ""
+            stack.append((name, made))
+            here = place()
     flush(here)
     return out
 
@@ -132,14 +142,16 @@ def blocks(page: str) -> list[Block]:
 def classify(found: list[Block]) -> None:
     """Labels every block `good` or `bad`."""
     for b in found:
-        if b.place:
-            b.label = "good" if b.place == "in" else "bad"
+        if b.place == "out":
+            b.label = "bad"
             continue
         words = _WORD.findall(b.text.lower())
         density = sum(w in STOP for w in words) / max(1, len(words))
         links = b.linked / max(1, len(b.text))
         n = len(b.text)
-        if links > LINKS or "©" in b.text:
+        if b.place == "in":
+            b.label = "bad" if links > LINKS_IN and not b.heading else "good" if n > LONG or n >= SHORT and density >= STOP_HIGH else "short"
+        elif links > LINKS or "©" in b.text:
             b.label = "bad"
         elif n < SHORT:
             b.label = "bad" if b.linked else "short"
@@ -149,6 +161,8 @@ def classify(found: list[Block]) -> None:
             b.label = "near"
         else:
             b.label = "bad"
+    for _, run in groupby(found, lambda b: b.place):
+        _settle_article([b for b in run if b.place == "in"])
     decided = [b.label if b.label in ("good", "bad") else None for b in found]
     before, last = [], None
     for label in decided:
@@ -171,6 +185,20 @@ def classify(found: list[Block]) -> None:
             b.label = "good" if b.label == "near" or b.heading and nxt == "good" else "bad"
 
 
+def _settle_article(run: list[Block]) -> None:
+    """The second pass inside an article: undecided blocks are bad only between two bad ones."""
+    before, last = [], None
+    for b in run:
+        before.append(last)
+        last = b.label if b.label != "short" else last
+    last = None
+    for b, prev in zip(reversed(run), reversed(before), strict=True):
+        if b.label != "short":
+            last = b.label
+        else:
+            b.label = "bad" if prev == last == "bad" and not b.heading else "good"
+
+
 def main_text(page: str | None) -> str:
     """The content blocks joined by two line feeds; empty for None, an empty page and a page without content."""
     found = blocks(page or "")

@@ -42,6 +42,17 @@ def test_blocks_without_an_article_are_classified_by_rules():
     assert "Home page" not in got and not any("Xyzzy" in g for g in got)
 
 
+def test_blocks_inside_an_article_are_classified_and_classes_match_whole():
+    para = "The cat is on the mat and it was there for all of the day, as it has been with us in the house."
+    links = "".join(f'<li><a href="/{i}">Another story {i}</a></li>' for i in range(3))
+    page = f"<article><h1>Head</h1><p>{para}</p><ul>{links}</ul><p>More:</p><ul>{links}</ul><h2><a href=#x>Part</a></h2><p>{para}</p><p>End.</p></article>"
+    assert html_blocks.main_text(page) == f"Head\n\n{para}\n\nPart\n\n{para}\n\nEnd."
+    for start in ('<body class="has-sidebar"><article>', '<body class="comments"><main>', '<article class="no-sidebar">', '<div class="comments-open" data-id="ad"><article id="ad">'):
+        assert html_blocks.main_text(f"<html>{start}<p>{para}</p>") == para
+    page = f'<article><p class="ad">Buy now<p>{para}</p><ul><li class="social share">Share it<ul><li>x</li></ul>this</li><li>item</ul><table><tr><td id="ad-banner">Ad<td>cell</table><div class="cookie-notice">c</div></article>'
+    assert html_blocks.main_text(page) == f"{para}\n\nitem\n\ncell"
+
+
 def test_odd_pages(spark):
     for page in (None, "", "<", "<p", "plain < text", "<article>", "</div></article>", "<!-- open", "<script>never closed", "&#0;&bogus;", "<p>" * 3000):
         assert isinstance(html_blocks.main_text(page), str)
