@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliaspan.llm import curriculum, decision_list, embedding_join, html_blocks, language_id, piece_bpe, quality_kernel, secret_scan, simhash, warc
+from reliaspan.llm import curriculum, decision_list, embedding_join, filter_audit, html_blocks, language_id, lexical_scan, piece_bpe, quality_kernel, secret_scan, simhash, toxicity, warc
 from reliaspan.llm.common import crc_bucket, table
 from reliaspan.session import ensure_checkpoint_dir
 
@@ -69,7 +69,21 @@ def op10_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_pigeonring, op3_html_blocks, op4_piece_bpe, op5_curriculum_mix, op6_quality_kernel, op7_secret_grammar, op8_warc_segments, op9_decision_list, op10_epsilon_grid)}
+def op11_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_scan.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.filter(crc_bucket("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, [F.col("doc_id"), F.coalesce(crc_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out")])
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_pigeonring, op3_html_blocks, op4_piece_bpe, op5_curriculum_mix, op6_quality_kernel, op7_secret_grammar, op8_warc_segments, op9_decision_list, op10_epsilon_grid, op11_filter_orders, op12_lexical_scan, op13_toxicity_trees)}
 
 ORACLES = {
     "op5_curriculum_mix": r"""
@@ -116,4 +130,55 @@ ORACLES = {
                e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept
         FROM embeddings e LEFT JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
     """,
+    "op11_filter_orders": r"""
+        WITH RECURSIVE f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+        m AS (
+            SELECT doc_id, part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+                   + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+                   + 16 * coalesce(doc_id > first_id, false)::INT AS mask FROM w
+        ),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        c AS (
+            SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+            FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask
+        ),
+        o(filter_order, applied) AS (
+            SELECT '', 0 UNION ALL SELECT filter_order || letter, applied | bit FROM o JOIN f ON applied & bit = 0
+        ),
+        s AS (SELECT filter_order, step FROM (SELECT filter_order FROM o WHERE applied = 31), range(1, 6) AS r(step)),
+        p AS (
+            SELECT filter_order, step::INT AS step, bit, (SELECT coalesce(sum(g.bit), 0) FROM f g WHERE contains(substr(filter_order, 1, step - 1), g.letter))::INT AS earlier
+            FROM s JOIN f ON letter = substr(filter_order, step, 1)
+        ),
+        r AS (
+            SELECT part, filter_order, step, bit,
+                   sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                   sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN mask & bit <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM c CROSS JOIN p GROUP BY part, filter_order, step, bit
+        )
+        SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+    """,
+    "op12_lexical_scan": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ),
+        t AS (SELECT row_id, unnest(terms) AS term FROM d),
+        i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        f AS (SELECT row_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY row_id, term),
+        g AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, g GROUP BY term, n_docs),
+        m AS (SELECT row_id, doc_id, 10 + (90 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM d, g WHERE len(terms) > 0),
+        s AS (
+            SELECT i.item_id, m.row_id, m.doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m)))::BIGINT AS score
+            FROM i JOIN f USING (term) JOIN w USING (term) JOIN m USING (row_id) GROUP BY i.item_id, m.row_id, m.doc_id
+        ),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+    """,
 }
