@@ -132,13 +132,13 @@ def test_repeated_halves_are_reliable(frames_of, rng):
     assert 0.5 < r <= 0.999
 
 
-@pytest.mark.parametrize("n", [5, 9])  # fewer and more subjects than edges: both systems
-def test_held_out_ridge_matches_refitting(spark, rng, n):
+@pytest.mark.parametrize(("n", "block"), [(5, 256), (9, 256), (9, 5), (5, 3)])  # fewer and more subjects than edges, one block and several
+def test_held_out_ridge_matches_refitting(spark, rng, n, block):
     x, y, alpha = rng.normal(size=(n, 6)), rng.normal(size=(n, 6)), 0.7
     ij = [(i, j) for i in range(4) for j in range(i + 1, 4)]
     rows = [(s, i, j, float(x[s, e]), float(y[s, e])) for s in range(n) for e, (i, j) in enumerate(ij)]
     pairs = spark.createDataFrame(rows, "subject_id long, i int, j int, short double, long double")
-    got = {(r["subject_id"], r["i"], r["j"]): r["predicted"] for r in held_out_ridge(pairs, alpha).collect()}
+    got = {(r["subject_id"], r["i"], r["j"]): r["predicted"] for r in held_out_ridge(pairs, alpha, block=block).collect()}
     for s in range(n):
         keep = np.arange(n) != s
         mx, my = x[keep].mean(0), y[keep].mean(0)
