@@ -13,6 +13,7 @@ seen in one text only does not look like evidence.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,7 +48,10 @@ FEATURES = (
     "near_second_person", "second_person", "capitals", "capital_words", "exclamations", "questions", "punctuation", "symbols", "obfuscated", "obfuscated_lexicon", "repeated_letters",
 )
 #: Characters of a token that are looked at, and tokens remembered in a worker.
-TOKEN, REMEMBERED = 64, 200_000
+TOKEN, REMEMBERED = 64, 400_000
+
+
+_STRETCHED = re.compile(r"(.)\1\1")
 
 
 def plain(token: str) -> tuple[str, bool]:
@@ -65,7 +69,7 @@ def plain(token: str) -> tuple[str, bool]:
             letters = sum(c.isalpha() for c in head)
             return spelled, 5 * letters >= 2 * len(head) and 2 <= letters <= 20 and "'" not in head and "-" not in head
         word = inner
-    if any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False)):
+    if _STRETCHED.search(word):
         return "".join(c for k, c in enumerate(word) if k < 2 or not c == word[k - 1] == word[k - 2]), True
     return word, False
 
@@ -75,27 +79,36 @@ def entries(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
+_MISS = object()
+
+
 class Lexicon:
-    """Strengths of words, by the strongest entry of each; remembers the tokens of a worker."""
+    """Strengths of words, by the strongest entry of each; remembers tokens in a worker.
+
+    A token without any part in a count (no lexicon word, plain spelling, not in capitals, no second
+    person) is remembered as None. Once REMEMBERED tokens are held, new ones are worked out each time.
+    """
 
     def __init__(self, strength: dict[str, float]):
         self.strength = strength
-        self._seen: dict[str, tuple[str, float, bool]] = {}
+        self._beginnings = frozenset(e[:3] for e in strength)
+        self._seen: dict[str, tuple | None] = {}
 
     def __getstate__(self) -> dict:
-        return {"strength": self.strength, "_seen": {}}
+        return {**self.__dict__, "_seen": {}}
 
-    def look(self, token: str) -> tuple[str, float, bool]:
-        """(word, strength, obfuscated) of a token."""
-        found = self._seen.get(token)
-        if found is None:
-            word, odd = plain(token)
+    def _learn(self, token: str) -> tuple | None:
+        """(word, strength, obfuscated, in capitals, second person, stretched), None if nothing holds."""
+        word, odd = plain(token)
+        s = 0.0
+        if len(word) > 2 and word[:3] in self._beginnings:
             get = self.strength.get
-            found = (word, max([get(e, 0.0) for e in entries(word)]) if len(word) > 2 else 0.0, odd)
-            if len(self._seen) >= REMEMBERED:
-                self._seen.clear()
-            if len(token) <= TOKEN:
-                self._seen[token] = found
+            s = max([get(e, 0.0) for e in entries(word)])
+        found = (word, s, odd, len(token) > 2 and token.isupper(), word in SECOND_PERSON, odd and token.isalpha())
+        if not any(found[1:]):
+            found = None
+        if len(self._seen) < REMEMBERED and len(token) <= TOKEN:
+            self._seen[token] = found
         return found
 
     def features(self, text: str | None) -> list[float]:
@@ -104,16 +117,23 @@ class Lexicon:
         n = len(tokens)
         if not n:
             return [0.0] * len(FEATURES)
-        counts = Counter(tokens)
         hits = strong = odd = odd_hits = capital = you = stretched = 0
         total = 0.0
         kinds: dict[str, float] = {}
-        for token, k in counts.items():
-            word, s, o = self.look(token)
+        get = self._seen.get
+        known: dict[str, tuple] = {}
+        for token, k in Counter(tokens).items():
+            found = get(token, _MISS)
+            if found is _MISS:
+                found = self._learn(token)
+            if found is None:
+                continue
+            known[token] = found
+            word, s, o, c, y, x = found
             odd += k * o
-            capital += k * (len(token) > 2 and token.isupper())
-            you += k * (word in SECOND_PERSON)
-            stretched += k * (o and token.isalpha())
+            capital += k * c
+            you += k * y
+            stretched += k * x
             if s > 0:
                 hits += k
                 total += k * s
@@ -125,11 +145,13 @@ class Lexicon:
         if strong and you:
             last, waiting = -NEAR - 1, []
             for at, token in enumerate(tokens):
-                word, s, _ = self.look(token)
-                if word in SECOND_PERSON:
+                found = known.get(token)
+                if found is None:
+                    continue
+                if found[4]:
                     near += sum(at - w <= NEAR for w in waiting)
                     last, waiting = at, []
-                elif s >= STRONG:
+                elif found[1] >= STRONG:
                     if at - last <= NEAR:
                         near += 1
                     else:
