@@ -10,6 +10,7 @@ from reliaspan.operators.cluster import (
     agreement, best_flip_accuracy, kmeans_labels, mixture_labels, nearest_neighbours, silhouette, spectral_neighbour_labels,
 )
 from reliaspan.operators.evaluate import class_weights, cross_validate, fold_covariates, gated_coverage, reduce_dimensions, reliability_weight, score_metrics, standardise, to_vectors
+from reliaspan.operators.grid import assign, clustering_p, members, run_grid, splits
 from reliaspan.operators.sampling import stratified_folds
 from reliaspan.operators.stats import cohens_d
 from reliaspan.sources.panels import embedding_edges, read_table
@@ -178,3 +179,86 @@ def nearest_neighbours_query(spark, sf_dir):
 def feature_effect_sizes(spark, sf_dir):
     rows = embedding_edges(spark, sf_dir).withColumn("g", F.col("label") % 2)
     return cohens_d(rows, "g", 1, 0, "value", ["pos"]).select("pos", r6("d"))
+
+
+#: Repeats, permutations and gate of the classification grid.
+REPEATS, NULLS, GATE = 2, 1000, 0.25
+
+
+def _members(spark, sf_dir):
+    return members(subjects(spark, sf_dir).drop("vec", "score"), {"all": F.lit(True), "positive": F.col("rho") > 0})
+
+
+def _kinds(spark, sf_dir):
+    e = F.col("vec")
+    kinds = F.array(F.struct(F.lit("plain").alias("kind"), e.alias("vec")), F.struct(F.lit("squares").alias("kind"), F.transform(e, lambda v: v * v).alias("vec")))
+    return subjects(spark, sf_dir).select("subject_id", F.explode(kinds).alias("e")).select("subject_id", "e.kind", "e.vec")
+
+
+@query("classification_grid")
+def classification_grid(spark, sf_dir):
+    """Two strata, two feature kinds, two models, repeated five-fold splits, with permutation p values of the discriminant."""
+    cells, _ = run_grid(_members(spark, sf_dir), _kinds(spark, sf_dir), REPEATS, 42, n_perm=NULLS)
+    values = [r6(c) for c in ("coverage", "feature_dim", "rho_mean", "balanced_acc", "roc_auc", "auprc", "balanced_acc_p", "roc_auc_p", "auprc_p")]
+    return cells.select("stratum", "repeat", "kind", "model", "n_subjects", "n_cases", "n_sites", "splits", "splits_skipped", "splits_used", "n_eval", *values)
+
+
+@query("classification_grid_sites")
+def classification_grid_sites(spark, sf_dir):
+    """The grid over left-out sites with balanced classes, covariates, reliability weights and a hard gate."""
+    cells, _ = run_grid(_members(spark, sf_dir), _kinds(spark, sf_dir), 1, 42, "loso", balance=True, gate=GATE, gamma=1.0, covariates=True, min_train=20, min_test=5)
+    values = [r6(c) for c in ("coverage", "feature_dim", "rho_mean", "balanced_acc", "roc_auc", "auprc")]
+    return cells.select("stratum", "repeat", "kind", "model", "n_subjects", "n_cases", "n_sites", "splits", "splits_skipped", "splits_used", "n_eval", *values)
+
+
+@query(
+    "classification_splits",
+    "WITH " + FOLDS_SQL.split("FO AS")[0]
+    + f"""M AS (SELECT 'all' AS stratum, * FROM B UNION ALL SELECT 'positive', * FROM B WHERE rho > 0),
+      R AS (SELECT M.*, CAST(r.r AS INTEGER) AS repeat FROM M CROSS JOIN range({REPEATS}) r(r)),
+      O AS (SELECT *, CAST((row_number() OVER (PARTITION BY stratum, repeat, label ORDER BY {hash_sql('subject_id', '42', 'repeat', "'fold'")}, subject_id) - 1) % 5 AS INTEGER) AS own FROM R),
+      T AS (SELECT O.*, CAST(f.f AS INTEGER) AS fold, own <> f.f AS is_train FROM O CROSS JOIN range(5) f(f)),
+      C AS (SELECT stratum, repeat, fold, quantile_cont(rho, {GATE}) AS cut FROM T WHERE is_train GROUP BY ALL)
+      SELECT stratum, repeat, CAST(fold AS VARCHAR) AS fold, count(*) FILTER (WHERE NOT is_train) AS n_test_all,
+      count(*) FILTER (WHERE is_train AND label = 0 AND rho >= cut) AS train0, count(*) FILTER (WHERE is_train AND label = 1 AND rho >= cut) AS train1,
+      count(*) FILTER (WHERE NOT is_train AND label = 0 AND rho >= cut) AS test0, count(*) FILTER (WHERE NOT is_train AND label = 1 AND rho >= cut) AS test1,
+      CASE WHEN least(train0, train1) < 1 THEN 'one class in training' WHEN least(train0, train1) < 85 THEN 'few training rows of a class' WHEN least(test0, test1) < 20 THEN 'few test rows of a class' END AS skipped
+      FROM T JOIN C USING (stratum, repeat, fold) GROUP BY stratum, repeat, fold""",
+)
+def classification_splits(spark, sf_dir):
+    """The gated splits of the grid with their class counts and why some are skipped."""
+    _, report = splits(assign(_members(spark, sf_dir), REPEATS, 42), GATE, 85, 20)
+    return report.select("stratum", "repeat", "fold", "n_test_all", "train0", "train1", "test0", "test1", "skipped")
+
+
+def _clustering_sql(within):
+    part = "perm" + (", site" if within else "")
+    pairs = lambda n: f"sum({n} * ({n} - 1) / 2)"
+    return "WITH " + FOLDS_SQL.split("FO AS")[0] + f"""G AS (SELECT subject_id, label, site, CASE WHEN score > 0 THEN 1 ELSE 0 END AS cluster FROM B),
+      R AS (SELECT G.*, CAST(p.p AS INTEGER) AS perm FROM G CROSS JOIN range(0, {NULLS + 1}) p(p)),
+      A AS (SELECT perm, site, cluster, row_number() OVER (PARTITION BY {part} ORDER BY {hash_sql('subject_id', '7', "'anchor'")}, subject_id) AS rn FROM R WHERE perm > 0),
+      Z AS (SELECT perm, site, label, row_number() OVER (PARTITION BY {part} ORDER BY {hash_sql('subject_id', '7', 'perm', "'perm'")}, subject_id) AS rn FROM R WHERE perm > 0),
+      U AS (SELECT A.perm, label, cluster FROM A JOIN Z ON A.perm = Z.perm AND A.rn = Z.rn {'AND A.site = Z.site' if within else ''} UNION ALL SELECT perm, label, cluster FROM R WHERE perm = 0),
+      N AS (SELECT perm, label, cluster, CAST(count(*) AS DOUBLE) AS n FROM U GROUP BY ALL),
+      W AS (SELECT perm, label, sum(n) AS n FROM N GROUP BY ALL), V AS (SELECT perm, cluster, sum(n) AS n FROM N GROUP BY ALL),
+      C2 AS (SELECT perm, {pairs('n')} AS c2, sum(n) AS n, sum(n * ln(n)) AS cl FROM N GROUP BY 1), A2 AS (SELECT perm, {pairs('n')} AS a2, sum(n * ln(n)) AS al FROM W GROUP BY 1), B2 AS (SELECT perm, {pairs('n')} AS b2, sum(n * ln(n)) AS bl FROM V GROUP BY 1),
+      H AS (SELECT perm, avg(coalesce(k.n, 0) / W.n) AS acc FROM W LEFT JOIN (SELECT perm, label, n FROM N WHERE label = cluster) k USING (perm, label) GROUP BY 1),
+      E AS (SELECT perm, (c2 - a2 * b2 / (n * (n - 1) / 2)) / ((a2 + b2) / 2 - a2 * b2 / (n * (n - 1) / 2)) AS ari,
+        greatest(cl / n - al / n - bl / n + ln(n), 0) / ((2 * ln(n) - al / n - bl / n) / 2) AS nmi, greatest(acc, 1 - acc) AS balanced_acc FROM C2 JOIN A2 USING (perm) JOIN B2 USING (perm) JOIN H USING (perm)),
+      L AS (UNPIVOT E ON ari, nmi, balanced_acc INTO NAME metric VALUE v)
+      SELECT o.metric, {q6('o.v', 'observed')}, {q6(f'(1 + (SELECT count(*) FROM L WHERE L.metric = o.metric AND perm > 0 AND round(L.v, 9) >= round(o.v, 9))) / {NULLS + 1}.0', 'p')} FROM L o WHERE perm = 0"""
+
+
+def _clustering_p(spark, sf_dir, within):
+    rows = subjects(spark, sf_dir).select("subject_id", "label", "site", F.when(F.col("score") > 0, 1).otherwise(0).alias("cluster"))
+    return clustering_p(rows, NULLS, 7, ["site"] if within else []).select("metric", r6("observed"), r6("p"))
+
+
+@query("clustering_permutation_p", _clustering_sql(False))
+def clustering_permutation_p(spark, sf_dir):
+    return _clustering_p(spark, sf_dir, False)
+
+
+@query("clustering_permutation_p_within_site", _clustering_sql(True))
+def clustering_permutation_p_within_site(spark, sf_dir):
+    return _clustering_p(spark, sf_dir, True)
