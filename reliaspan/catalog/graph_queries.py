@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reliaspan.catalog.connectivity_queries import TRIPLET, TRIPLET_ROWS, triplet
 from reliaspan.catalog.fixtures import segment_pairs
 from reliaspan.catalog.registry import q6, query, r6
-from reliaspan.catalog.sqlparts import corr_expr, pearson, with_panel
+from reliaspan.catalog.sqlparts import corr_expr, hash_sql, pearson, with_panel
 from reliaspan.operators.cluster import agreement, spectral_channel_labels
 from reliaspan.operators.connectivity import fc_edges, moment_corr
 from reliaspan.operators.edges import pack_symmetric
@@ -121,7 +121,38 @@ def largest_component_paths(spark, sf_dir):
     return big.groupBy("subject_id").agg(F.max("size").alias("size")).join(paths, "subject_id").select("subject_id", "size", r6("path_length"))
 
 
-@query("small_world")
+SMALL_WORLD = with_panel(*FULL, REACH, f"""
+MAIN AS (SELECT c.subject_id, c.node, b.size FROM COMP c JOIN BIG b ON b.subject_id = c.subject_id AND b.component = c.component),
+MN AS (SELECT subject_id, node FROM MAIN WHERE size >= 3),
+MP AS (SELECT MK.subject_id, MK.i, MK.j, MK.kept FROM MK JOIN MN a ON a.subject_id = MK.subject_id AND a.node = MK.i JOIN MN b ON b.subject_id = MK.subject_id AND b.node = MK.j),
+DE AS (SELECT n.subject_id, 2.0 * e.c / (n.c * (n.c - 1)) AS d FROM (SELECT subject_id, count(*) AS c FROM MN GROUP BY 1) n JOIN (SELECT subject_id, count(*) AS c FROM MP WHERE kept GROUP BY 1) e ON e.subject_id = n.subject_id),
+RE AS (SELECT MP.subject_id, i, j FROM MP JOIN DE ON DE.subject_id = MP.subject_id WHERE {hash_sql('MP.subject_id', '42', 'i', 'j')} / 4294967296.0 < d),
+RA AS (SELECT subject_id, i AS s, j AS d FROM RE UNION ALL SELECT subject_id, j, i FROM RE),
+RR AS (SELECT subject_id, node AS root, node, 0 AS hops FROM MN UNION SELECT r.subject_id, r.root, a.d, r.hops + 1 FROM RR r JOIN RA a ON a.subject_id = r.subject_id AND a.s = r.node WHERE r.hops < 11),
+RD AS (SELECT subject_id, root, node, min(hops) AS hops FROM RR GROUP BY 1, 2, 3),
+RC AS (SELECT subject_id, root AS node, min(node) AS component FROM RD GROUP BY 1, 2),
+RS AS (SELECT subject_id, component, count(*) AS size FROM RC GROUP BY 1, 2),
+RB AS (SELECT subject_id, arg_max(component, size * 1000 - component) AS component FROM RS GROUP BY 1),
+RN AS (SELECT RC.subject_id, RC.node FROM RC JOIN RB ON RB.subject_id = RC.subject_id AND RB.component = RC.component),
+GN AS (SELECT 'real' AS graph, subject_id, node FROM MN UNION ALL SELECT 'random', subject_id, node FROM RN),
+GA AS (SELECT 'real' AS graph, subject_id, i AS s, j AS d FROM MP WHERE kept UNION ALL SELECT 'real', subject_id, j, i FROM MP WHERE kept UNION ALL
+  SELECT 'random', RA.subject_id, RA.s, RA.d FROM RA JOIN RN ON RN.subject_id = RA.subject_id AND RN.node = RA.s),
+GK AS (SELECT graph, subject_id, s AS node, count(*) AS k FROM GA GROUP BY ALL),
+GT AS (SELECT a.graph, a.subject_id, a.s AS node, count(*) AS t FROM GA a JOIN GA b ON a.graph = b.graph AND a.subject_id = b.subject_id AND a.d = b.s
+  JOIN GA c ON c.graph = b.graph AND c.subject_id = b.subject_id AND c.s = b.d AND c.d = a.s GROUP BY ALL),
+GC AS (SELECT n.graph, n.subject_id, avg(coalesce(t, 0) / greatest(coalesce(k, 0) * (coalesce(k, 0) - 1), 1)) AS c FROM GN n LEFT JOIN GK ON GK.graph = n.graph AND GK.subject_id = n.subject_id AND GK.node = n.node
+  LEFT JOIN GT ON GT.graph = n.graph AND GT.subject_id = n.subject_id AND GT.node = n.node GROUP BY ALL),
+GD AS (SELECT 'real' AS graph, subject_id, root, node, hops FROM DIST UNION ALL SELECT 'random', subject_id, root, node, hops FROM RD),
+GL AS (SELECT n.graph, n.subject_id, coalesce(avg(hops) FILTER (WHERE d.root <> d.node), 0) AS l FROM GN n JOIN GD d ON d.graph = n.graph AND d.subject_id = n.subject_id AND d.root = n.node GROUP BY ALL),
+GM AS (SELECT subject_id, max(c) FILTER (WHERE graph = 'real') AS c, max(l) FILTER (WHERE graph = 'real') AS l, max(c) FILTER (WHERE graph = 'random') AS c0, max(l) FILTER (WHERE graph = 'random') AS l0 FROM GC JOIN GL USING (graph, subject_id) GROUP BY 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "small_world",
+    SMALL_WORLD
+    + f"""SELECT b.subject_id, CAST(b.size AS INTEGER) AS n_nodes, {q6('c', 'clustering')}, {q6('l', 'path_length')},
+      {q6('CASE WHEN c0 > 0 THEN c / c0 ELSE 1 END / nullif(CASE WHEN l0 > 0 THEN l / l0 ELSE 1 END, 0)', 'sigma')} FROM BIG b LEFT JOIN GM ON GM.subject_id = b.subject_id""",
+)
 def small_world(spark, sf_dir):
     out = small_worldness(marked(spark, sf_dir))
     return out.select("subject_id", "n_nodes", r6("clustering"), r6("path_length"), r6("sigma"))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from reliaspan.functions.hashing import HASH_RANGE, seeded_hash
 from reliaspan.functions.reliability import as_col
 from reliaspan.operators.connectivity import KEYS
-from reliaspan.operators.kernels import labels_kernel, louvain_labels, scalar_kernel, small_world_kernel
+from reliaspan.operators.kernels import scalar_kernel
 from reliaspan.operators.ranking import number_rows
 from reliaspan.session import ensure_checkpoint_dir, spread
 
@@ -169,21 +169,38 @@ def mean_clustering(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = KE
 
 
 def small_worldness(marked: DataFrame, seed: int = 42, keys: Sequence[str] = KEYS) -> DataFrame:
-    """sigma = (C/C_rand)/(L/L_rand) on the largest component; NULL below three nodes.
+    """(keys, n_nodes, clustering, path_length, sigma): (C/C_rand)/(L/L_rand) on the largest component.
 
-    Each subject's network is one small packed matrix. A second packed matrix holds a seeded uniform
-    number per pair; pairs below the component's density form the one random reference graph.
+    One reference graph per network: a pair of its nodes is an edge if the pair's seeded uniform number
+    is below the component's density; of that graph, too, the largest component counts. A reference without
+    triangles or paths counts as equal. NULL below three nodes. Paths of both graphs of all networks
+    are found by one frontier search.
     """
-    keys = list(keys)
+    keys, graph = list(keys), [*keys, "graph"]
+    marked = _cut(marked.select(*keys, "i", "j", "kept"))
+    nodes = edge_nodes(marked, keys)
+    kept = marked.filter("kept").select(*keys, "i", "j")
+    main = _cut(largest_component(connected_components(to_adjacency(kept, keys), nodes, keys), keys))
+    enough = main.filter("size >= 3").select(*keys, "node")
+    inside = kept.join(enough.withColumnRenamed("node", "i"), [*keys, "i"], "left_semi")
+    n = F.col("_n")
+    density = enough.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("_e")), keys)
+    density = density.select(*keys, (2 * F.col("_e") / (n * (n - 1))).alias("_d"))
     u = seeded_hash(*[F.col(k) for k in keys], seed, F.col("i"), F.col("j")) / HASH_RANGE
-    cells = F.array_sort(F.collect_list(F.struct("i", "j", F.col("kept").cast("double").alias("a"), u.alias("u"))))
-    packed = marked.groupBy(*keys).agg(cells.alias("e")).select(
-        *keys, F.transform("e", lambda c: c["a"]).alias("edges"), F.transform("e", lambda c: c["u"]).alias("draws")
-    )
-    out = ("n_nodes", "clustering", "path_length", "sigma")
-    schema = T.StructType([packed.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in out])
-    real = [F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in out[1:]]
-    return spread(packed, *keys).mapInArrow(small_world_kernel(keys), schema).select(*keys, F.col("n_nodes").cast("int").alias("n_nodes"), *real)
+    pairs = marked.select(*keys, "i", "j").join(enough.withColumnRenamed("node", "i"), [*keys, "i"], "left_semi").join(enough.withColumnRenamed("node", "j"), [*keys, "j"], "left_semi")
+    drawn = _cut(pairs.join(density, keys).filter(u < F.col("_d")).select(*keys, "i", "j"))
+    part = largest_component(connected_components(to_adjacency(drawn, keys), enough, keys), keys).select(*keys, "node")
+    tag = lambda df, name: df.withColumn("graph", F.lit(name))
+    both_nodes = _cut(tag(enough, "real").unionByName(tag(part, "random")))
+    both = _cut(tag(inside, "real").unionByName(tag(drawn, "random").join(both_nodes.withColumnRenamed("node", "i"), [*graph, "i"], "left_semi")))
+    cluster = mean_clustering(both, both_nodes, graph)
+    measured = cluster.join(mean_path_length(to_adjacency(both, graph), both_nodes, graph), graph, "left").select(*graph, "clustering", F.coalesce("path_length", F.lit(0.0)).alias("path_length"))
+    side = lambda g, c: F.max(F.when(F.col("graph") == g, F.col(c)))
+    wide = measured.groupBy(*keys).agg(side("real", "clustering").alias("clustering"), side("real", "path_length").alias("path_length"), side("random", "clustering").alias("_c"), side("random", "path_length").alias("_l"))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(1.0)
+    wide = wide.withColumn("sigma", F.try_divide(ratio("clustering", "_c"), ratio("path_length", "_l"))).drop("_c", "_l")
+    sizes = main.groupBy(*keys).agg(F.max("size").cast("int").alias("n_nodes"))
+    return sizes.join(wide, keys, "left").select(*keys, "n_nodes", "clustering", "path_length", "sigma")
 
 
 def modularity(kept: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -202,22 +219,74 @@ def modularity(kept: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS) -
 
 
 def communities(marked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, node, community) by Louvain on each subject's network, given with a ``kept`` flag.
+    """(keys, node, community) by Louvain on the kept edges of each network; communities are numbered from 0 by their smallest node.
 
-    A network has as many nodes as the recording has channels, so each is one small packed matrix;
-    Spark spreads the subjects. Nodes are visited in id order and the smallest community id wins a
-    tie, so the result is reproducible.
+    All networks move together. A step takes, for each node, the community of greatest gain (the smallest
+    id among equals), and of these moves those that are the best, then the smallest node, among all that touch
+    their source or their target. Such moves share no community, so their gains add up exactly and modularity only
+    rises; when none is left, communities become the nodes of the next level. Every step is written to the
+    checkpoint folder. Edges count equally, nodes without edges stay alone.
     """
-    from reliaspan.operators.edges import pack_symmetric
-
     keys = list(keys)
-    nodes = edge_nodes(marked, keys)
-    cells = marked.select(*keys, "i", "j", F.col("kept").cast("double").alias("v")).unionByName(
-        nodes.select(*keys, F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("v"))
-    )
-    packed = pack_symmetric(cells, keys, "v")
-    fields = [packed.schema[k] for k in keys] + [T.StructField("node", T.IntegerType()), T.StructField("community", T.IntegerType())]
-    return spread(packed, *keys).mapInArrow(labels_kernel(keys, louvain_labels), T.StructType(fields))
+    base = _cut(to_adjacency(marked.filter("kept"), keys).withColumn("w", F.lit(1.0)))
+    member = _cut(edge_nodes(marked, keys).select(*keys, "node", F.col("node").alias("community")))
+    while (placed := _local_moves(base, keys, member)) is not None:
+        member, graph = _renamed(member, placed, keys, "node"), _merged(base, placed, keys)
+        while (placed := _local_moves(graph, keys)) is not None:
+            member, graph = _renamed(member, placed, keys, "community"), _merged(graph, placed, keys)
+    first = member.groupBy(*keys, "community").agg(F.min("node").alias("_first"))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first")) - 1  # no more rows than communities of a network
+    first = first.withColumn("_number", number.cast("int"))
+    return member.join(first, [*keys, "community"]).select(*keys, "node", F.col("_number").alias("community"))
+
+
+def _renamed(member: DataFrame, placed: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """member with the communities that `placed` gives to its column `by`; others stay."""
+    new = placed.select(*keys, F.col("node").alias(by), F.col("community").alias("_c"))
+    return _cut(member.join(new, [*keys, by], "left").select(*keys, "node", F.coalesce("_c", "community").alias("community")))
+
+
+def _merged(graph: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    """The graph whose nodes are the communities of another."""
+    label = lambda side: placed.select(*keys, F.col("node").alias(side), F.col("community").alias(f"c_{side}"))
+    ends = graph.join(label("src"), [*keys, "src"]).join(label("dst"), [*keys, "dst"])
+    return _cut(ends.groupBy(*keys, F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
+
+
+def _local_moves(graph: DataFrame, keys: list[str], member: DataFrame | None = None) -> DataFrame | None:
+    """(keys, node, community) after moving single nodes while modularity rises; None if no node moves.
+
+    `graph` is (keys, src, dst, w) in both directions, loops count in a node's strength. The moves begin
+    with the communities of `member`, or with each node alone.
+    """
+    strength = _cut(graph.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+    total = strength.groupBy(*keys).agg(F.sum("k").alias("m2"))
+    placed = strength.join(total, keys)
+    placed = placed.withColumn("community", F.col("node")) if member is None else placed.join(member, [*keys, "node"])
+    placed = _cut(placed.select(*keys, "node", "k", "m2", "community"))
+    steps = graph.filter("src <> dst")
+    moved = False
+    while True:
+        load = placed.groupBy(*keys, "community").agg(F.sum("k").alias("load"))
+        near = steps.join(placed.select(*keys, F.col("node").alias("dst"), "community"), [*keys, "dst"]).select(*keys, F.col("src").alias("node"), "community", "w")
+        near = near.unionByName(placed.select(*keys, "node", "community", F.lit(0.0).alias("w")))
+        links = near.groupBy(*keys, "node", "community").agg(F.sum("w").alias("links")).join(load, [*keys, "community"])
+        own = placed.select(*keys, "node", "k", "m2", F.col("community").alias("own"))
+        at_home = F.col("community") == F.col("own")
+        gain = F.col("links") - F.col("k") * (F.col("load") - F.when(at_home, F.col("k")).otherwise(0.0)) / F.col("m2")
+        options = links.join(own, [*keys, "node"]).withColumn("gain", F.round(gain, 9))
+        best = options.groupBy(*keys, "node").agg(
+            F.max(F.struct("gain", (-F.col("community")).alias("_c"))).alias("b"), F.max(F.when(at_home, F.col("gain"))).alias("now"), F.max("own").alias("own")
+        )
+        wish = best.filter(F.col("b.gain") > F.col("now")).select(*keys, "node", F.col("own").alias("from"), (-F.col("b._c")).alias("to"), F.struct((F.col("b.gain") - F.col("now")).alias("rise"), (-F.col("node")).alias("_n")).alias("rank"))
+        touched = wish.select(*keys, F.explode(F.array("from", "to")).alias("c"), "rank").groupBy(*keys, "c").agg(F.max("rank").alias("top"))
+        side = lambda c: touched.select(*keys, F.col("c").alias(c), F.col("top").alias(f"top_{c}"))
+        chosen = wish.join(side("from"), [*keys, "from"]).join(side("to"), [*keys, "to"]).filter((F.col("rank") == F.col("top_from")) & (F.col("rank") == F.col("top_to")))
+        stepped = placed.join(chosen.select(*keys, "node", "to"), [*keys, "node"], "left")
+        stepped = _cut(stepped.select(*keys, "node", "k", "m2", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")))
+        if stepped.filter("moved").isEmpty():
+            return placed if moved else None
+        placed, moved = stepped.drop("moved"), True
 
 
 def best_jaccard(reference: DataFrame, predicted: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -274,93 +274,3 @@ def spectral_labels(corr: np.ndarray, k: int) -> np.ndarray:
             break
         centres = new
     return labels
-
-
-def louvain_labels(adj: np.ndarray) -> np.ndarray:
-    """Louvain communities of one small undirected graph, in id order with smallest-id ties."""
-    labels = np.arange(len(adj))
-    graph = adj.astype(float)
-    total = graph.sum()
-    while total > 0:
-        strength = graph.sum(axis=1)
-        own = np.arange(len(graph))
-        moved, improved = True, False
-        while moved:
-            moved = False
-            for v in range(len(graph)):
-                links = np.bincount(own, weights=graph[v] * (np.arange(len(graph)) != v), minlength=len(graph))
-                load = np.bincount(own, weights=strength, minlength=len(graph))
-                load[own[v]] -= strength[v]
-                gain = np.round(links - strength[v] * load / total, 9)
-                gain[(links == 0) & (np.arange(len(graph)) != own[v])] = -np.inf
-                best = int(np.argmax(gain))
-                if gain[best] > gain[own[v]]:
-                    own[v], moved, improved = best, True, True
-        if not improved:
-            break
-        _, own = np.unique(own, return_inverse=True)
-        labels = own[labels]
-        member = np.eye(own.max() + 1)[own]
-        graph = member.T @ graph @ member
-    return np.unique(labels, return_inverse=True)[1]
-
-
-def _hops(adj: np.ndarray) -> np.ndarray:
-    """All shortest-path lengths of a small unweighted graph (inf where unreachable)."""
-    dist = np.where(np.eye(len(adj), dtype=bool), 0.0, np.inf)
-    reach = np.eye(len(adj), dtype=bool)
-    for step in range(1, len(adj)):
-        grown = reach | (reach.astype(float) @ adj > 0)
-        if (grown == reach).all():
-            break
-        dist[grown & ~reach] = step
-        reach = grown
-    return dist
-
-
-def _main_component(adj: np.ndarray) -> np.ndarray:
-    reach = np.isfinite(_hops(adj))
-    return np.flatnonzero(reach[np.argmax(reach.sum(axis=1))])
-
-
-def _cluster_and_length(adj: np.ndarray) -> tuple[float, float]:
-    deg = adj.sum(axis=1)
-    closed = np.diag(adj @ adj @ adj)
-    pairs = deg * (deg - 1)
-    c = float(np.where(pairs > 0, closed / np.maximum(pairs, 1), 0.0).mean())
-    off = ~np.eye(len(adj), dtype=bool)
-    return c, float(_hops(adj)[off].mean()) if len(adj) > 1 else 0.0
-
-
-def small_world_kernel(keys: list[str]):
-    """Clustering, path length and small-world index of the main component of each packed network."""
-
-    def measure(edges, draws):
-        p = int(round((1 + np.sqrt(1 + 8 * len(edges))) / 2))
-        adj, u = np.zeros((p, p)), np.ones((p, p))
-        a, b = np.triu_indices(p, 1)
-        adj[a, b] = adj[b, a] = edges
-        u[a, b] = u[b, a] = draws
-        keep = _main_component(adj)
-        n = len(keep)
-        if n < 3:
-            return float(n), np.nan, np.nan, np.nan
-        g = adj[np.ix_(keep, keep)]
-        c, length = _cluster_and_length(g)
-        rand = (u[np.ix_(keep, keep)] < g.sum() / (n * (n - 1))).astype(float)
-        part = _main_component(rand)
-        c0, l0 = _cluster_and_length(rand[np.ix_(part, part)])
-        gamma, lam = (c / c0 if c0 > 0 else 1.0), (length / l0 if l0 > 0 else 1.0)
-        return float(n), c, length, gamma / lam if lam > 0 else np.nan
-
-    def run(batches):
-        for batch in batches:
-            rows = [
-                measure(batch.column("edges")[r].values.to_numpy(zero_copy_only=False), batch.column("draws")[r].values.to_numpy(zero_copy_only=False))
-                for r in range(batch.num_rows)
-            ]
-            if rows:
-                cols = [batch.column(k) for k in keys] + [pa.array(list(c), pa.float64()) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays(cols, names=keys + ["n_nodes", "clustering", "path_length", "sigma"])
-
-    return run

@@ -6,7 +6,7 @@ from reliaspan.operators.cluster import agreement, block_count, nearest_neighbou
 from reliaspan.operators.cohort import balanced_allocation, lookup_strict, positional_join, site_interval
 from reliaspan.operators.evaluate import score_metrics
 from reliaspan.operators.graph import (
-    best_jaccard, block_assignment, communities, connected_components, degree_variance, mark_density, small_worldness, to_adjacency,
+    best_jaccard, block_assignment, communities, connected_components, degree_variance, mark_density, modularity, small_worldness, to_adjacency,
 )
 from reliaspan.operators.ranking import exact_quantiles, number_rows, with_value_bucket
 from reliaspan.operators.sampling import permuted_labels, stratified_folds
@@ -46,6 +46,57 @@ def test_cliques_are_communities(spark):
     assert all(len({labels[n] for n in range(k, k + 10)}) == 1 for k in (0, 10, 20))
 
 
+def sequential_communities(adj):
+    """Louvain of one small graph, node after node: the yardstick for the modularity of the moves on tables."""
+    labels, graph, total = np.arange(len(adj)), adj.astype(float), adj.sum()
+    while True:
+        own, strength, changed, again = np.arange(len(graph)), graph.sum(1), False, total > 0
+        while again:
+            again = False
+            for v in range(len(graph)):
+                links = np.array([graph[v, (own == c) & (np.arange(len(graph)) != v)].sum() for c in range(len(graph))])
+                load = np.array([strength[own == c].sum() for c in range(len(graph))])
+                load[own[v]] -= strength[v]
+                gain = np.round(np.where((links > 0) | (np.arange(len(graph)) == own[v]), links - strength[v] * load / total, -np.inf), 9)
+                if gain.max() > gain[own[v]]:
+                    own[v], again, changed = int(gain.argmax()), True, True
+        if not changed:
+            return labels
+        own = np.unique(own, return_inverse=True)[1]
+        labels, side = own[labels], np.eye(own.max() + 1)[own]
+        graph = side.T @ graph @ side
+
+
+def q_of(adj, labels):
+    k = adj.sum(1)
+    return float(((adj - np.outer(k, k) / adj.sum()) * (labels[:, None] == labels)).sum() / adj.sum())
+
+
+def test_communities_reach_the_modularity_of_sequential_moves(spark):
+    rng = np.random.default_rng(8)
+    rows, graphs = [], {}
+    for g in range(5):
+        n = 14 + 2 * g
+        block = np.arange(n) * 3 // n
+        a = np.triu(rng.random((n, n)) < np.where(block[:, None] == block, 0.6, 0.08 + 0.02 * g), 1)
+        graphs[g] = (a | a.T).astype(float)
+        rows += [(g, i, j, bool(a[i, j])) for i in range(n) for j in range(i + 1, n)]
+    marked = spark.createDataFrame(rows, "subject_id long, i int, j int, kept boolean")
+    got = communities(marked).collect()
+    ours, theirs = [], []
+    for g, adj in graphs.items():
+        labels = np.zeros(len(adj), int)
+        for r in got:
+            if r["subject_id"] == g:
+                labels[r["node"]] = r["community"]
+        assert len([r for r in got if r["subject_id"] == g]) == len(adj) and labels[0] == 0
+        ours.append(q_of(adj, labels))
+        theirs.append(q_of(adj, sequential_communities(adj)))
+    assert np.mean(ours) >= np.mean(theirs) - 1e-9 and all(a >= b - 0.03 for a, b in zip(ours, theirs, strict=True))
+    again = modularity(marked.filter("kept"), communities(marked)).collect()
+    assert {r["subject_id"]: r["modularity"] for r in again} == pytest.approx(dict(enumerate(ours)))
+
+
 def test_components_and_small_world(spark):
     edges = complete(spark, 7, {(0, 1), (1, 2), (0, 2), (4, 5)})
     nodes = spark.createDataFrame([(1, n) for n in range(7)], "subject_id long, node int")
