@@ -227,13 +227,23 @@ def communities(marked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     rises; when none is left, communities become the nodes of the next level. Every step is written to the
     checkpoint folder. Edges count equally, nodes without edges stay alone.
     """
-    keys = list(keys)
-    base = _cut(to_adjacency(marked.filter("kept"), keys).withColumn("w", F.lit(1.0)))
-    member = _cut(edge_nodes(marked, keys).select(*keys, "node", F.col("node").alias("community")))
-    while (placed := _local_moves(base, keys, member)) is not None:
-        member, graph = _renamed(member, placed, keys, "node"), _merged(base, placed, keys)
-        while (placed := _local_moves(graph, keys)) is not None:
-            member, graph = _renamed(member, placed, keys, "community"), _merged(graph, placed, keys)
+    keys, spark = list(keys), marked.sparkSession
+    # tables dealt by network are joined on network and node where they lie; plans that adapt forget how a table was dealt
+    settings = ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.adaptive.enabled")
+    before = {name: spark.conf.get(name) for name in settings}
+    for name in settings:
+        spark.conf.set(name, "false")
+    try:
+        marked = _cut(spread(marked.select(*keys, "i", "j", "kept"), *keys))
+        base = _cut(to_adjacency(marked.filter("kept"), keys).withColumn("w", F.lit(1.0)))
+        member = _cut(edge_nodes(marked, keys).select(*keys, "node", F.col("node").alias("community")))
+        while (placed := _local_moves(base, keys, member)) is not None:
+            member, graph = _renamed(member, placed, keys, "node"), _merged(base, placed, keys)
+            while (placed := _local_moves(graph, keys)) is not None:
+                member, graph = _renamed(member, placed, keys, "community"), _merged(graph, placed, keys)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
     first = member.groupBy(*keys, "community").agg(F.min("node").alias("_first"))
     number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first")) - 1  # no more rows than communities of a network
     first = first.withColumn("_number", number.cast("int"))
@@ -279,14 +289,14 @@ def _local_moves(graph: DataFrame, keys: list[str], member: DataFrame | None = N
             F.max(F.struct("gain", (-F.col("community")).alias("_c"))).alias("b"), F.max(F.when(at_home, F.col("gain"))).alias("now"), F.max("own").alias("own")
         )
         wish = best.filter(F.col("b.gain") > F.col("now")).select(*keys, "node", F.col("own").alias("from"), (-F.col("b._c")).alias("to"), F.struct((F.col("b.gain") - F.col("now")).alias("rise"), (-F.col("node")).alias("_n")).alias("rank"))
+        wish = _cut(wish)
+        if wish.isEmpty():
+            return placed if moved else None
+        moved = True
         touched = wish.select(*keys, F.explode(F.array("from", "to")).alias("c"), "rank").groupBy(*keys, "c").agg(F.max("rank").alias("top"))
         side = lambda c: touched.select(*keys, F.col("c").alias(c), F.col("top").alias(f"top_{c}"))
         chosen = wish.join(side("from"), [*keys, "from"]).join(side("to"), [*keys, "to"]).filter((F.col("rank") == F.col("top_from")) & (F.col("rank") == F.col("top_to")))
-        stepped = placed.join(chosen.select(*keys, "node", "to"), [*keys, "node"], "left")
-        stepped = _cut(stepped.select(*keys, "node", "k", "m2", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")))
-        if stepped.filter("moved").isEmpty():
-            return placed if moved else None
-        placed, moved = stepped.drop("moved"), True
+        placed = _cut(placed.join(chosen.select(*keys, "node", "to"), [*keys, "node"], "left").select(*keys, "node", "k", "m2", F.coalesce("to", "community").alias("community")))
 
 
 def best_jaccard(reference: DataFrame, predicted: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
