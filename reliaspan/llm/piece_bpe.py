@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words and pairs kept at most by a worker, and the longest word that is kept.
-KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 160_000, 100_000, 64
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 400_000, 400_000, 64
 #: Hash places that tell whether a word came before; a power of two. Words that come once are not kept.
 SEEN_PLACES = 1 << 20
 #: Ids after which a batch of results is handed over.
@@ -71,7 +71,10 @@ class PieceModel:
         self.words: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.seen = bytearray(SEEN_PLACES)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+        #: The ids as text.
+        self.written = {p: str(i) for p, i in self.id.items()}
         self.runs: dict[int, tuple[int, ...]] = {}
         self.longest_run = max(len(p) for p in self.id if set(p) == {MARK})
         if self.merge(MARK * self.longest_run * 2) != [MARK * self.longest_run] * 2:
@@ -138,11 +141,14 @@ class PieceModel:
                 j += 1
 
     def compatible(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
+        after = self.pairs.get(left)
+        known = after.get(right) if after else None
         if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
+            if self.n_pairs >= KEPT_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._meet(left, right)
+                self.n_pairs = 0
+            known = self.pairs.setdefault(left, {})[right] = self._meet(left, right)
+            self.n_pairs += 1
         return known
 
     def _longest(self, word: str, at: int) -> str:
@@ -165,7 +171,7 @@ class PieceModel:
         while at < size:
             p = p or longest.get(at) or self._longest(word, at)
             before = out[-1] if out else ""
-            while p and (failed >> (at + len(p)) & 1 or before and not (self.pairs.get((before, p)) or self.compatible(before, p))):
+            while p and (failed >> (at + len(p)) & 1 or before and not self.compatible(before, p)):
                 p = self.shorter.get(p, "")
             if p:
                 out.append(p)
@@ -207,6 +213,10 @@ class PieceModel:
             pieces = pieces[1:]
         elif marks and word:
             marks -= 1
+        if not marks and word:
+            found = list(map(self.written.get, pieces))
+            if None not in found:  # no bytes: the pieces are the text
+                return ",".join(found), "".join(pieces).replace(MARK, " ")
         ids = [*(self.run(marks) if marks else ()), *self.ids(pieces)]
         return ",".join(map(str, ids)), self._surface(ids)
 
