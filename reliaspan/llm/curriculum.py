@@ -97,7 +97,67 @@ def first_read(demand: Column, schedule: Sequence[tuple[float, float]]) -> Colum
     return at
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (1, 2, 3), schedules: Sequence[Sequence[tuple[float, float]]] = (((0, 1), (1, 1)), ((0, 2), (1, 1)), ((0, 1), (1, 2))), most: float = MOST_REPEATS, ordered: bool = True) -> DataFrame:
+SCHEDULES = (((0, 1), (1, 1)), ((0, 2), (1, 1)), ((0, 1), (1, 2)))
+
+
+def _scheduled(share: Column, schedules: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """first_read by the schedule of a source's `turn`."""
+    time = F.when(F.col("turn") % len(schedules) == 0, first_read(share, schedules[0]))
+    for k, s in enumerate(schedules[1:], 1):
+        time = time.when(F.col("turn") % len(schedules) == k, first_read(share, s))
+    return time
+
+
+def _by_size(rows: DataFrame, parts: int) -> DataFrame:
+    """rows(source, size, h, ...) with `rank`, from 0, in the order of size, then h, inside a source.
+
+    A range sort gives every task a run of the sequence; positions come from the rows of earlier runs.
+    """
+    order = ["source", "size", "h"]
+    run = materialise(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    run = run.withColumn("_run", F.shiftright("_id", 33))
+    per = run.groupBy(F.col("source").alias("_s"), F.col("_run").alias("_r")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = run.join(per, run["source"].eqNullSafe(per["_s"]) & (F.col("_run") == F.col("_r")))
+    return placed.withColumn("rank", F.col("_before") + F.col("_id") - F.col("_first")).drop("_id", "_run", "_s", "_r", "_n", "_first", "_before")
+
+
+def whole_readings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (1, 2, 3), schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, most: float = MOST_REPEATS) -> DataFrame:
+    """The rows of docs as often as the mix reads them whole, in training order; the columns stay as they are, whatever their names.
+
+    With ratio = target / size of a source, each of its documents is read floor(ratio) times, and the rest of the
+    ratio goes systematically along the documents by size, so a source's words miss its target by less than
+    its largest document. Readings of a source are shuffled by a hash of document and reading, laid end to end
+    against the source's cumulative demand, and each has the time at which that demand is reached; the
+    result is range-sorted by it. Equal rows are read equally often. NULL texts have size 0, a NULL source is one source.
+    """
+    columns = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    of = {name: f"c{i}" for i, name in reversed(list(enumerate(columns)))}
+    plain = plain.withColumn("key", F.xxhash64(F.col(of[doc_id]), F.col(of[text]), F.col(of[source])))
+    rows = plain.select(F.col(of[source]).cast("string").alias("source"), "key", word_count(F.col(of[text])).alias("size"), F.xxhash64("key", F.lit("mix")).alias("h"))
+    rows = materialise(rows)
+    sources = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumn("turn", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) - 1))
+    ratio = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
+    of_source = sources.select(F.col("source").alias("_source"), ratio.alias("ratio"), "turn")
+    n = rows.count()
+    ranked = _by_size(rows.dropDuplicates(["key"]), max(1, n // BUCKET_ROWS))
+    ranked = ranked.join(F.broadcast(of_source) if sources.count() <= 10_000 else of_source, ranked["source"].eqNullSafe(F.col("_source")))
+    rest = F.col("ratio") - F.floor("ratio")
+    copies = F.floor("ratio") + F.floor(rest * (F.col("rank") + 1)) - F.floor(rest * F.col("rank"))
+    read = ranked.withColumn("copies", copies.cast("int")).filter("copies > 0").withColumn("reading", F.explode(F.sequence(F.lit(1), "copies")))
+    read = materialise(read.select("source", "key", "size", "turn", F.xxhash64("h", "reading").alias("order"), "reading"))
+    shards = 1 << max(0, (int(n * max(1.0, most)) // BUCKET_ROWS).bit_length())
+    spread = running_sum(read, "source", ["order", "key", "reading"], "size", "before", shards)
+    totals = read.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("total"))
+    spread = spread.join(F.broadcast(totals) if sources.count() <= 10_000 else totals, spread["source"].eqNullSafe(F.col("_source")))
+    share = F.coalesce(F.try_divide(F.col("before").cast("double"), F.col("total")), F.lit(0.0))
+    plan = spread.select(F.col("key").alias("_key"), "order", _scheduled(share, schedules).alias("position"))
+    out = plain.join(plan, F.col("key") == F.col("_key"))
+    return out.repartitionByRange("position", "order").sortWithinPartitions("position", "order").select(*plain.columns[:-1]).toDF(*columns)
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (1, 2, 3), schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, most: float = MOST_REPEATS, ordered: bool = True) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, copies, position) for each row of docs.
 
     taken: words that the mix takes, repeats counted. copies: the same in whole documents, drawn from the
@@ -120,9 +180,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     placed = placed.withColumn("ratio", ratio).withColumn("taken", edge(F.col("before") + F.col("size")) - edge(F.col("before")))
     draw = F.pmod(F.xxhash64("h", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     share = F.coalesce(F.try_divide(F.col("before").cast("double"), F.col("source_size")), F.lit(0.0))
-    time = F.when(F.col("turn") % len(schedules) == 0, first_read(share, schedules[0]))
-    for k, s in enumerate(schedules[1:], 1):
-        time = time.when(F.col("turn") % len(schedules) == k, first_read(share, s))
+    time = _scheduled(share, schedules)
     out = placed.select(
         "doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"),
         (F.floor("ratio") + (draw < F.col("ratio") - F.floor("ratio")).cast("long")).alias("copies"),

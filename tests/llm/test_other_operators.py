@@ -297,6 +297,38 @@ def test_vectors_against_all_pairs(spark):
 # pipeline
 
 
+def test_whole_readings_meet_each_target_in_training_order(spark, edge_docs):
+    rng = random.Random(4)
+    rows = [(i, "w " * (1500 if i % 97 == 0 else rng.randrange(1, 60)), "abcde"[min(4, i % 7)] if i % 11 else None, i, "x") for i in range(900)]
+    rows += [(5000, "twice the same row", "a", 0, "y")] * 2 + [(None, "no id", "b", 0, "z"), (6000, None, "b", 0, "z"), (6001, "", None, 0, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, position string")
+    out = curriculum.whole_readings(docs)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) <= set(rows) and got == [tuple(r) for r in curriculum.whole_readings(docs.repartition(5)).collect()]
+    size, words, largest = Counter(), Counter(), Counter()
+    for _, text, source, *_ in rows:
+        n = len((text or "").split())
+        size[source] += n
+        largest[source] = max(largest[source], n)
+    for _, text, source, *_ in got:
+        words[source] += len((text or "").split())
+    wanted = {r["source"]: r["target"] for r in curriculum.targets(spark.createDataFrame(list(size.items()), "source string, source_size long")).collect()}
+    assert all(abs(words[s] - wanted[s]) <= largest[s] for s in size)
+    assert max(Counter(r[0] for r in got if r[0] != 5000).values()) <= 3
+    assert curriculum.whole_readings(docs.limit(0)).count() == 0
+    assert len(curriculum.whole_readings(edge_docs).columns) == len(edge_docs.columns)
+    early = Counter(r[2] for r in got[: len(got) // 4])  # the second source's schedule starts high, the third's low
+    assert early["b"] / words["b"] > early["c"] / words["c"]
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents").selectExpr("*", "1 AS copies", "'a' AS kept", "'b' AS quality_stats", "2 AS copy", "3 AS key", "4 AS position", "5 AS base_failed")
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.redact_secrets, corpus_pipeline.mix_sources):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.limit(20).collect()} == {(1, "a", "b", 2, 3, 4, 5)}
+
+
 def test_pipeline_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = common.table(spark, sf, "documents")
@@ -331,4 +363,4 @@ def test_pipeline_against_brute_force(spark):
     assert fourth.columns == columns and set(copies) <= left and max(copies.values()) <= 3
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     last = corpus_pipeline.encode_pieces(spark, fourth, sf).collect()
-    assert Counter(r["doc_id"] for r in last) == copies and all(r["ids"] == sp.encode(texts[r["doc_id"]]) for r in last)
+    assert Counter(r["doc_id"] for r in last) == copies and all(r["ids"] == sp.encode(texts[r["doc_id"]]) and r["decoded"] == sp.decode(r["ids"]) for r in last)
