@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from reliaspan.catalog.registry import q6, query, r6
 from reliaspan.catalog.sqlparts import hash_sql
 from reliaspan.operators.cluster import (
-    agreement, best_flip_accuracy, kmeans_labels, mixture_labels, nearest_neighbours, silhouette, spectral_neighbour_labels,
+    agreement, best_flip_accuracy, kmeans_labels, nearest_neighbours, silhouette, spectral_neighbour_labels,
 )
 from reliaspan.operators.evaluate import class_weights, cross_validate, fold_covariates, gated_coverage, reduce_dimensions, reliability_weight, score_metrics, standardise, to_vectors
 from reliaspan.operators.grid import assign, clustering_p, members, run_grid, splits
+from reliaspan.operators.mixture import mixture_labels
 from reliaspan.operators.sampling import stratified_folds
 from reliaspan.operators.stats import cohens_d
 from reliaspan.sources.panels import embedding_edges, read_table
@@ -141,7 +142,7 @@ def cluster_kmeans(spark, sf_dir):
 
 @query("cluster_mixture")
 def cluster_mixture(spark, sf_dir):
-    return mixture_labels(subjects(spark, sf_dir).withColumn("vec", F.slice("vec", 1, 4)))
+    return mixture_labels(subjects(spark, sf_dir))
 
 
 @query("cluster_spectral")

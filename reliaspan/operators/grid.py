@@ -88,7 +88,7 @@ def splits(assigned: DataFrame, gate: float | None = None, min_train: int = 1, m
     return kept, report
 
 
-def _add_up(rows: DataFrame, columns: Sequence[str], part: Callable, names: Sequence[str]) -> DataFrame:
+def add_up(rows: DataFrame, columns: Sequence[str], part: Callable, names: Sequence[str]) -> DataFrame:
     """(split, names...): for each split the sums of part(its rows of a batch) -> float arrays."""
     schema = "split long, " + ", ".join(f"{n} binary" for n in names)
 
@@ -178,7 +178,7 @@ def reduced(rows: DataFrame, variance: float = 0.9) -> DataFrame:
         x = _matrix(vec)
         return [np.array([len(x)]), x.sum(0), x.T @ x]
 
-    sums = materialise(_add_up(rows.filter("is_train"), ["vec"], part, ["n", "total", "squares"]))
+    sums = materialise(add_up(rows.filter("is_train"), ["vec"], part, ["n", "total", "squares"]))
 
     def solve(batches):
         for b in batches:
@@ -222,7 +222,7 @@ def discriminant(rows: DataFrame, columns: int = 0) -> DataFrame:
         y = np.hstack([label.to_numpy().astype(float)[:, None], _matrix(permuted)]) if columns else label.to_numpy().astype(float)[:, None]
         return [w.sum(keepdims=True), (w * x).sum(0), (w * x).T @ x, (w * y).sum(0), (w * x).T @ y]
 
-    sums = materialise(_add_up(rows.filter("is_train"), ["z", "label", "w", "permuted"], part, ["n", "total", "squares", "ones", "moments"]))
+    sums = materialise(add_up(rows.filter("is_train"), ["z", "label", "w", "permuted"], part, ["n", "total", "squares", "ones", "moments"]))
 
     def solve(batches):
         for b in batches:
@@ -278,7 +278,7 @@ def logistic(rows: DataFrame) -> DataFrame:
             w = cw.to_numpy()
             return [x.T @ (w * (mu - label.to_numpy())), (x * (w * mu * (1 - mu))[:, None]).T @ x]
 
-        sums = _add_up(train, ["z", "label", "cw"], part, ["g", "h"])
+        sums = add_up(train, ["z", "label", "cw"], part, ["g", "h"])
 
         def move(batches, shared=shared):
             for b in batches:

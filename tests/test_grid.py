@@ -105,3 +105,29 @@ def test_clustering_nulls(spark):
     got = {r["metric"]: r for r in clustering_p(rows, 20, 5, ["site"]).collect()}
     assert got["ari"]["observed"] == 1.0 and got["balanced_acc"]["observed"] == 1.0
     assert all(r["p"] == pytest.approx(1 / 21) for r in got.values())
+
+
+def test_diagonal_mixture_equals_numpy(spark):
+    from reliaspan.operators.mixture import FLOOR, _parts, densities, fit_mixture, mixture_labels
+
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(60, 6)), rng.normal(size=(40, 6)) * 0.7 + 1.5])
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(100)], "subject_id long, vec array<double>").repartition(3)
+    m = fit_mixture(rows, n_init=3)
+    assert (np.diff(m.history, axis=0) > -1e-9).all() and m.history.shape[1] == 3
+    first = fit_mixture(rows, n_init=1, most=500)
+    w, mu, var = np.full(2, 0.5), None, None
+    from reliaspan.functions.hashing import seeded_hash
+
+    chosen = rows.orderBy(seeded_hash(F.col("subject_id"), 42, 0, "mixture"), "subject_id").limit(2).collect()
+    mu, var = np.array([r["vec"] for r in chosen]), np.tile(x.var(0) + FLOOR, (2, 1))
+    for _ in range(len(first.history) - 1):
+        r, logs = _parts(densities(x, w, mu, var))
+        n = r.sum(0)
+        w, mu = n / 100, r.T @ x / n[:, None]
+        var = np.array([(r[:, [c]] * (x - mu[c]) ** 2).sum(0) / n[c] for c in (0, 1)]) + FLOOR
+    assert np.allclose(first.weights[0], w) and np.allclose(first.means[0], mu) and np.allclose(first.variances[0], var)
+    labels = {r["subject_id"]: r["cluster"] for r in mixture_labels(rows, n_init=3).collect()}
+    found = np.array([labels[i] for i in range(100)])
+    truth = (np.arange(100) >= 60).astype(int)
+    assert max((found == truth).mean(), (found != truth).mean()) > 0.9
