@@ -20,7 +20,7 @@ from reliaspan.operators.cohort import (
 from reliaspan.operators.ranking import exact_quantiles
 from reliaspan.operators.sampling import balanced_downsample, proportional_sample, sample_subjects, site_folds, stratified_folds, train_test_split
 from reliaspan.operators.slices import (
-    first_channels, half_split, label_segments, offset_complement, offset_window, prefix, random_window, sliding, suffix, tumbling,
+    first_channels, half_split, label_segments, offset_complement, offset_window, random_window, sliding, suffix, tumbling,
 )
 from reliaspan.sources.panels import N_MONTHS, event_samples, lineitem_samples, read_table
 
@@ -75,21 +75,21 @@ def panel_samples(spark, sf_dir):
 
 @query(
     "zero_variance_filter",
-    with_panel("W AS (SELECT * FROM S WHERE t < 6)", "SD AS (SELECT subject_id, channel, stddev_pop(value) AS sd FROM W GROUP BY 1, 2)")
-    + _by_channel_sql("(SELECT W.* FROM W JOIN SD USING (subject_id, channel) WHERE sd > 1e-8)"),
+    with_panel("SD AS (SELECT subject_id, channel, stddev_pop(value) AS sd FROM S GROUP BY 1, 2)")
+    + _by_channel_sql("(SELECT S.* FROM S JOIN SD USING (subject_id, channel) WHERE sd > 1e-8)"),
 )
 def zero_variance_filter(spark, sf_dir):
-    return by_channel(drop_constant_channels(prefix(lineitem_samples(spark, sf_dir), 6)))
+    return by_channel(drop_constant_channels(lineitem_samples(spark, sf_dir)))
 
 
 @query(
     "bad_channel_share",
-    with_panel("SD AS (SELECT subject_id, channel, stddev_pop(value) AS sd FROM S WHERE t < 6 GROUP BY 1, 2)")
+    with_panel("SD AS (SELECT subject_id, channel, stddev_pop(value) AS sd FROM S GROUP BY 1, 2)")
     + f"""SELECT subject_id, CAST(count(*) AS BIGINT) AS n_channels, CAST(sum(CASE WHEN sd <= 1e-8 THEN 1 ELSE 0 END) AS BIGINT) AS n_bad,
       {q6('avg(CASE WHEN sd <= 1e-8 THEN 1.0 ELSE 0 END)', 'bad_share')}, avg(CASE WHEN sd <= 1e-8 THEN 1.0 ELSE 0 END) <= 0.1 AS kept FROM SD GROUP BY subject_id""",
 )
 def bad_channel_share(spark, sf_dir):
-    out = reject_bad_subjects(prefix(lineitem_samples(spark, sf_dir), 6))
+    out = reject_bad_subjects(lineitem_samples(spark, sf_dir))
     return out.select("subject_id", "n_channels", "n_bad", r6("bad_share"), "kept")
 
 

@@ -24,13 +24,12 @@ from reliaspan.operators.evaluate import fold_covariates, gate_rows, reliability
 from reliaspan.operators.ranking import number_by_hash
 from reliaspan.operators.sampling import balanced_downsample, permuted_labels
 from reliaspan.operators.stats import permutation_p
-from reliaspan.session import materialise, spread
+from reliaspan.operators.sums import add_up
+from reliaspan.session import materialise
 
 MODELS = ("discriminant", "logistic_l2")
 CELL = ["stratum", "repeat", "kind", "model"]
 SCORES = ("balanced_acc", "roc_auc", "auprc")
-#: Sums of so many splits are held in a task before they go on.
-HELD = 256
 #: Bytes of fitted state that a pass has in each worker; more splits than fit are worked off in several passes.
 STATE_BYTES = 64 << 20
 #: Newton steps of the logistic fits, the step that counts as settled, ridge of the scatter matrix over its mean diagonal.
@@ -88,45 +87,6 @@ def splits(assigned: DataFrame, gate: float | None = None, min_train: int = 1, m
     return kept, report
 
 
-def add_up(rows: DataFrame, columns: Sequence[str], part: Callable, names: Sequence[str]) -> DataFrame:
-    """(split, names...): for each split the sums of part(its rows of a batch) -> float arrays."""
-    schema = "split long, " + ", ".join(f"{n} binary" for n in names)
-
-    def summed(pieces):
-        held: dict[int, list[np.ndarray]] = {}
-
-        def flush():
-            items = list(held.items())
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in items], pa.int64()), *(pa.array([v[i].tobytes() for _, v in items], pa.binary()) for i in range(len(names)))], ["split", *names])
-
-        for key, values in pieces:
-            if key in held:
-                for old, new in zip(held[key], values, strict=True):
-                    old += new
-            else:
-                if len(held) >= HELD:
-                    yield flush()
-                held[key] = [np.array(v, float) for v in values]
-        yield flush()
-
-    def first(batches):
-        def pieces():
-            for b in batches:
-                which = b.column(0).to_numpy()
-                for s in np.unique(which):
-                    at = b.take(pa.array(np.flatnonzero(which == s)))
-                    yield int(s), part(int(s), *(at.column(i + 1) for i in range(len(columns))))
-
-        yield from summed(pieces())
-
-    def second(batches):
-        yield from summed((b.column(0)[r].as_py(), [np.frombuffer(b.column(i + 1)[r].as_buffer()) for i in range(len(names))]) for b in batches for r in range(b.num_rows))
-
-    parts = rows.select("split", *columns).mapInArrow(first, schema)
-    return spread(parts, "split").sortWithinPartitions("split").mapInArrow(second, schema)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 

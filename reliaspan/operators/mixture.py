@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reliaspan.functions.hashing import seeded_hash
-from reliaspan.operators.grid import add_up
+from reliaspan.operators.sums import add_up
 from reliaspan.session import materialise
 
 #: Added to every variance, as is usual against collapsing components; the gain of the mean log-likelihood that counts as settled.
-FLOOR, SETTLED = 1e-6, 1e-7
+FLOOR, SETTLED = 1e-6, 1e-3
 
 
 @dataclass
@@ -44,11 +44,11 @@ def _parts(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(logs - total[:, None]), total
 
 
-def fit_mixture(rows: DataFrame, k: int = 2, seed: int = 42, n_init: int = 5, most: int = 500, key: str = "subject_id") -> Mixture:
+def fit_mixture(rows: DataFrame, k: int = 2, seed: int = 42, n_init: int = 5, most: int = 500, settled: float = SETTLED, key: str = "subject_id") -> Mixture:
     """The mixtures of all starts from `rows(key, vec)`; a start's means are k rows drawn by a seeded hash, its variances those of all rows.
 
     Each round is one pass over the rows: partitions add up responsibilities, values and squares of every
-    start, the driver gets n_init x k x d numbers. Ends when no start gains SETTLED a row; not
+    start, the driver gets n_init x k x d numbers. Ends when no start gains `settled` a row; not
     settling within `most` rounds is an error. Needs k rows at least.
     """
     spark = rows.sparkSession
@@ -81,7 +81,7 @@ def fit_mixture(rows: DataFrame, k: int = 2, seed: int = 42, n_init: int = 5, mo
         sums = add_up(packed, ["vec"], part, ["n", "total", "squares", "logs"]).first()
         mass, total, squares, logs = (np.frombuffer(v) for v in sums[1:])
         history.append(logs / n)
-        if len(history) > 1 and (history[-1] - history[-2]).max() < SETTLED:
+        if len(history) > 1 and (history[-1] - history[-2]).max() < settled:
             return Mixture(weights, means, variances, np.array(history))
         mass = mass.reshape(n_init, k) + 1e-300
         weights = mass / n

@@ -113,9 +113,9 @@ def test_diagonal_mixture_equals_numpy(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(size=(60, 6)), rng.normal(size=(40, 6)) * 0.7 + 1.5])
     rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(100)], "subject_id long, vec array<double>").repartition(3)
-    m = fit_mixture(rows, n_init=3)
+    m = fit_mixture(rows, n_init=3, settled=1e-5)
     assert (np.diff(m.history, axis=0) > -1e-9).all() and m.history.shape[1] == 3
-    first = fit_mixture(rows, n_init=1, most=500)
+    first = fit_mixture(rows, n_init=1, settled=1e-5)
     w, mu, var = np.full(2, 0.5), None, None
     from reliaspan.functions.hashing import seeded_hash
 
@@ -131,3 +131,21 @@ def test_diagonal_mixture_equals_numpy(spark):
     found = np.array([labels[i] for i in range(100)])
     truth = (np.arange(100) >= 60).astype(int)
     assert max((found == truth).mean(), (found != truth).mean()) > 0.9
+
+
+def test_range_finder_equals_the_full_decomposition(spark):
+    from reliaspan.operators.components import components_for, leading_components, project
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(70, 40)) @ np.diag(0.85 ** np.arange(40)) @ np.linalg.qr(rng.normal(size=(40, 40)))[0] + 3.0
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(70)], "subject_id long, vec array<double>").repartition(3).checkpoint()
+    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    values, vectors = values[::-1], vectors[:, ::-1]
+    c = leading_components(rows, 5)
+    assert c.variances == pytest.approx(values[:5], rel=1e-6) and c.total == pytest.approx(values.sum())
+    assert np.abs((c.directions * vectors[:, :5]).sum(0)) == pytest.approx(np.ones(5), abs=1e-4)
+    few = components_for(rows, 0.9, start=4)
+    assert len(few.variances) == int(np.searchsorted(np.cumsum(values) / values.sum(), 0.9)) + 1
+    got = {r["subject_id"]: r["projected"] for r in project(rows, c).collect()}
+    want = (x - x.mean(0)) @ c.directions
+    assert all(np.allclose(got[i], want[i]) for i in range(70))
