@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -106,6 +107,19 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The table as Parquet in the shared checkpoint folder, read again.
+
+    Many steps that join a table with itself stay cheap to plan that way: a checkpoint hands equal
+    keys and orders on to the next plan, where they double, a file does not, and its size is known.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def connected_components(adj: DataFrame, nodes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, node, component): smallest reachable node id, by label propagation with pointer jumping.
 
@@ -227,23 +241,13 @@ def communities(marked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     rises; when none is left, communities become the nodes of the next level. Every step is written to the
     checkpoint folder. Edges count equally, nodes without edges stay alone.
     """
-    keys, spark = list(keys), marked.sparkSession
-    # tables dealt by network are joined on network and node where they lie; plans that adapt forget how a table was dealt
-    settings = ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.adaptive.enabled")
-    before = {name: spark.conf.get(name) for name in settings}
-    for name in settings:
-        spark.conf.set(name, "false")
-    try:
-        marked = _cut(spread(marked.select(*keys, "i", "j", "kept"), *keys))
-        base = _cut(to_adjacency(marked.filter("kept"), keys).withColumn("w", F.lit(1.0)))
-        member = _cut(edge_nodes(marked, keys).select(*keys, "node", F.col("node").alias("community")))
-        while (placed := _local_moves(base, keys, member)) is not None:
-            member, graph = _renamed(member, placed, keys, "node"), _merged(base, placed, keys)
-            while (placed := _local_moves(graph, keys)) is not None:
-                member, graph = _renamed(member, placed, keys, "community"), _merged(graph, placed, keys)
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+    keys = list(keys)
+    base = _written(to_adjacency(marked.filter("kept"), keys).withColumn("w", F.lit(1.0)))
+    member = _written(edge_nodes(marked, keys).select(*keys, "node", F.col("node").alias("community")))
+    while (placed := _local_moves(base, keys, member)) is not None:
+        member, graph = _renamed(member, placed, keys, "node"), _merged(base, placed, keys)
+        while (placed := _local_moves(graph, keys)) is not None:
+            member, graph = _renamed(member, placed, keys, "community"), _merged(graph, placed, keys)
     first = member.groupBy(*keys, "community").agg(F.min("node").alias("_first"))
     number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first")) - 1  # no more rows than communities of a network
     first = first.withColumn("_number", number.cast("int"))
@@ -253,14 +257,14 @@ def communities(marked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def _renamed(member: DataFrame, placed: DataFrame, keys: list[str], by: str) -> DataFrame:
     """member with the communities that `placed` gives to its column `by`; others stay."""
     new = placed.select(*keys, F.col("node").alias(by), F.col("community").alias("_c"))
-    return _cut(member.join(new, [*keys, by], "left").select(*keys, "node", F.coalesce("_c", "community").alias("community")))
+    return _written(member.join(new, [*keys, by], "left").select(*keys, "node", F.coalesce("_c", "community").alias("community")))
 
 
 def _merged(graph: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
     """The graph whose nodes are the communities of another."""
     label = lambda side: placed.select(*keys, F.col("node").alias(side), F.col("community").alias(f"c_{side}"))
     ends = graph.join(label("src"), [*keys, "src"]).join(label("dst"), [*keys, "dst"])
-    return _cut(ends.groupBy(*keys, F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
+    return _written(ends.groupBy(*keys, F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
 
 
 def _local_moves(graph: DataFrame, keys: list[str], member: DataFrame | None = None) -> DataFrame | None:
@@ -269,11 +273,11 @@ def _local_moves(graph: DataFrame, keys: list[str], member: DataFrame | None = N
     `graph` is (keys, src, dst, w) in both directions, loops count in a node's strength. The moves begin
     with the communities of `member`, or with each node alone.
     """
-    strength = _cut(graph.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+    strength = _written(graph.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("w").alias("k")))
     total = strength.groupBy(*keys).agg(F.sum("k").alias("m2"))
     placed = strength.join(total, keys)
     placed = placed.withColumn("community", F.col("node")) if member is None else placed.join(member, [*keys, "node"])
-    placed = _cut(placed.select(*keys, "node", "k", "m2", "community"))
+    placed = _written(placed.select(*keys, "node", "k", "m2", "community"))
     steps = graph.filter("src <> dst")
     moved = False
     while True:
@@ -289,14 +293,14 @@ def _local_moves(graph: DataFrame, keys: list[str], member: DataFrame | None = N
             F.max(F.struct("gain", (-F.col("community")).alias("_c"))).alias("b"), F.max(F.when(at_home, F.col("gain"))).alias("now"), F.max("own").alias("own")
         )
         wish = best.filter(F.col("b.gain") > F.col("now")).select(*keys, "node", F.col("own").alias("from"), (-F.col("b._c")).alias("to"), F.struct((F.col("b.gain") - F.col("now")).alias("rise"), (-F.col("node")).alias("_n")).alias("rank"))
-        wish = _cut(wish)
+        wish = _written(wish)
         if wish.isEmpty():
             return placed if moved else None
         moved = True
         touched = wish.select(*keys, F.explode(F.array("from", "to")).alias("c"), "rank").groupBy(*keys, "c").agg(F.max("rank").alias("top"))
         side = lambda c: touched.select(*keys, F.col("c").alias(c), F.col("top").alias(f"top_{c}"))
         chosen = wish.join(side("from"), [*keys, "from"]).join(side("to"), [*keys, "to"]).filter((F.col("rank") == F.col("top_from")) & (F.col("rank") == F.col("top_to")))
-        placed = _cut(placed.join(chosen.select(*keys, "node", "to"), [*keys, "node"], "left").select(*keys, "node", "k", "m2", F.coalesce("to", "community").alias("community")))
+        placed = _written(placed.join(chosen.select(*keys, "node", "to"), [*keys, "node"], "left").select(*keys, "node", "k", "m2", F.coalesce("to", "community").alias("community")))
 
 
 def best_jaccard(reference: DataFrame, predicted: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
