@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words and pairs kept at most by a worker, and the longest word that is kept.
-KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 400_000, 400_000, 64
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 200_000, 160_000, 64
 #: Hash places that tell whether a word came before; a power of two. Words that come once are not kept.
 SEEN_PLACES = 1 << 20
 #: Ids after which a batch of results is handed over.
