@@ -53,6 +53,42 @@ def test_blocks_inside_an_article_are_classified_and_classes_match_whole():
     assert html_blocks.main_text(page) == f"{para}\n\nitem\n\ncell"
 
 
+PROSE = "The house of the old man is on the hill and it has been there for as long as we can remember, with a view over all of the town."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<html><head><title>t</title><meta charset=x><body><p>{PROSE}</p><p>{PROSE}</p></body>", [PROSE, PROSE]),  # head is not closed
+        (f"<head><link rel=x><article><p>{PROSE}</article>", [PROSE]),
+        (f"<body><form id=page><nav>Menu</nav><article><p>{PROSE}</p><button>Go</button></article></form>", [PROSE]),  # a form around the page
+        (f"<body><form id=page><p>{PROSE}</p><p>{PROSE}</p><select><option>x</select></form>", [PROSE, PROSE]),
+        (f"<article><p>{PROSE}</p><form><p>{PROSE}</p><input></form><p>{PROSE}</p></article>", [PROSE, PROSE]),  # a form inside it
+        (f"<body><p>{PROSE}</p><p>{PROSE}</p><form>Write to us<input></form>", [PROSE, PROSE]),
+        (f"<article><a name=top><p>{PROSE}</p><p>{PROSE}</p></article>", [PROSE, PROSE]),  # an anchor is no link
+        (f"<article><p><a href=x>Never closed</p><p>{PROSE}</p><p>{PROSE}</p></article>", ["Never closed", PROSE, PROSE]),
+        (f"<article><p>{PROSE}</p><p><a href=x>A link alone</a></p><p>{PROSE}</p><ul><li><a href=1>one</a><li><a href=2>two</a></ul></article>", [PROSE, "A link alone", PROSE]),
+        (f"<article><p>left <script>x = '<p>'</script>right. {PROSE}</p></article>", [f"left right. {PROSE}"]),
+    ],
+)
+def test_omitted_tags_forms_and_anchors(page, want):
+    assert html_blocks.main_text(page).split("\n\n") == want
+
+
+@pytest.mark.parametrize(
+    "prose",
+    [
+        "Дом старика стоит на холме с незапамятных времён, и оттуда виден весь город до самой реки. " * 3,
+        "老人的房子在山上已经很久了从那里可以看到整个城市直到河边。" * 4,
+        "La casa del vecchio sta sulla collina da tempo immemorabile e di lassù si vede tutta la città fino al fiume. " * 3,
+    ],
+)
+def test_pages_without_a_stop_word_list_are_judged_by_length_and_links(prose):
+    prose = prose.strip()
+    page = f"<body><ul><li><a href=1>{prose[:40]}</a><li><a href=2>{prose[:30]}</a></ul><div><p>{prose}</p><p>{prose}</p></div><p><a href=3>{prose[:20]}</a></p>"
+    assert html_blocks.main_text(page) == f"{prose}\n\n{prose}"
+
+
 def test_odd_pages(spark):
     for page in (None, "", "<", "<p", "plain < text", "<article>", "</div></article>", "<!-- open", "<script>never closed", "&#0;&bogus;", "<p>" * 3000):
         assert isinstance(html_blocks.main_text(page), str)
