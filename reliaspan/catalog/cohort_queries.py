@@ -15,7 +15,7 @@ from reliaspan.operators.clean import (
     densify, drop_censored_rows, drop_constant_channels, length_status, recording_lengths, reject_bad_subjects,
 )
 from reliaspan.operators.cohort import (
-    derive_durations, finite, first_settings, funnel_report, funnel_rules, grid, k_group, lookup_default, lookup_normalised, lookup_strict, missing_keys, positional_join, site_interval,
+    derive_durations, finite, first_settings, funnel_report, funnel_rules, grid, k_group, lookup_default, lookup_normalised, lookup_strict, missing_keys, positional_join, site_interval, with_each,
 )
 from reliaspan.operators.ranking import exact_quantiles
 from reliaspan.operators.sampling import balanced_downsample, proportional_sample, sample_subjects, site_folds, stratified_folds, train_test_split
@@ -423,11 +423,9 @@ def stratified_folds_query(spark, sf_dir):
 
 @query("leave_one_site_out", "SELECT c_custkey AS subject_id, c_nationkey AS site, s.n_nationkey AS fold, c_nationkey <> s.n_nationkey AS train FROM customer CROSS JOIN nation s WHERE s.n_nationkey IN (SELECT c_nationkey FROM customer)")
 def leave_one_site_out(spark, sf_dir):
-    """Every fold's training side is everyone outside the site: a fold id per row, no theta join."""
+    """Every fold's training side is everyone outside the site."""
     rows = site_folds(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_nationkey").alias("site")))
-    folds = rows.select("fold").distinct().agg(F.array_sort(F.collect_set("fold")).alias("all"))
-    listed = [r for r in folds.first()["all"]]
-    return grid(rows.select("subject_id", "site"), fold=listed).withColumn("train", F.col("site") != F.col("fold"))
+    return with_each(rows, rows.select("fold").distinct(), "fold").withColumn("train", F.col("site") != F.col("fold"))
 
 
 @query(

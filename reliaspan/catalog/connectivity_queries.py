@@ -15,7 +15,7 @@ from reliaspan.operators.connectivity import (
     covariance_to_correlation, fc_edges, full_matrix, moment_corr, pair_moments, shrunk_pairs,
 )
 from reliaspan.operators.edges import (
-    cross_subject_reliability, group_mean_edges, hemisphere_networks, keep_strongest, network_blocks, partial_edges, projections, shrunk_covariances, tangent_edges, threshold_report, value_distribution,
+    cross_subject_reliability, group_mean_edges, hemisphere_networks, keep_strongest, network_blocks, partial_edges, projections, shrunk_covariances, tangent_edges, tangent_fold_edges, threshold_report, value_distribution,
 )
 from reliaspan.operators.graph import block_assignment
 from reliaspan.operators.prep import detrend_zscore
@@ -104,6 +104,16 @@ def fc_tangent(spark, sf_dir):
     return _edges(tangent_edges(cov, cov.filter("subject_id % 2 = 0")))
 
 
+@query("fc_tangent_folds")
+def fc_tangent_folds(spark, sf_dir):
+    """Every subject around the mean of the folds that it is not in; three folds by id."""
+    ensure_checkpoint_dir(spark)
+    z = detrend_zscore(lineitem_samples(spark, sf_dir), detrend=False)
+    cov = shrunk_covariances(samples_to_frames(z)).checkpoint()
+    found = tangent_fold_edges(cov, cov.select("subject_id", (F.col("subject_id") % 3).alias("fold")))
+    return found.select("fold", "subject_id", "i", "j", r6("r"))
+
+
 SIM = with_panel(SHORT, pearson("SHORT", "A"), pearson("S", "B"), similarity("A", "B", "R"))
 
 

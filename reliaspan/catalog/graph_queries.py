@@ -14,6 +14,7 @@ from reliaspan.operators.edges import pack_symmetric
 from reliaspan.operators.graph import (
     absolute_threshold, algebraic_connectivity, best_jaccard, block_assignment, communities, connected_components, degree_variance, density_threshold, edge_nodes, graph_metrics, largest_component, mark_density, mean_path_length, modularity, network_order, parse_networks, small_worldness, to_adjacency,
 )
+from reliaspan.operators.ranking import number_rows
 from reliaspan.session import ensure_checkpoint_dir
 from reliaspan.sources.panels import N_CHANNELS, lineitem_frames, read_table
 
@@ -272,6 +273,8 @@ def topology_by_model(spark, sf_dir):
 )
 def network_labels(spark, sf_dir):
     parts = read_table(spark, sf_dir, "part").withColumn("label", F.concat(F.lit("set_"), "p_brand", F.lit("_"), F.col("p_partkey").cast("string")))
-    names = sorted({r[0] for r in parts.select("p_brand").distinct().collect()}, key=lambda b: int("".join(ch for ch in b if ch.isdigit()) or 0))
+    number = F.coalesce(F.regexp_extract("network_name", r"(\d+)", 1).try_cast("bigint"), F.lit(0))
+    brands = parts.select(F.col("p_brand").alias("network_name")).distinct()
+    names = number_rows(brands, [], [number, "network_name"], number, "network").withColumn("network", F.col("network") - 1)
     labelled = parse_networks(parts.select(F.col("p_partkey").cast("int").alias("channel"), "label"), names)
     return network_order(labelled).select(F.col("channel").cast("bigint").alias("channel"), "position", "boundary")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reliaspan.catalog.registry import q6, query, r6
 from reliaspan.catalog.sqlparts import hash_sql
 from reliaspan.operators.cluster import (
-    agreement, best_flip_accuracy, kmeans_labels, nearest_neighbours, silhouette, spectral_neighbour_labels,
+    agreement, best_flip_accuracy, kmeans_labels, nearest_neighbours, neighbour_spectrum, silhouette, spectral_neighbour_labels,
 )
 from reliaspan.operators.evaluate import class_weights, cross_validate, fold_covariates, gated_coverage, reduce_dimensions, reliability_weight, score_metrics, standardise, to_vectors
 from reliaspan.operators.grid import assign, clustering_p, members, run_grid, splits
@@ -150,6 +150,14 @@ def cluster_spectral(spark, sf_dir):
     return spectral_neighbour_labels(subjects(spark, sf_dir).select("subject_id", "vec"))
 
 
+@query("spectral_residuals")
+def spectral_residuals(spark, sf_dir):
+    """(component, eigenvalue, residual, rounds) of the neighbour graph that cluster_spectral divides."""
+    s = neighbour_spectrum(subjects(spark, sf_dir).select("subject_id", "vec"))
+    rows = [(i, float(v), float(r), s.rounds) for i, (v, r) in enumerate(zip(s.values, s.residuals, strict=True))]
+    return spark.createDataFrame(rows, "component int, eigenvalue double, residual double, rounds int")
+
+
 DIST = """X AS (SELECT vec_id AS subject_id, CAST(label % 2 AS INTEGER) AS c, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 D AS (SELECT a.subject_id, b.subject_id AS other, a.c, b.c AS oc, list_distance(a.v, b.v) AS d FROM X a JOIN X b ON a.subject_id <> b.subject_id)"""
 

@@ -152,6 +152,26 @@ def grid(subjects: DataFrame, **axes: Sequence) -> DataFrame:
     return out
 
 
+#: Values in one array of a `with_each` table, about.
+CHUNK = 1024
+
+
+def with_each(subjects: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Every subject with every value of the column `name` of a table of distinct values.
+
+    The values travel in arrays of about CHUNK, which subjects meet by an equi-join on chunk and salt; the driver sees
+    their number only. A column of that name in `subjects` is replaced.
+    """
+    chunks = max(1, -(-values.count() // CHUNK))
+    salts = max(1, int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = values.groupBy(F.pmod(F.xxhash64(name), F.lit(chunks)).alias("_chunk")).agg(F.collect_list(F.struct(name)).alias("_values"))
+    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    plain = subjects.drop(name)
+    salted = plain.withColumn("_salt", F.pmod(F.xxhash64(*plain.columns), F.lit(salts)).cast("int")).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    out = salted.join(packed, ["_chunk", "_salt"]).withColumn("_value", F.explode("_values"))
+    return out.select(*plain.columns, F.col(f"_value.{name}").alias(name))
+
+
 def positional_join(left: DataFrame, right: DataFrame, position: str = "pos", check: Sequence[str] = ()) -> DataFrame:
     """Join two tables row by row on their stored position, insisting on equal counts.
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from reliaspan.functions.reliability import as_col, clip, fisher_z
 from reliaspan.operators.connectivity import KEYS, moment_corr, pair_moments, pearson_from_moments, shrunk_pairs
 from reliaspan.operators.kernels import matrix_kernel, partial_corr
+from reliaspan.operators.sums import add_up
 from reliaspan.session import spread
 
 
@@ -25,11 +26,12 @@ def pack_symmetric(pairs: DataFrame, keys: Sequence[str] = KEYS, value: str = "c
     )
 
 
-def map_matrices(packed: DataFrame, fn, keys: Sequence[str] = KEYS, diagonal: bool = False) -> DataFrame:
-    """Apply a p x p -> p x p function to every key's matrix; one small matrix per call."""
+def map_matrices(packed: DataFrame, fn, keys: Sequence[str] = KEYS, diagonal: bool = False, argument: str | None = None) -> DataFrame:
+    """Apply a p x p -> p x p function to every key's matrix; one small matrix per call. ``argument`` names a key
+    whose value the function gets too."""
     fields = [packed.schema[k] for k in keys]
     fields += [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("r", T.DoubleType())]
-    return spread(packed.select(*keys, "channels", "packed"), *keys).mapInArrow(matrix_kernel(list(keys), fn, diagonal), T.StructType(fields))
+    return spread(packed.select(*keys, "channels", "packed"), *keys).mapInArrow(matrix_kernel(list(keys), fn, diagonal, argument), T.StructType(fields))
 
 
 def partial_edges(frames: DataFrame, keys: Sequence[str] = KEYS, shrink: bool = True) -> DataFrame:
@@ -77,6 +79,79 @@ def tangent_edges(
     return map_matrices(covariances, _whitened_log(whiten), keys)
 
 
+#: Matrix cells that a task holds at once while it adds up logarithms.
+HELD_CELLS = 1 << 21
+
+
+def tangent_fold_edges(
+    covariances: DataFrame, folds: DataFrame, key: str = "subject_id", held_only: bool = True, max_iter: int = 100, tol: float = 1e-7
+) -> DataFrame:
+    """(fold, key, i, j, r, held): tangent edges around the geometric mean of each fold's training side.
+
+    `covariances` is (key, channels, packed), read once per round, so pass a checkpointed table; `folds` is
+    (key, fold), one row per subject. All folds advance in one aggregation, a settled one drops out. A held-out
+    subject is seen from its own fold's mean, which it had no part in; with `held_only` false the training subjects
+    of each fold follow, held false. Subjects without a fold have no rows, a fold without training subjects none either.
+    The driver sees one p x p matrix a fold. ValueError where the channels differ; RuntimeError where a mean has not settled.
+    """
+    spark = covariances.sparkSession
+    numbers = [r[0] for r in folds.select("fold").where("fold IS NOT NULL").distinct().orderBy("fold").collect()]
+    if covariances.select("channels").distinct().limit(2).count() > 1:
+        raise ValueError("the channels differ between subjects")
+    split = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(len(numbers), 1) - 1).cast("long")))
+    own = F.array_position(F.array(*[F.lit(f) for f in numbers]), F.col("fold")) - 1
+    rows = covariances.join(folds.select(key, "fold").where("fold IS NOT NULL"), key).select(key, "channels", "packed", own.alias("own"), split.alias("split"))
+    train = rows.filter("own <> split")
+
+    def summed(active: list[int], roots: list[np.ndarray | None]) -> dict[int, np.ndarray]:
+        shared = spark.sparkContext.broadcast(roots)
+
+        def part(s, packed):
+            w = shared.value[s]
+            cells = packed.flatten().to_numpy(zero_copy_only=False).reshape(len(packed), -1)
+            p = int((2 * cells.shape[1]) ** 0.5)
+            a, b = np.triu_indices(p)
+            out, at = np.zeros((p, p)), max(1, HELD_CELLS // (p * p))
+            for first in range(0, len(cells), at):
+                m = np.zeros((len(cells[first : first + at]), p, p))
+                m[:, a, b] = m[:, b, a] = cells[first : first + at]
+                if w is not None:
+                    values, vectors = np.linalg.eigh(w @ m @ w)
+                    m = (vectors * np.log(np.maximum(values, 1e-300))[:, None, :]) @ vectors.transpose(0, 2, 1)
+                out += m.sum(0)
+            return [out, np.array([len(cells)], float)]
+
+        found = add_up(train.filter(F.col("split").isin(active)), ["packed"], part, ["total", "n"]).collect()
+        totals = {r["split"]: np.frombuffer(r["total"]) / np.frombuffer(r["n"])[0] for r in found}
+        return {s: t.reshape(int(len(t) ** 0.5), -1) for s, t in totals.items()}
+
+    means: list[np.ndarray | None] = [None] * len(numbers)
+    for s, m in (summed(list(range(len(numbers))), means) if numbers else {}).items():
+        means[s] = m
+    active = [s for s, m in enumerate(means) if m is not None]
+    step, previous = [1.0] * len(means), [np.inf] * len(means)
+    for _ in range(max_iter):
+        if not active:
+            break
+        logs = summed(active, [_eig_map(m, lambda v: 1 / np.sqrt(v)) if s in active else None for s, m in enumerate(means)])
+        for s, log in logs.items():
+            root, norm = _eig_map(means[s], np.sqrt), float(np.linalg.norm(log))
+            means[s] = root @ _eig_map(step[s] * log, np.exp) @ root
+            if norm < tol * len(log):
+                active.remove(s)
+            elif norm > previous[s]:
+                step[s] /= 2
+            else:
+                previous[s] = norm
+    if active:
+        raise RuntimeError(f"the means of folds {[numbers[s] for s in active]} have not settled after {max_iter} rounds")
+    shared = spark.sparkContext.broadcast([None if m is None else _eig_map(m, lambda v: 1 / np.sqrt(v)) for m in means])
+    wanted = rows.filter(F.col("split").isin([s for s, m in enumerate(means) if m is not None]) & (F.col("own") == F.col("split") if held_only else F.lit(True)))
+    edges = map_matrices(wanted, lambda m, s: _whitened_log(shared.value[s])(m), [key, "own", "split"], argument="split")
+    of = F.element_at(F.array(*[F.lit(f) for f in numbers]), F.col("split").cast("int") + 1) if numbers else F.lit(None)
+    return edges.select(of.alias("fold"), key, "i", "j", "r", (F.col("own") == F.col("split")).alias("held"))
+
+
 def _eig_map(m: np.ndarray, fn) -> np.ndarray:
     vals, vecs = np.linalg.eigh((m + m.T) / 2)
     return (vecs * fn(vals)) @ vecs.T

@@ -326,12 +326,19 @@ def block_assignment(node, n_nodes, n_networks: int = 7) -> Column:
     return F.least(F.floor(as_col(node) / size), F.lit(n_networks - 1)).cast("int")
 
 
-def parse_networks(labels: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(channel, label) -> adds the network named inside the label text and its fixed order."""
-    pattern = "_(" + "|".join(names) + ")(_|$)"
-    name = F.regexp_extract("label", pattern, 1)
-    order = F.array_position(F.array(*[F.lit(n) for n in names]), name).cast("int") - 1
-    return labels.withColumn("network_name", F.nullif(name, F.lit(""))).withColumn("network", F.when(name != "", order))
+def parse_networks(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(channel, label) -> adds the network of `names(network_name, network)` that the label text names, and its number.
+
+    A name stands between two underscores or an underscore and the end; it may hold underscores itself. The stretches
+    of a label that could be a name are joined with the names, so any number of names will do; the first place
+    counts, there the smallest number. Channels are distinct; labels without a known name, NULL ones too, have NULLs.
+    """
+    parts = F.split("label", "_")
+    stretches = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda a: F.transform(
+        F.sequence(a, F.size("_parts") - 1), lambda b: F.struct(a.alias("at"), F.array_join(F.slice("_parts", a + 1, b - a + 1), "_").alias("network_name")))))
+    spans = labels.select("channel", parts.alias("_parts")).filter(F.size("_parts") > 1).select("channel", F.inline(stretches))
+    found = spans.join(names, "network_name").groupBy("channel").agg(F.min(F.struct("at", "network", "network_name")).alias("_best"))
+    return labels.join(found, "channel", "left").select(*labels.columns, F.col("_best.network_name").alias("network_name"), F.col("_best.network").cast("int").alias("network"))
 
 
 def network_order(labelled: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def unpack_symmetric(packed: np.ndarray, p: int) -> np.ndarray:
     return m
 
 
-def matrix_kernel(keys: list[str], fn, diagonal: bool):
+def matrix_kernel(keys: list[str], fn, diagonal: bool, argument: str | None = None):
     """Apply ``fn`` to the small symmetric matrix packed in each row and return its upper triangle."""
 
     def run(batches):
@@ -184,7 +184,8 @@ def matrix_kernel(keys: list[str], fn, diagonal: bool):
             for row in range(batch.num_rows):
                 ids = batch.column("channels")[row].values.to_numpy(zero_copy_only=False)
                 packed = batch.column("packed")[row].values.to_numpy(zero_copy_only=False)
-                out = fn(unpack_symmetric(packed, len(ids)))
+                given = () if argument is None else (batch.column(argument)[row].as_py(),)
+                out = fn(unpack_symmetric(packed, len(ids)), *given)
                 a, b = np.triu_indices(len(ids), 0 if diagonal else 1)
                 rows.append(np.full(len(a), row))
                 ii.append(ids[a])
