@@ -221,6 +221,34 @@ def test_equal_distances_go_to_the_smaller_neighbour(spark):
     assert [r["neighbour"] for r in got] == [1, 3, 5]
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles of 24 partitions that are not merged, as on larger tables."""
+    set_to = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in set_to}
+    for k, v in set_to.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_every_block_pair_meets_in_many_partitions(spark, rng, many_partitions, monkeypatch):
+    import reliaspan.operators.cluster as cluster
+
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 16)
+    x = rng.normal(size=(90, 3))
+    x[30:60] = x[:30]  # copies: distance 0, and all others at equal distance to both
+    rows = spark.createDataFrame([(k, k % 2, [float(v) for v in x[k]]) for k in range(90)], "subject_id long, cluster int, vec array<double>")
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    got = nearest_neighbours(rows.drop("cluster"), 4).orderBy("subject_id", "distance", "neighbour").collect()
+    assert [(r["subject_id"], r["neighbour"]) for r in got] == [(k, int(n)) for k in range(90) for n in np.argsort(d[k], kind="stable")[:4]]
+    assert all(r["distance"] == 0.0 for r in got if {r["subject_id"] % 30, r["neighbour"] % 30} == {r["subject_id"] % 30} and max(r["subject_id"], r["neighbour"]) < 60)
+    vectors = spark.createDataFrame([(k, [float(v) for v in rng.normal(size=8)]) for k in range(90)], "subject_id long, vec array<double>")
+    assert {r["rank"] for r in fingerprint_ranks(vectors, vectors.selectExpr("subject_id", "transform(vec, v -> -v) AS vec"), block_rows=16).collect()} == {90}
+
+
 def test_subjects_with_text_ids_are_laid_end_to_end(spark):
     ids = [f"sub-{k:02d}" for k in range(20)]
     subjects = spark.createDataFrame([(s, 1 + k % 3) for k, s in enumerate(ids)], "subject_id string, n_rows long")
