@@ -19,13 +19,17 @@ BUCKETS = 1024
 
 
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], bucket: Column, name: str = "rn") -> DataFrame:
-    """1-based position of each row within ``by``; ``bucket`` must rise with the leading order column."""
+    """1-based position of each row within ``by``; ``bucket`` must rise with the leading order column.
+
+    There are as many bucket counts as groups times buckets, so they are merged with the rows, which the
+    window leaves partitioned and sorted for it; a broadcast of them would grow with the groups.
+    """
     by = list(by)
     marked = df.withColumn("_bkt", bucket)
     before = _offsets(marked, by)
     local = F.row_number().over(Window.partitionBy(*by, "_bkt").orderBy(*order))
     return (
-        marked.withColumn("_local", local).join(before, [*by, "_bkt"])
+        marked.withColumn("_local", local).join(before.hint("merge"), [*by, "_bkt"])
         .withColumn(name, F.col("_before") + F.col("_local")).drop("_bkt", "_local", "_before")
     )
 
@@ -47,7 +51,7 @@ def cumulate(df: DataFrame, by: Sequence[str], order: str, bucket: Column, sums:
     earlier = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     before = per.select(*by, "_bkt", *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_b_{o}") for o in sums])
     inside = Window.partitionBy(*by, "_bkt").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = marked.withColumns({f"_l_{o}": F.sum(c).over(inside) for o, c in sums.items()}).join(before, [*by, "_bkt"])
+    out = marked.withColumns({f"_l_{o}": F.sum(c).over(inside) for o, c in sums.items()}).join(before.hint("merge"), [*by, "_bkt"])
     out = out.withColumns({o: F.col(f"_l_{o}") + F.col(f"_b_{o}") for o in sums})
     return out.drop("_bkt", *[f"_l_{o}" for o in sums], *[f"_b_{o}" for o in sums])
 

@@ -2,13 +2,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reliaspan.functions.hashing import seeded_hash
 from reliaspan.operators.cluster import agreement, block_count, nearest_neighbours, silhouette, spectral_neighbour_labels
 from reliaspan.operators.cohort import balanced_allocation, lookup_strict, positional_join, site_interval
 from reliaspan.operators.evaluate import score_metrics
 from reliaspan.operators.graph import (
     best_jaccard, block_assignment, communities, connected_components, degree_variance, mark_density, modularity, small_worldness, to_adjacency,
 )
-from reliaspan.operators.ranking import exact_quantiles, number_rows, with_value_bucket
+from reliaspan.operators.ranking import exact_quantiles, number_by_hash, number_rows, with_value_bucket
 from reliaspan.operators.sampling import permuted_labels, stratified_folds
 from reliaspan.operators.similarity import fingerprint_ranks
 from reliaspan.operators.stats import adjust_p, median_subject
@@ -129,6 +130,16 @@ def test_numbering_is_a_permutation(spark):
     assert got == list(range(1, 501))
 
 
+def test_bucket_counts_of_many_groups_are_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "subjects")
+    spark.range(40).write.parquet(path)  # a small file, but groups times buckets of it are many
+    rows = spark.read.parquet(path).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    numbered = number_by_hash(rows, ["perm"], seeded_hash(F.col("id"), 7, F.col("perm")), ["id"])
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert numbered.groupBy("perm").agg(F.sum("rn").alias("s")).select("s").distinct().collect()[0]["s"] == 820
+
+
 def test_folds_and_permutations(spark):
     df = spark.createDataFrame([(i, i % 2, i % 3) for i in range(60)], "subject_id long, label int, site int")
     per = stratified_folds(df, 5, 1).groupBy("fold", "label").count().collect()
