@@ -148,6 +148,28 @@ def test_held_out_ridge_matches_refitting(spark, rng, n, block):
         assert [got[(s, i, j)] for i, j in ij] == pytest.approx(list(want), abs=1e-9)
 
 
+def test_held_out_ridge_solves_the_smaller_side(spark, rng, monkeypatch):
+    import reliaspan.operators.ridge as ridge
+
+    solved, inverse = [], ridge._inverse_columns
+
+    def counted(x, places, *rest):
+        solved.append(places.count())
+        return inverse(x, places, *rest)
+
+    monkeypatch.setattr(ridge, "_inverse_columns", counted)
+    x, y = rng.normal(size=(9, 6)), rng.normal(size=(9, 6))
+    rows = [(s, 0, e, float(x[s, e]), float(y[s, e])) for s in range(9) for e in range(6)]
+    got = held_out_ridge(spark.createDataFrame(rows, "subject_id long, i int, j int, short double, long double"), 0.7, block=4)
+    got = {(r["subject_id"], r["j"]): r["predicted"] for r in got.collect()}
+    assert solved == [6]
+    for s in range(9):
+        rest = np.arange(9) != s
+        xc, yc = x[rest] - x[rest].mean(0), y[rest] - y[rest].mean(0)
+        want = (x[s] - x[rest].mean(0)) @ np.linalg.solve(xc.T @ xc + 0.7 * np.eye(6), xc.T @ yc) + y[rest].mean(0)
+        assert [got[(s, e)] for e in range(6)] == pytest.approx(list(want), abs=1e-9)
+
+
 def test_confound_regression(spark, frames_of, rng):
     x = rng.normal(size=(40, 3))
     samples = frames_to_samples(frames_of({1: x}))
