@@ -117,12 +117,8 @@ def convergence_similarity(frames: DataFrame, tau_shorts: Sequence[float], tau_r
             bin_ = F.when(t < n + rows_in(r), F.lit(k)).otherwise(bin_)
         tags.append(F.when(ok & (t >= n) & bin_.isNotNull(), F.struct(F.lit(s).alias("tau_short"), bin_.alias("bin"))))
     tagged = frames.withColumn("_g", F.explode(F.array_compact(F.array(*tags)))).select("*", "_g.tau_short", "_g.bin").drop("_g")
-    moments = pair_moments(tagged, ["subject_id", "tau_short", "bin"], norm=True)
-    run = Window.partitionBy("subject_id", "tau_short", "i", "j", F.col("bin") < 0).orderBy("bin").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    grown = moments.withColumns({c: F.sum(c).over(run) for c in ("n", "si", "sj", "sii", "sjj", "sij")})
     keys = ["subject_id", "tau_short", "bin"]
+    grown = pair_moments(tagged, keys, norm=True, cumulate=True)
     edges = shrunk_edges(grown, keys).withColumn("r", fisher_z("r"))
     w = Window.partitionBy("subject_id", "tau_short", "i", "j")
     short = F.max(F.when(F.col("bin") < 0, F.col("r"))).over(w)
