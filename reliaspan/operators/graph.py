@@ -251,19 +251,24 @@ def communities(marked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     first = member.groupBy(*keys, "community").agg(F.min("node").alias("_first"))
     number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first")) - 1  # no more rows than communities of a network
     first = first.withColumn("_number", number.cast("int"))
-    return member.join(first, [*keys, "community"]).select(*keys, "node", F.col("_number").alias("community"))
+    return _beside(member, first, [*keys, "community"]).select(*keys, "node", F.col("_number").alias("community"))
+
+
+def _beside(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join whose sides meet in the tasks. Written tables look small, and a broadcast of one in each of many steps adds up on the driver."""
+    return left.join(right.hint("merge"), list(on), how)
 
 
 def _renamed(member: DataFrame, placed: DataFrame, keys: list[str], by: str) -> DataFrame:
     """member with the communities that `placed` gives to its column `by`; others stay."""
     new = placed.select(*keys, F.col("node").alias(by), F.col("community").alias("_c"))
-    return _written(member.join(new, [*keys, by], "left").select(*keys, "node", F.coalesce("_c", "community").alias("community")))
+    return _written(_beside(member, new, [*keys, by], "left").select(*keys, "node", F.coalesce("_c", "community").alias("community")))
 
 
 def _merged(graph: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
     """The graph whose nodes are the communities of another."""
     label = lambda side: placed.select(*keys, F.col("node").alias(side), F.col("community").alias(f"c_{side}"))
-    ends = graph.join(label("src"), [*keys, "src"]).join(label("dst"), [*keys, "dst"])
+    ends = _beside(_beside(graph, label("src"), [*keys, "src"]), label("dst"), [*keys, "dst"])
     return _written(ends.groupBy(*keys, F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
 
 
@@ -275,20 +280,20 @@ def _local_moves(graph: DataFrame, keys: list[str], member: DataFrame | None = N
     """
     strength = _written(graph.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("w").alias("k")))
     total = strength.groupBy(*keys).agg(F.sum("k").alias("m2"))
-    placed = strength.join(total, keys)
-    placed = placed.withColumn("community", F.col("node")) if member is None else placed.join(member, [*keys, "node"])
+    placed = _beside(strength, total, keys)
+    placed = placed.withColumn("community", F.col("node")) if member is None else _beside(placed, member, [*keys, "node"])
     placed = _written(placed.select(*keys, "node", "k", "m2", "community"))
     steps = graph.filter("src <> dst")
     moved = False
     while True:
         load = placed.groupBy(*keys, "community").agg(F.sum("k").alias("load"))
-        near = steps.join(placed.select(*keys, F.col("node").alias("dst"), "community"), [*keys, "dst"]).select(*keys, F.col("src").alias("node"), "community", "w")
+        near = _beside(steps, placed.select(*keys, F.col("node").alias("dst"), "community"), [*keys, "dst"]).select(*keys, F.col("src").alias("node"), "community", "w")
         near = near.unionByName(placed.select(*keys, "node", "community", F.lit(0.0).alias("w")))
-        links = near.groupBy(*keys, "node", "community").agg(F.sum("w").alias("links")).join(load, [*keys, "community"])
+        links = _beside(near.groupBy(*keys, "node", "community").agg(F.sum("w").alias("links")), load, [*keys, "community"])
         own = placed.select(*keys, "node", "k", "m2", F.col("community").alias("own"))
         at_home = F.col("community") == F.col("own")
         gain = F.col("links") - F.col("k") * (F.col("load") - F.when(at_home, F.col("k")).otherwise(0.0)) / F.col("m2")
-        options = links.join(own, [*keys, "node"]).withColumn("gain", F.round(gain, 9))
+        options = _beside(links, own, [*keys, "node"]).withColumn("gain", F.round(gain, 9))
         best = options.groupBy(*keys, "node").agg(
             F.max(F.struct("gain", (-F.col("community")).alias("_c"))).alias("b"), F.max(F.when(at_home, F.col("gain"))).alias("now"), F.max("own").alias("own")
         )
@@ -299,8 +304,8 @@ def _local_moves(graph: DataFrame, keys: list[str], member: DataFrame | None = N
         moved = True
         touched = wish.select(*keys, F.explode(F.array("from", "to")).alias("c"), "rank").groupBy(*keys, "c").agg(F.max("rank").alias("top"))
         side = lambda c: touched.select(*keys, F.col("c").alias(c), F.col("top").alias(f"top_{c}"))
-        chosen = wish.join(side("from"), [*keys, "from"]).join(side("to"), [*keys, "to"]).filter((F.col("rank") == F.col("top_from")) & (F.col("rank") == F.col("top_to")))
-        placed = _written(placed.join(chosen.select(*keys, "node", "to"), [*keys, "node"], "left").select(*keys, "node", "k", "m2", F.coalesce("to", "community").alias("community")))
+        chosen = _beside(_beside(wish, side("from"), [*keys, "from"]), side("to"), [*keys, "to"]).filter((F.col("rank") == F.col("top_from")) & (F.col("rank") == F.col("top_to")))
+        placed = _written(_beside(placed, chosen.select(*keys, "node", "to"), [*keys, "node"], "left").select(*keys, "node", "k", "m2", F.coalesce("to", "community").alias("community")))
 
 
 def best_jaccard(reference: DataFrame, predicted: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
