@@ -351,24 +351,32 @@ def _open(path: str) -> PieceModel:
     return model(path if path.startswith("/") else SparkFiles.get(path))
 
 
-def encode(docs: DataFrame, path: str, keep: list[Column], text: str = "text") -> DataFrame:
-    """The `keep` columns with `ids` (array of int) for each row; NULL and empty texts give an empty array."""
+def encode(docs: DataFrame, path: str, keep: list[Column], text: str = "text", decoded: str | None = None) -> DataFrame:
+    """The `keep` columns with `ids` (array of int) for each row; NULL and empty texts give an empty array.
+
+    With `decoded` a column of that name holds the text that the ids decode to, made by the same worker: a second
+    step would hold a second model beside each of the first.
+    """
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _open(path)
         for b in batches:
-            start, ends, ids = 0, [0], array("i")
+            start, ends, ids, texts = 0, [0], array("i"), []
             for k, x in enumerate(b.column(b.num_columns - 1), 1):
-                ids.extend(m.encode(x.as_py() or ""))
+                found = m.encode(x.as_py() or "")
+                ids.extend(found)
                 ends.append(len(ids))
+                if decoded:
+                    texts.append(m.decode(found))
                 if len(ids) >= BATCH_IDS or k == b.num_rows:
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*(c.slice(start, k - start) for c in b.columns[:-1]), lists], [*b.schema.names[:-1], "ids"])
-                    start, ends, ids = k, [0], array("i")
+                    more = [pa.array(texts, pa.string())] if decoded else []
+                    yield pa.RecordBatch.from_arrays([*(c.slice(start, k - start) for c in b.columns[:-1]), lists, *more], [*b.schema.names[:-1], "ids", *([decoded] if decoded else [])])
+                    start, ends, ids, texts = k, [0], array("i"), []
 
-    return rows.mapInArrow(run, f"{schema}, ids array<int>")
+    return rows.mapInArrow(run, f"{schema}, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str, keep: list[Column], ids: str = "ids") -> DataFrame:
