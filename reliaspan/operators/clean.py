@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reliaspan.operators.connectivity import KEYS
+from reliaspan.session import spread
 
 
 def channel_spread(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -61,18 +62,20 @@ def length_status(lengths: DataFrame, n_short: Column, tr: Column, min_ref_sec:
 
 
 def densify(samples: DataFrame, n_rows: int, channels: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Every (channel, t) of every key, missing cells as 0. Grid rows are generated, not joined."""
+    """Every (channel, t) of every key, missing cells as 0. Grid rows are generated, not joined.
+
+    The keys are spread before they become grid rows, as few small partitions would make all of these, and the cells
+    before they are added up, so that a task holds its own share of them only.
+    """
     grid = (
-        samples.select(*keys)
-        .distinct()
+        spread(samples.select(*keys).distinct(), *keys)
         .withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
         .withColumn("value", F.lit(0.0))
     )
     cols = [*keys, "channel", "t", "value"]
-    return samples.select(*cols).unionByName(grid.select(*cols)).groupBy(*keys, "channel", "t").agg(
-        F.sum("value").alias("value")
-    )
+    cells = spread(samples.select(*cols).unionByName(grid.select(*cols)), *keys, "channel", "t")
+    return cells.groupBy(*keys, "channel", "t").agg(F.sum("value").alias("value"))
 
 
 def drop_censored_rows(wide: DataFrame, values: Sequence[str], any_missing: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
