@@ -48,9 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each text, and the text that they decode to."""
-    encoded = piece_bpe.encode(docs, PIECES, [F.col("doc_id"), F.col("source")])
-    decoded = piece_bpe.decode(encoded, PIECES, [F.col("doc_id"), F.col("source"), F.col("ids")])
-    return decoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumnRenamed("text", "decoded")
+    coded = piece_bpe.encode(docs, PIECES, [F.col("doc_id"), F.col("source")], decoded="decoded")
+    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
