@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import reliaspan.operators.blocks as blocks
 import reliaspan.operators.cluster as cluster
 from reliaspan.operators.cluster import nearest_neighbours, silhouette
+from reliaspan.operators.similarity import fingerprint_ranks
 
 
 def plan(df):
@@ -60,3 +61,13 @@ def test_vectors_are_not_shuffled_for_a_pair_of_blocks(points, small_blocks, mon
     for out in (nearest_neighbours(rows.drop("cluster"), 5), silhouette(rows)):
         assert "CartesianProduct" in plan(out) and "CoGroups" not in plan(out)
     assert returned[0].groupBy("subject_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] <= 2 * 5  # groups x k, of 19 blocks
+
+
+def test_fingerprints_of_copies_are_equal_and_not_shuffled(spark, rng, small_blocks):
+    x = rng.normal(size=(60, 66))
+    x[20:] = x[np.arange(40) % 20]  # three copies of each: their similarities are equal but for rounding
+    mk = lambda m: spark.createDataFrame([(k, [float(v) for v in m[k]]) for k in range(len(m))], "subject_id long, vec array<double>")
+    short = x + 0.3 * rng.normal(size=(20, 66))[np.arange(60) % 20]
+    out = fingerprint_ranks(mk(short), mk(x), block_rows=7)
+    assert {r["rank"] for r in out.collect()} == {1}
+    assert "CartesianProduct" in plan(out) and "CoGroups" not in plan(out)
