@@ -16,10 +16,13 @@ from pyspark.sql import types as T
 from reliaspan.functions.hashing import HASH_RANGE, seeded_hash
 from reliaspan.functions.reliability import as_col
 from reliaspan.operators.connectivity import KEYS
-from reliaspan.operators.kernels import scalar_kernel
+from reliaspan.operators.kernels import scalar_kernel, small_world_kernel
 from reliaspan.operators.ranking import number_rows
 from reliaspan.session import ensure_checkpoint_dir, spread
 
+#: Pairs of a network, all of its nodes with each other, up to which it is one row: 64 nodes.
+PACKED_PAIRS = 64 * 63 // 2
+
 
 def density_threshold(edges: DataFrame, density: float = 0.15, keys: Sequence[str] = KEYS) -> DataFrame:
     """Keep the edges with |r| at or above the (1 - density) quantile of the subject (ties kept)."""
@@ -187,11 +190,26 @@ def small_worldness(marked: DataFrame, seed: int = 42, keys: Sequence[str] = KEY
 
     One reference graph per network: a pair of its nodes is an edge if the pair's seeded uniform number
     is below the component's density; of that graph, too, the largest component counts. A reference without
-    triangles or paths counts as equal. NULL below three nodes. Paths of both graphs of all networks
-    are found by one frontier search.
+    triangles or paths counts as equal. NULL below three nodes. Networks of at most PACKED_PAIRS pairs are
+    a row each and measured in one pass; the larger ones are tables and advance together.
     """
+    keys = list(keys)
+    sized = _cut(marked.select(*keys, "i", "j", "kept"))
+    sized = sized.join(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs")).hint("merge"), keys)
+    small, large = sized.filter(F.col("_pairs") <= PACKED_PAIRS), sized.filter(F.col("_pairs") > PACKED_PAIRS).drop("_pairs")
+    u = seeded_hash(*[F.col(k) for k in keys], seed, F.col("i"), F.col("j")) / HASH_RANGE
+    pair = F.collect_list(F.struct("i", "j", F.coalesce("kept", F.lit(False)).alias("kept"), u.alias("u")))
+    packed = small.groupBy(*keys).agg(pair.alias("_pair")).select(*keys, *[F.col(f"_pair.{c}").alias(c) for c in ("i", "j", "kept", "u")])
+    fields = [packed.schema[k] for k in keys] + [T.StructField("n_nodes", T.IntegerType())]
+    fields += [T.StructField(c, T.DoubleType()) for c in ("clustering", "path_length", "sigma")]
+    out = packed.mapInArrow(small_world_kernel(keys), T.StructType(fields))
+    return out if large.isEmpty() else out.unionByName(_small_worldness_tables(large, seed, keys))
+
+
+def _small_worldness_tables(marked: DataFrame, seed: int, keys: Sequence[str]) -> DataFrame:
+    """small_worldness of networks of any size. Paths of both graphs of all networks are found by one frontier search."""
     keys, graph = list(keys), [*keys, "graph"]
-    marked = _cut(marked.select(*keys, "i", "j", "kept"))
+    marked = _cut(marked)
     nodes = edge_nodes(marked, keys)
     kept = marked.filter("kept").select(*keys, "i", "j")
     main = _cut(largest_component(connected_components(to_adjacency(kept, keys), nodes, keys), keys))
