@@ -291,6 +291,16 @@ def test_rules_are_learned_and_applied(spark):
     assert decision_list.learn([{**zero, "bad": k % 2 == 0} for k in range(200)]) == []
 
 
+def test_rules_count_every_label(spark):
+    good = "the quick brown fox jumps over one lazy dog while others sleep"
+    rows = spark.range(60_000).selectExpr("id AS doc_id", f"concat('{good}', IF(id % 6000 = 7, '!!!!', '')) AS text", "IF(id % 6000 = 7, 0, 1) AS quality")
+    rules = decision_list.fit(rows, rows)
+    assert [(c.statistic, c.above) for rule in rules for c in rule] in ([("bang_share", True)], [("word_chars_mean", True)])
+    table = rows.selectExpr("doc_id % 6000 = 7 AS bad", "doc_id % 3 = 0 AS prune", *[f"CAST({'hash(doc_id)' if s == 'n_words' else 'doc_id % 6000 = 7'} AS double) AS {s}" for s in decision_list.STATISTICS])
+    at_hand = [r.asDict() for r in table.orderBy("n_words").collect()]
+    assert len(decision_list.learn_table(table)) == len(decision_list.learn(at_hand)) == 1
+
+
 def test_rules_from_given_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
