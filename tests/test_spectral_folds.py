@@ -6,12 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reliaspan.operators import spectral
 from reliaspan.operators.cluster import spectral_neighbour_labels
 from reliaspan.operators.cohort import with_each
 from reliaspan.operators.edges import shrunk_covariances, tangent_edges, tangent_fold_edges
 from reliaspan.operators.graph import parse_networks
 from reliaspan.operators.spectral import embedding, leading_vectors
-from reliaspan.session import ensure_checkpoint_dir
+from reliaspan.session import ensure_checkpoint_dir, materialise
 
 
 def test_leading_vectors_equal_numpy(spark, rng):
@@ -32,6 +33,23 @@ def test_leading_vectors_equal_numpy(spark, rng):
     assert np.allclose(place["n7"], x[7] / np.sqrt(d[7]))
 
 
+def test_rounds_shuffle_nothing(spark, rng, monkeypatch):
+    plans = []
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df)
+
+    monkeypatch.setattr(spectral, "materialise", recorded)
+    net = spark.createDataFrame([(i, int(j), 1.0) for i in range(100) for j in {(i + 1) % 100, *rng.integers(0, 100, 5)} - {i}], "u long, v long, w double")
+    s = leading_vectors(net, 2, settled=1e-2)
+    assert s.rounds > 1 and len(plans) > 2 * s.rounds and not any("Exchange" in p for p in plans[3:])
+    monkeypatch.setattr(spectral, "NUMBERS", 600)  # several groups of blocks for a product
+    again = leading_vectors(net, 2, settled=1e-2)
+    # neither is exact: each value is within its residual of a true one
+    assert np.all(np.abs(s.values - again.values) <= s.residuals + again.residuals + 1e-12) and again.vectors.count() == 100
+
+
 def test_small_split_and_empty_networks(spark):
     two = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (8, 9, 1.0), (8, 9, 1.0)], "u long, v long, w double")
     s = leading_vectors(two, 2)  # one part each: the value 1 comes twice
