@@ -437,7 +437,8 @@ def curves(spark, sf_dir):
       WHERE r1 IS NOT NULL AND (0.05 >= r OR k = 1) AND (0.05 < r1 OR k = last) GROUP BY 1""",
 )
 def equivalent_duration_query(spark, sf_dir):
-    return equivalent_duration(curves(spark, sf_dir), "duration", "r", F.lit(0.05), ["subject_id"]).select("subject_id", r6("target"), r6(F.round("equivalent", 9), "equivalent"))  # halves of the last digit stay halves
+    # as the SQL compares: averages in table order, to the last digit
+    return equivalent_duration(curves(spark, sf_dir), "duration", "r", F.lit(0.05), ["subject_id"], noise=0.0).select("subject_id", r6("target"), r6(F.round("equivalent", 9), "equivalent"))  # halves of the last digit stay halves
 
 
 @query(
@@ -447,7 +448,7 @@ def equivalent_duration_query(spark, sf_dir):
       SELECT subject_id, {q6('arg_min(duration + d / (d - n) * (nd - duration), duration)', 'crossover')} FROM SG WHERE d >= 0 AND n < 0 GROUP BY 1""",
 )
 def crossover_query(spark, sf_dir):
-    return crossover(curves(spark, sf_dir), "duration", "r", "rho", ["subject_id"]).select("subject_id", r6(F.round("crossover", 9), "crossover"))
+    return crossover(curves(spark, sf_dir), "duration", "r", "rho", ["subject_id"], noise=0.0).select("subject_id", r6(F.round("crossover", 9), "crossover"))
 
 
 @query(

@@ -181,29 +181,30 @@ def run_summary(runs: DataFrame, keys: Sequence[str], metrics: Sequence[str], p_
 NOISE = 1e-12
 
 
-def _settled(difference: Column) -> Column:
-    return F.when(F.abs(difference) <= NOISE, 0.0).otherwise(difference)
+def _settled(difference: Column, noise: float) -> Column:
+    return F.when(F.abs(difference) <= noise, 0.0).otherwise(difference)
 
 
-def equivalent_duration(curve: DataFrame, duration: str, r: str, target: Column, by: Sequence[str] = ()) -> DataFrame:
+def equivalent_duration(curve: DataFrame, duration: str, r: str, target: Column, by: Sequence[str] = (), noise: float = NOISE) -> DataFrame:
     """(by, target, duration): duration at which the observed curve reaches the target similarity.
 
     Piecewise linear in (r, duration) sorted by r, extrapolating with the end segments. Values of r that
-    are equal but for rounding noise go by duration. A curve has one row per duration, so its window is short.
+    are equal but for rounding noise go by duration; with noise 0 values are compared as they are. A curve has
+    one row per duration, so its window is short.
     """
-    w = Window.partitionBy(*by).orderBy(F.round(r, 12), duration)
+    w = Window.partitionBy(*by).orderBy(F.round(r, 12) if noise else r, duration)
     seg = curve.withColumn("r1", F.lead(r).over(w)).withColumn("d1", F.lead(duration).over(w)).withColumn("_k", F.row_number().over(w))
     seg = seg.withColumn("_last", F.max("_k").over(Window.partitionBy(*by)) - 1).filter("r1 IS NOT NULL").withColumn("_t", target)
     t, lo, hi, k = F.col("_t"), F.col(r), F.col("r1"), F.col("_k")
-    inside = ((_settled(t - lo) >= 0) | (k == 1)) & ((_settled(t - hi) < 0) | (k == F.col("_last")))
-    value = F.col(duration) + F.try_divide(_settled(t - lo), _settled(hi - lo)) * (F.col("d1") - F.col(duration))
+    inside = ((_settled(t - lo, noise) >= 0) | (k == 1)) & ((_settled(t - hi, noise) < 0) | (k == F.col("_last")))
+    value = F.col(duration) + F.try_divide(_settled(t - lo, noise), _settled(hi - lo, noise)) * (F.col("d1") - F.col(duration))
     return seg.filter(inside).groupBy(*by).agg(F.max("_t").alias("target"), F.max(value).alias("equivalent"))
 
 
-def crossover(curve: DataFrame, duration: str, above: str, below: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, crossover): first duration at which ``above`` falls below ``below``, interpolated."""
+def crossover(curve: DataFrame, duration: str, above: str, below: str, by: Sequence[str] = (), noise: float = NOISE) -> DataFrame:
+    """(by, crossover): first duration at which ``above`` falls below ``below``, interpolated; differences up to ``noise`` are none."""
     w = Window.partitionBy(*by).orderBy(duration)
-    diff = _settled(F.col(above) - F.col(below))
+    diff = _settled(F.col(above) - F.col(below), noise)
     seg = curve.withColumn("_d", diff).withColumn("_n", F.lead(diff).over(w)).withColumn("_next", F.lead(duration).over(w))
     hit = seg.filter((F.col("_d") >= 0) & (F.col("_n") < 0))
     at = F.col(duration) + F.col("_d") / (F.col("_d") - F.col("_n")) * (F.col("_next") - F.col(duration))
