@@ -10,6 +10,7 @@ from reliaspan.catalog.fixtures import segment_pairs, with_attributes
 from reliaspan.catalog.registry import q6, query, r6
 from reliaspan.catalog.sqlparts import SHORT, corr_expr, hash_sql, pearson, with_panel
 from reliaspan.operators.connectivity import fc_edges, moment_corr
+from reliaspan.operators.permutations import permuted_codes, permuted_sums
 from reliaspan.operators.similarity import (
     adjacent_window_similarity, condition_numbers, edge_agreement, edge_quartiles, error_metrics, fingerprint_ranks, fingerprint_summary,
     pack_vectors, spearman, tertile_correlation, window_correlation, window_icc,
@@ -20,7 +21,7 @@ from reliaspan.operators.stats import (
     improvement_counts, kernel_density, marginal_gain, median_subject, monotone, paired_t, permutation_p, quartile_summary,
     regression_line, representative_subject, run_summary,
 )
-from reliaspan.operators.sampling import permuted_labels
+from reliaspan.session import materialise
 from reliaspan.sources.panels import lineitem_frames, read_table
 
 PAIR = [SHORT, pearson("SHORT", "A", constant="0"), pearson("S", "B", constant="0"), """
@@ -400,10 +401,10 @@ def _perm(spark, sf_dir, within):
         F.col("vec_id").alias("subject_id"), (F.col("label") % 2).cast("int").alias("label"), (F.col("vec_id") % 3).cast("int").alias("site"),
         (F.col("embedding")[0] + F.col("embedding")[1]).alias("score"),
     )
-    stat = F.abs(F.avg(F.when(F.col("label") == 1, F.col("score"))) - F.avg(F.when(F.col("label") == 0, F.col("score")))).alias("stat")
-    perms = permuted_labels(rows, PERMUTATIONS, 7, within=["site"] if within else [])
-    nulls = perms.join(rows.select("subject_id", "score"), "subject_id").groupBy("perm").agg(stat)
-    return permutation_p(rows.agg(stat), nulls, "stat").select(r6("observed"), r6("p"))
+    packed, codes = permuted_codes(rows, PERMUTATIONS, 7, within=["site"] if within else [], extra=["score"])
+    mean = lambda c: F.max(F.when((F.col("label") == c) & (F.col("n") > 0), F.col("total") / F.col("n")))
+    stats = materialise(permuted_sums(packed, codes, "score").groupBy("perm").agg(F.abs(mean(1) - mean(0)).alias("stat")))
+    return permutation_p(stats.filter("perm = 0").agg(F.max("stat").alias("stat")), stats.filter("perm > 0"), "stat").select(r6("observed"), r6("p"))
 
 
 @query("permutation_p", _perm_sql(False))

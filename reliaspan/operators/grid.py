@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliaspan.functions.hashing import seeded_hash
-from reliaspan.operators.cluster import agreement, best_flip_accuracy
+from reliaspan.operators.cluster import contingency, counted_agreement, counted_flip_accuracy
 from reliaspan.operators.evaluate import fold_covariates, gate_rows, reliability_weight, score_metrics
+from reliaspan.operators.permutations import permuted_codes, permuted_counts
 from reliaspan.operators.ranking import number_by_hash
 from reliaspan.operators.sampling import balanced_downsample, permuted_labels
 from reliaspan.operators.stats import permutation_p
@@ -316,18 +317,17 @@ def run_grid(
 def clustering_p(labels: DataFrame, n_perm: int, seed: int, within: Sequence[str] = (), truth: str = "label", cluster: str = "cluster", key: str = "subject_id") -> DataFrame:
     """(metric, observed, p) for ari, nmi and balanced_acc of a clustering against permuted truths, free or within sites.
 
-    All permutations are scored from one contingency table keyed by permutation; nulls that are not
-    finite are left out. No rows give no rows.
+    All permutations are scored from one contingency table keyed by permutation, counted from packed labels; nulls
+    that are not finite are left out. No rows give no rows.
     """
     metrics = ("ari", "nmi", "balanced_acc")
 
-    def scored(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-        return agreement(rows, truth, cluster, by).join(best_flip_accuracy(rows, truth, cluster, by), list(by)).select(*by, *metrics)
+    def long(cell: DataFrame, by: Sequence[str]) -> DataFrame:
+        scored = counted_agreement(cell, truth, cluster, by).join(counted_flip_accuracy(cell, truth, cluster, by), list(by))
+        return scored.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("e")).select(*by, "e.metric", "e.value")
 
-    def long(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-        return rows.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("e")).select(*by, "e.metric", "e.value")
-
-    perms = permuted_labels(labels.select(key, truth, *within), n_perm, seed, truth, key, within).select("perm", key, truth)
-    nulls = long(scored(perms.join(labels.select(key, cluster), key), ["perm"]), ["perm"])
-    observed = long(scored(labels.withColumn("one", F.lit(1)), ["one"]), ["one"]).drop("one")
+    packed, codes = permuted_codes(labels, n_perm, seed, truth, key, within, [cluster])
+    cell = materialise(permuted_counts(packed, codes, cluster, truth))
+    nulls = long(cell.filter("perm > 0"), ["perm"])
+    observed = long(contingency(labels.withColumn("one", F.lit(1)), truth, cluster, ["one"]), ["one"]).drop("one")
     return permutation_p(observed, nulls, "value", ["metric"])

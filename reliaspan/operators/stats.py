@@ -14,6 +14,10 @@ from reliaspan.operators.ranking import cumulate, exact_quantiles, number_rows,
 from reliaspan.session import ensure_checkpoint_dir
 
 
+#: Differences of averaged values up to this are rounding noise, whose sign follows the order of summation.
+NOISE = 1e-12
+
+
 def difference_stationarity(series: DataFrame, keys: Sequence[str] = KEYS, order: str = "window_id", value: str = "r") -> DataFrame:
     """(keys, i, j, p): pseudo p from the lag-1 autocorrelation of first differences.
 
@@ -153,7 +157,7 @@ def adjust_p(tests: DataFrame, p: str, family: Sequence[str]) -> DataFrame:
 
 
 def permutation_p(observed: DataFrame, nulls: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, observed, p): (1 + #{null >= observed})/(n + 1) over the finite nulls."""
+    """(by, observed, p): (1 + #{null >= observed})/(n + 1) over the finite nulls; values that are equal but for rounding noise are ties."""
     by = list(by)
     obs = observed.select(*by, F.col(metric).alias("observed"))
     if by:
@@ -161,7 +165,7 @@ def permutation_p(observed: DataFrame, nulls: DataFrame, metric: str, by: Sequen
     else:
         both = nulls.withColumn("observed", F.lit(obs.first()["observed"]))
     finite = F.col(metric).isNotNull() & ~F.isnan(metric)
-    hits = F.count(F.when(finite & (F.col(metric) >= F.col("observed")), 1))
+    hits = F.count(F.when(finite & (F.col(metric) >= F.col("observed") - NOISE), 1))
     return both.groupBy(*by, "observed").agg(((hits + 1) / (F.count(F.when(finite, 1)) + 1)).alias("p"))
 
 
@@ -177,10 +181,6 @@ def run_summary(runs: DataFrame, keys: Sequence[str], metrics: Sequence[str], p_
     return runs.groupBy(*keys).agg(*aggs)
 
 
-#: Differences of averaged values up to this are rounding noise, whose sign follows the order of summation.
-NOISE = 1e-12
-
-
 def _settled(difference: Column, noise: float) -> Column:
     return F.when(F.abs(difference) <= noise, 0.0).otherwise(difference)
 
