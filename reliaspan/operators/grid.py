@@ -5,8 +5,9 @@ the rows adds up what their fits need (sums and products of features, never more
 feature dimension for a split), a small step per split solves, and a pass scores the rows. So neither a
 cohort nor a cell is gathered in one task, and there are no driver jobs per cell.
 
-Permuted label vectors are columns beside the observed labels. The discriminant's scatter matrix does
-not depend on labels, so one factorisation of a split serves all its columns.
+Permuted label vectors are packed columns beside the observed labels. The discriminant's scatter matrix does
+not depend on labels, so one factorisation of a split serves all its columns; what it scores for permuted
+labels stays in the task that measures it.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from reliaspan.functions.hashing import seeded_hash
 from reliaspan.operators.cluster import contingency, counted_agreement, counted_flip_accuracy
 from reliaspan.operators.evaluate import fold_covariates, gate_rows, reliability_weight, score_metrics
-from reliaspan.operators.permutations import permuted_codes, permuted_counts
+from reliaspan.operators.permutations import CELLS, HELD_BYTES, Codes, permuted_codes, permuted_counts
 from reliaspan.operators.ranking import number_by_hash
-from reliaspan.operators.sampling import balanced_downsample, permuted_labels
+from reliaspan.operators.sampling import balanced_downsample
 from reliaspan.operators.stats import permutation_p
 from reliaspan.operators.sums import add_up
 from reliaspan.session import materialise
@@ -171,17 +172,22 @@ def reduced(rows: DataFrame, variance: float = 0.9) -> DataFrame:
     return materialise(_applied(rows, fitted, size, ["vec", "cov"], project, "z").drop("vec", "cov", "width"))
 
 
-def discriminant(rows: DataFrame, columns: int = 0) -> DataFrame:
-    """Test rows with `scores`: of the observed labels, then of the `columns` permuted ones in `permuted`.
+def discriminant(rows: DataFrame, codes: Codes | None = None) -> tuple[DataFrame, DataFrame]:
+    """(test rows with `scores`, one number of the observed labels; the fits of all label columns, observed first).
 
     The direction is (S + shrink)^-1 (mean of class 1 - mean of class 0) with the weighted total scatter S
     of a split's training rows, the cut half-way between the means. A label column with one class in training scores NaN.
     """
 
     def part(_, z, label, w, permuted):
-        x, w = _matrix(z), w.to_numpy()[:, None]
-        y = np.hstack([label.to_numpy().astype(float)[:, None], _matrix(permuted)]) if columns else label.to_numpy().astype(float)[:, None]
-        return [w.sum(keepdims=True), (w * x).sum(0), (w * x).T @ x, (w * y).sum(0), (w * x).T @ y]
+        x, w, own = _matrix(z), w.to_numpy()[:, None], label.to_numpy().astype(float)[:, None]
+        out = [w.sum(keepdims=True), (w * x).sum(0), (w * x).T @ x, 0.0, 0.0]
+        step = max(1, CELLS // (1 + codes.n_perm if codes else 1))
+        for s in (slice(i, i + step) for i in range(0, len(x), step)):
+            y = np.hstack([own[s], _classes(codes, permuted[s])]) if codes else own[s]
+            out[3] = out[3] + (w[s] * y).sum(0)
+            out[4] = out[4] + (w[s] * x[s]).T @ y
+        return out
 
     sums = materialise(add_up(rows.filter("is_train"), ["z", "label", "w", "permuted"], part, ["n", "total", "squares", "ones", "moments"]))
 
@@ -200,12 +206,98 @@ def discriminant(rows: DataFrame, columns: int = 0) -> DataFrame:
                 level = max(np.trace(s) / p, 1e-300)
                 factor = np.linalg.cholesky(s + SHRINK * level * np.eye(p))
                 w = np.linalg.solve(factor.T, np.linalg.solve(factor, up - down))
-                out.append((w, -(w * (up + down) / 2).sum(0)))
-            yield pa.RecordBatch.from_arrays([b.column("split"), *(pa.array([o[i].tobytes() for o in out], pa.binary()) for i in (0, 1))], ["split", "w", "c"])
+                c = -(w * (up + down) / 2).sum(0)
+                out.append((np.ascontiguousarray(w[:, 0]), c[:1], w, c))
+            yield pa.RecordBatch.from_arrays([b.column("split"), *(pa.array([o[i].tobytes() for o in out], pa.binary()) for i in range(4))], ["split", "w0", "c0", "w", "c"])
 
-    fitted = materialise(sums.mapInArrow(solve, "split long, w binary, c binary"))
-    size = fitted.agg(F.max(F.length("w") + F.length("c"))).first()[0] or 1
-    return _applied(rows.filter("NOT is_train"), fitted, size, ["z"], lambda m, z: _matrix(z) @ m[0].reshape(-1, len(m[1])) + m[1], "scores")
+    fitted = materialise(sums.mapInArrow(solve, "split long, w0 binary, c0 binary, w binary, c binary"))
+    own = fitted.select("split", "w0", "c0")
+    size = own.agg(F.max(F.length("w0") + F.length("c0"))).first()[0] or 1
+    return _applied(rows.filter("NOT is_train"), own, size, ["z"], lambda m, z: (_matrix(z) @ m[0] + m[1])[:, None], "scores"), fitted
+
+
+def _classes(codes: Codes, permuted: pa.Array, first: int = 0, last: int | None = None) -> np.ndarray:
+    return np.array(codes.classes, float)[codes.unpack(permuted, first, last)]
+
+
+def _curve(score: np.ndarray, label: np.ndarray) -> tuple:
+    """The numbers of `score_metrics` for one run, None each with a single class."""
+    p, q = int((label == 1).sum()), int((label == 0).sum())
+    if not p or not q:
+        return None, None, None
+    right = ((score[label == 1] > 0).sum() / p + (score[label == 0] <= 0).sum() / q) / 2
+    order = np.argsort(-score)
+    starts = np.flatnonzero(np.diff(score[order], prepend=np.nan) != 0)
+    pos, neg = (np.add.reduceat((label[order] == c).astype(float), starts) for c in (1, 0))
+    tp, fp = np.cumsum(pos), np.cumsum(neg)
+    return right, (pos * (q - fp + 0.5 * neg)).sum() / (p * q), (pos * tp / (tp + fp)).sum() / p
+
+
+def permuted_metrics(tests: DataFrame, fitted: DataFrame, numbered: DataFrame, codes: Codes) -> DataFrame:
+    """(stratum, repeat, kind, perm, balanced_acc, roc_auc, auprc) of every permuted label column over the test rows of a cell.
+
+    The test rows of a cell are stored in blocks; a task takes a chunk of permutations with their fits, reads the blocks of a
+    cell where they lie, and scores, sorts and measures. A task holds HELD_BYTES of scores or those of one permutation,
+    and scores are never rows.
+    """
+    places = materialise(numbered.select("stratum", "repeat", "kind").distinct().withColumn("cell", F.monotonically_increasing_id()))
+    rows = tests.select("split", "z", "permuted").join(numbered, "split").join(places, ["stratum", "repeat", "kind"]).select("cell", "split", "z", "permuted")
+
+    def pack(batches):
+        for b in batches:
+            which = b.column(1).to_numpy()
+            for s in np.unique(which):
+                at = b.take(pa.array(np.flatnonzero(which == s)))
+                bits = at.column(3).to_pylist()
+                yield pa.RecordBatch.from_arrays([at.column(0)[:1], at.column(1)[:1], pa.array([_matrix(at.column(2)).tobytes()], pa.binary()), pa.array([bits], pa.list_(pa.binary()))], ["cell", "split", "z", "bits"])
+
+    cells = max(1, places.count())
+    blocks = materialise(rows.repartitionByRange(cells, "cell").sortWithinPartitions("cell", "split").mapInArrow(pack, "cell long, split long, z binary, bits array<binary>"))
+    most = blocks.groupBy("cell").agg(F.sum(F.size("bits")).alias("n")).agg(F.max("n")).first()[0] or 1
+    cores = tests.sparkSession.sparkContext.defaultParallelism
+    step = max(1, min(-(-codes.n_perm * cells // cores), codes.n_perm, HELD_BYTES // (16 * most)))
+
+    def cut(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                c = np.frombuffer(b.column(2)[i].as_buffer())
+                w = np.frombuffer(b.column(1)[i].as_buffer()).reshape(-1, len(c))
+                for k, at in enumerate(range(1, len(c), step)):
+                    out = [pa.array([x.tobytes()], pa.binary()) for x in (w[:, at : at + step], c[at : at + step])]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), b.column(0)[i : i + 1], *out], ["chunk", "of", "w", "c"])
+
+    chunks = -(-codes.n_perm // step)
+    fits = fitted.select("split", "w", "c").mapInArrow(cut, "chunk int, of long, w binary, c binary").groupBy("chunk").agg(F.collect_list(F.struct("of", "w", "c")).alias("fits"))
+    fits = materialise(fits.repartition(chunks, "chunk"))
+
+    def measure(batches):
+        chunk, state, held = None, {}, {}
+
+        def flush():
+            for cell, parts in held.items():
+                scores, labels = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+                out = [_curve(s[~np.isnan(s)], y[~np.isnan(s)]) for s, y in zip(scores.T, labels.T, strict=True)]
+                perms = np.arange(chunk * step, chunk * step + len(out))
+                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(out), pa.int64()), pa.array(perms, pa.int32()), *(pa.array(c, pa.float64()) for c in zip(*out, strict=True))], ["cell", "perm", *SCORES])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                if b.column(0)[i].as_py() != chunk:
+                    yield from flush()
+                    chunk, held = b.column(0)[i].as_py(), {}
+                    state = {f["of"]: (np.frombuffer(f["w"]), np.frombuffer(f["c"])) for f in b.column(1)[i].as_py()}
+                cell, split = b.column(2)[i].as_py(), b.column(3)[i].as_py()
+                if split not in state:
+                    continue
+                w, c = state[split]
+                bits = b.column(5)[i].values
+                z = np.frombuffer(b.column(4)[i].as_buffer()).reshape(len(bits), -1)
+                held.setdefault(cell, []).append((z @ w.reshape(-1, len(c)) + c, _classes(codes, bits, chunk * step, (chunk + 1) * step)))
+        yield from flush()
+
+    # a chunk meets the cells as they are stored: the size of the tables must not turn this into a broadcast
+    met = fits.crossJoin(blocks.hint("shuffle_replicate_nl")).mapInArrow(measure, "cell long, perm int, " + ", ".join(f"{m} double" for m in SCORES))
+    return materialise(met).join(places, "cell").drop("cell")
 
 
 def logistic(rows: DataFrame) -> DataFrame:
@@ -283,16 +375,18 @@ def run_grid(
     z = reduced(materialise(rows), variance)
     if n_perm:
         within = ["stratum", "repeat", *(["site"] if scheme == "loso" else [])]
-        perms = permuted_labels(assigned.select(key, "label", *within), n_perm, seed, "label", key, within)
-        packed = perms.groupBy("stratum", "repeat", key).agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", "label"))), lambda x: x["label"].cast("double")).alias("permuted"))
-        z = z.join(packed, ["stratum", "repeat", key])
+        packed, codes = permuted_codes(assigned.select(key, "label", *within), n_perm, seed, "label", key, within)
+        z = z.join(packed.select("stratum", "repeat", key, "permuted").hint("merge"), ["stratum", "repeat", key])
     else:
-        z = z.withColumn("permuted", F.array().cast("array<double>"))
+        z, codes = z.withColumn("permuted", F.lit(None).cast("binary")), None
     z = materialise(z)
-    fits = {"discriminant": lambda: discriminant(z, n_perm), "logistic_l2": lambda: logistic(z.drop("permuted"))}
-    found = None
+    found = fitted = None
     for name in models:
-        scored = fits[name]().select("split", key, "label", F.lit(name).alias("model"), "scores", *(["permuted"] if name == "discriminant" else [F.array().cast("array<double>").alias("permuted")]))
+        if name == "discriminant":
+            scored, fitted = discriminant(z, codes)
+        else:
+            scored = logistic(z.drop("permuted"))
+        scored = scored.select("split", key, "label", F.lit(name).alias("model"), "scores")
         found = scored if found is None else found.unionByName(scored)
     found = materialise(found.join(numbered, "split"))
     score = F.col("scores")[0]
@@ -305,9 +399,7 @@ def run_grid(
     cells = grid.join(used, CELL, "left").join(observed.drop("n"), CELL, "left").join(dims, ["stratum", "repeat", "kind"], "left")
     cells = cells.na.fill(0, ["splits_used", "n_eval"]).withColumn("coverage", F.col("n_eval") / F.col("n_subjects"))
     if n_perm and "discriminant" in models:
-        each = found.filter("model = 'discriminant'").select(*CELL, F.posexplode(F.arrays_zip(F.slice("scores", 2, n_perm).alias("s"), F.col("permuted").alias("y"))).alias("perm", "x"))
-        each = each.select(*CELL, "perm", F.col("x.s").alias("score"), F.col("x.y").cast("int").alias("label")).filter(~F.isnan("score"))
-        nulls = materialise(score_metrics(each.withColumn("prediction", (F.col("score") > 0).cast("int")), [*CELL, "perm"]))
+        nulls = permuted_metrics(z.filter("NOT is_train"), fitted, numbered, codes).withColumn("model", F.lit("discriminant"))
         for m in SCORES:
             p = permutation_p(observed, nulls, m, CELL).select(*CELL, F.col("p").alias(f"{m}_p"))
             cells = cells.join(p, CELL, "left")

@@ -49,3 +49,33 @@ def test_permutations_are_never_rows(subjects):
     plan = packed._jdf.queryExecution().toString()
     assert "explode" not in plan and "Broadcast" not in plan
     assert packed.count() == 60
+
+
+def test_permuted_scores_are_measured_in_the_tasks(spark, monkeypatch):
+
+    from reliaspan.operators import grid
+    from reliaspan.operators.evaluate import score_metrics
+
+    monkeypatch.setattr(grid, "HELD_BYTES", 16 * 40 * 4)  # chunks of four permutations
+    rng = np.random.default_rng(2)
+    subjects = spark.createDataFrame([(i, i % 2) for i in range(40)], "subject_id long, label int")
+    packed, codes = permuted_codes(subjects, 10, 5)
+    z = {i: [float(v) for v in rng.integers(-2, 3, 2)] for i in range(40)}  # small numbers, so that scores tie
+    tests = packed.join(spark.createDataFrame([(i, i % 3, z[i]) for i in range(40)], "subject_id long, split long, z array<double>"), "subject_id")
+    fits = [(s, rng.integers(-2, 3, (2, 11)).astype(float), rng.integers(-1, 2, 11).astype(float)) for s in range(3)]
+    fits[1][2][4] = np.nan
+    fitted = spark.createDataFrame([(s, bytearray(w.tobytes()), bytearray(c.tobytes())) for s, w, c in fits], "split long, w binary, c binary")
+    numbered = spark.createDataFrame([(s, "all", 0, "a" if s < 2 else "b") for s in range(3)], "split long, stratum string, repeat int, kind string")
+    by = ["stratum", "repeat", "kind", "perm"]
+    got = {tuple(r[c] for c in by): (r["balanced_acc"], r["roc_auc"], r["auprc"]) for r in grid.permuted_metrics(tests, fitted, numbered, codes).collect()}
+    table = packed.toArrow()
+    label = dict(zip(table["subject_id"].to_pylist(), codes.unpack(table["permuted"].combine_chunks())))
+    rows = []
+    for i in range(40):
+        s, w, c = fits[i % 3]
+        rows += [("all", 0, "a" if s < 2 else "b", p, int(label[i][p]), float(np.array(z[i]) @ w[:, p + 1] + c[p + 1])) for p in range(10)]
+    each = spark.createDataFrame(rows, "stratum string, repeat int, kind string, perm int, label int, score double").filter("NOT isnan(score)")
+    want = score_metrics(each.withColumn("prediction", (F.col("score") > 0).cast("int")), by).collect()
+    assert len(got) == len(want) == 20
+    for r in want:
+        assert got[tuple(r[c] for c in by)] == pytest.approx((r["balanced_acc"], r["roc_auc"], r["auprc"]))
