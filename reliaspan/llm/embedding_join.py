@@ -4,12 +4,12 @@ Vectors of length one with cosine >= t are within epsilon = sqrt(2 (1 - t)) of e
 projection. The vectors are projected to the leading principal directions, sorted by the cells of a
 grid of that width, and cut into blocks, each with the box of its coordinates. Intervals of that
 sequence are joined recursively: a pair of intervals whose boxes are farther apart than epsilon is
-skipped with all below it, others are replaced by pairs of their parts, down to pairs of blocks, whose
-vectors are compared in double precision.
+skipped with all below it, others are replaced by pairs of their parts, down to pairs of range partitions.
+Their blocks meet where they are stored, if their boxes do, and are compared in double precision; no block is
+shuffled for a pair.
 
-Equal vectors are one class and compared once. A pair of blocks gives, for each of its vectors, the
-number of links, and edges that join what is connected, both no more than its vectors: all pairs of a
-dense group are never rows.
+Equal vectors are one class and compared once. A task adds up, for each vector, the number of links, and
+keeps one edge to the smallest vector that it is connected with: all pairs of a dense group are never rows.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 
 from reliaspan.llm.common import sum_matrices
 from reliaspan.llm.components import components
+from reliaspan.operators.blocks import group_count
 from reliaspan.session import materialise
 
 #: Leading directions of the grid, vectors of a block, parts of an interval.
 DIRECTIONS, BLOCK, PARTS = 6, 512, 8
 #: Widening of distances for rounding.
 SLACK = 1e-7
+#: Links that a task holds besides one for each vector.
+HELD = 1 << 20
 
 BLOCKS = "block long, dims int, ids array<long>, copies array<long>, vectors binary, " + ", ".join(f"low{k} double, high{k} double" for k in range(DIRECTIONS))
 
@@ -137,14 +140,14 @@ def _near(a: str, b: str, eps: float) -> Column:
     return (square <= (eps + SLACK) ** 2) & (F.col(f"{a}.dims_low") <= F.col(f"{b}.dims_high")) & (F.col(f"{b}.dims_low") <= F.col(f"{a}.dims_high"))
 
 
-def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """(left, right), left <= right: the pairs of blocks that the recursive interval join leaves.
+def interval_pairs(blocks: DataFrame, eps: float) -> DataFrame:
+    """(left, right), left <= right: the pairs of range partitions that the recursive interval join leaves.
 
-    Intervals are runs of PARTS^level range partitions, below them the blocks of one partition.
+    Intervals are runs of PARTS^level range partitions.
     """
     boxes = [f"{x}{k}" for x in ("low", "high") for k in range(DIRECTIONS)]
-    level = blocks.select(F.col("block").alias("id"), F.shiftright("block", 32).alias("parent"), F.col("dims").alias("dims_low"), F.col("dims").alias("dims_high"), *boxes)
-    levels = [level]
+    level = blocks.select(F.shiftright("block", 32).alias("parent"), F.col("dims").alias("dims_low"), F.col("dims").alias("dims_high"), *boxes)
+    levels = []
     last = (blocks.agg(F.max("block")).first()[0] or 0) >> 32
     while True:
         level = level.groupBy(F.col("parent").alias("id")).agg(F.min("dims_low").alias("dims_low"), F.max("dims_high").alias("dims_high"), *_box()).withColumn("parent", F.expr(f"id div {PARTS}"))
@@ -162,6 +165,22 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     return pairs
 
 
+def _meeting(blocks: DataFrame, eps: float, rows: int) -> DataFrame:
+    """The pairs of blocks, left <= right, whose boxes meet, side by side: ids, copies and vectors of both.
+
+    Left blocks know the range partitions that theirs has to meet. The right ones are read in groups that a task can hold.
+    """
+    spark = blocks.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    partners = interval_pairs(blocks, eps).groupBy("left").agg(F.collect_set("right").alias("partners"))
+    dealt = blocks.withColumn("part", F.shiftright("block", 32)).repartition(n, "part").join(partners.hint("merge"), F.col("part") == F.col("left")).drop("left")
+    stored = materialise(dealt.withColumns({"dims_low": F.col("dims"), "dims_high": F.col("dims")}))
+    right = stored.drop("partners").coalesce(group_count(rows)).hint("shuffle_replicate_nl").alias("b")  # not to become a broadcast
+    met = _near("a", "b", eps) & (F.col("a.block") <= F.col("b.block")) & F.array_contains("a.partners", F.col("b.part"))
+    columns = [F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("block", "ids", "copies", "vectors")]
+    return stored.alias("a").join(right, met).select(F.col("a.dims").alias("dims"), *columns)
+
+
 def _connect(mask: np.ndarray) -> np.ndarray:
     """For each row, then each column, of a boolean matrix: the smallest row in its connected part, -1 without a link."""
     rows = np.where(mask.any(1), np.arange(len(mask)), -1)
@@ -177,26 +196,52 @@ def _connect(mask: np.ndarray) -> np.ndarray:
         rows = new
 
 
+def _merged(node: np.ndarray, links: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row for each node: its links added up, and the smallest node that it is connected with."""
+    names, at = np.unique(np.concatenate([node, to]), return_inverse=True)
+    i, j = at[: len(node)], at[len(node) :]
+    least = np.arange(len(names))
+    while True:
+        old = least.copy()
+        np.minimum.at(least, i, least[j])
+        np.minimum.at(least, j, least[i])
+        least = least[least]
+        if (least == old).all():
+            break
+    total = np.bincount(i, links, len(names)).astype(np.int64)
+    return names, total, names[least]
+
+
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = kept = 0
     for b in batches:
-        for row in b.to_pylist():
-            dims = row["dims"]
-            a, x = np.array(row["ids_a"]), np.frombuffer(row["vectors_a"]).reshape(-1, dims)
-            c, y = np.array(row["ids_b"]), np.frombuffer(row["vectors_b"]).reshape(-1, dims)
+        for r in range(b.num_rows):
+            row = {n: b.column(i)[r] for i, n in enumerate(b.schema.names)}
+            dims = row["dims"].as_py()
+            (a, copies_a, x), (c, copies_b, y) = (
+                (row[f"ids_{s}"].values.to_numpy(), row[f"copies_{s}"].values.to_numpy(), np.frombuffer(row[f"vectors_{s}"].as_buffer()).reshape(-1, dims)) for s in "ab"
+            )
             mask = x @ y.T >= threshold
-            same = row["left"] == row["right"]
+            same = row["block_a"].as_py() == row["block_b"].as_py()
             if same:
                 np.fill_diagonal(mask, False)
             if not mask.any():
                 continue
-            links = [mask @ np.array(row["copies_b"]), *([] if same else [np.array(row["copies_a"]) @ mask])]
+            links = [mask @ copies_b, *([] if same else [copies_a @ mask])]
             nodes = a if same else np.concatenate([a, c])
             links = np.concatenate(links)
             if same:  # each vector as a row and as a column is one node
                 np.fill_diagonal(mask, mask.any(1))
             part = _connect(mask)[: len(nodes)]
             hit = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[hit]), pa.array(links[hit].astype(np.int64)), pa.array(a[part[hit]])], ["node", "links", "to"])
+            held.append((nodes[hit], links[hit].astype(np.int64), a[part[hit]]))
+            size += len(hit)
+            if size > HELD + 2 * kept:
+                held = [_merged(*map(np.concatenate, zip(*held, strict=True)))]
+                size = kept = len(held[0][0])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in _merged(*map(np.concatenate, zip(*held, strict=True)))], ["node", "links", "to"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -216,10 +261,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
     if not dims:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     blocks = _blocks(classes, _directions(classes, dims), max(eps, 1e-6), block)
-    pairs = block_pairs(blocks, eps)
-    payload = lambda x: blocks.select(F.col("block").alias(f"block_{x}"), F.col("dims").alias(f"dims_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "copies", "vectors")])
-    joined = pairs.join(payload("a"), F.col("left") == F.col("block_a")).join(payload("b"), (F.col("right") == F.col("block_b")) & (F.col("dims_a") == F.col("dims_b")))
-    work = joined.select("left", "right", F.col("dims_a").alias("dims"), *[f"{c}_{x}" for x in "ab" for c in ("ids", "copies", "vectors")])
+    work = _meeting(blocks, eps, classes.count())
     found = materialise(work.mapInArrow(lambda batches: _compare(batches, threshold), "node long, links long, to long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
